@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taintgauge.llm import digests, packing, sampling, tokens
+from taintgauge.llm import digests, encoding, packing, sampling, tokens
 
 QUERIES = {
     "p3_found": sampling.p3_found,
@@ -15,6 +15,8 @@ QUERIES = {
     "p7_containers": packing.p7_containers,
     "p7_tiers": packing.p7_tiers,
     "p7_fill": packing.p7_fill,
+    "p8_found": encoding.p8_found,
+    "p8_restored": encoding.p8_restored,
 }
 
 ORACLES: dict[str, str] = {}
