@@ -344,22 +344,32 @@ class Judge:
         """(text with every unit restored where possible, units restored, units left garbled, chains)."""
         mark, rest = prepare(text)
         done, left, used = int(bool(mark)), 0, Counter()
+        # The text was most likely garbled once: the chain that explains most units is tried first on all of them.
+        votes = Counter(got[0] for u in UNIT.findall(rest) if (o := self.memo.get(u)) is not None and (got := self.restored(u, np.argsort(-o)[:6])))
+        main = votes.most_common(1)[0][0] if votes else None
+        sure = main is not None and votes[main] >= 3
 
         def one(m: re.Match) -> str:
             nonlocal done, left
             unit = m.group()
             odds = self.memo.get(unit)
-            if odds is None:
+            if odds is None and not sure:
                 return unit
-            order = np.argsort(-odds)[:6]
-            got = self.restored(unit, order[odds[order] > 0])
+            order = np.zeros(0, dtype=np.int64) if odds is None else np.argsort(-odds)[:6]
+            order = order if odds is None else order[odds[order] > 0]
+            if sure:  # what one chain left over isn't explained by another alphabet
+                order = np.array([c for c in order if self.model.chains[c].steps[0][0] == self.model.chains[main].steps[0][0]], dtype=np.int64)
+            if sure and (back := self.model.chains[main].restore(unit)) and back != unit and REFUSED not in back and (odds is not None or self.restored(unit, np.array([main]))):
+                got = (main, back)
+            else:
+                got = self.restored(unit, order)
             if got:
                 done += 1
                 used[self.model.chains[got[0]].name] += 1
                 return got[1]
-            fixed = PART.sub(lambda p: g[1] if (g := self.restored(p.group(), order[odds[order] > 0])) else p.group(), unit)
+            fixed = PART.sub(lambda p: g[1] if (g := self.restored(p.group(), order)) else p.group(), unit)
             done += int(fixed != unit)
-            left += int(fixed == unit and odds.max() > VERIFIED)
+            left += int(fixed == unit and odds is not None and odds.max() > VERIFIED)
             return fixed
 
         return UNIT.sub(one, rest), done, left, used
