@@ -17,9 +17,13 @@ from taintgauge.functions.expr import hash60
 SLICE_BITS = 6
 
 
+def _literals(seed) -> list[Column]:
+    return [F.lit(x) for x in seed]
+
+
 def sliced_rank(df: DataFrame, by: list[str], key: str, *seed, name: str = "rank", bits: int = SLICE_BITS) -> DataFrame:
     """`df` with the 1-based rank of each row in its group by (hash60(seed..., key), key). Repeated keys get ranks of their own in any order."""
-    cut = df.withColumn("_h", hash60(*seed, F.col(key).cast("string"))).withColumn("_slice", F.shiftright("_h", 60 - bits))
+    cut = df.withColumn("_h", hash60(*_literals(seed), F.col(key).cast("string"))).withColumn("_slice", F.shiftright("_h", 60 - bits))
     own = cut.withColumn("_own", F.row_number().over(W.partitionBy(*by, "_slice").orderBy("_h", key)))
     counts = cut.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
     before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
@@ -40,7 +44,7 @@ def slot_sample(df: DataFrame, key: str, size: int, *seed) -> DataFrame:
     """`size` rows with replacement: slot s takes the row of dense rank hash(seed, s) mod N. Adds `slot`."""
     ranked = sliced_rank(df, [], key, *seed, "row")
     n = df.count()
-    slots = df.sparkSession.range(size).select(F.col("id").alias("slot"), (F.pmod(hash60(*seed, "slot", F.col("id").cast("string")), F.lit(max(n, 1))) + 1).alias("_at"))
+    slots = df.sparkSession.range(size).select(F.col("id").alias("slot"), (F.pmod(hash60(*_literals((*seed, "slot")), F.col("id").cast("string")), F.lit(max(n, 1))) + 1).alias("_at"))
     return ranked.join(slots, F.col("rank") == F.col("_at")).drop("rank", "_at")
 
 

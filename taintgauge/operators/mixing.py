@@ -81,7 +81,7 @@ def draw_bags(pools: DataFrame, requests: DataFrame, seed: int) -> DataFrame:
 
     order = F.row_number().over(W.partitionBy("bag_id", "source_type").orderBy("slot"))
     kept = first.withColumn("_turn", order).where("_turn <= wanted").join(ranked, ["source_type", "rank"])
-    position = F.row_number().over(W.partitionBy("bag_id").orderBy(hash60(seed, "position", "bag_id", "record_id"), "record_id")) - 1
+    position = F.row_number().over(W.partitionBy("bag_id").orderBy(hash60(seed, F.lit("position"), "bag_id", "record_id"), "record_id")) - 1
     return kept.select("bag_id", "source_type", "record_id", position.alias("position"))
 
 

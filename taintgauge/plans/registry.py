@@ -2,24 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-from taintgauge.operators import impute, malformed, orphans
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": malformed.p1_found,
-    "p1_records": malformed.p1_records,
-    "p1_balance": malformed.p1_balance,
-    "p2_found": impute.p2_found,
-    "p2_filled": impute.p2_filled,
-    "p4_found": orphans.p4_found,
-    "p4_counts": orphans.p4_counts,
-}
-
-ORACLES: dict[str, str] = {}
+from taintgauge.plans import problem_queries, sampling_queries, score_queries  # noqa: F401
+from taintgauge.plans.book import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return orphans.p4_counts(spark, folder)
+    return QUERIES["p4_counts"](spark, folder)
