@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taintgauge.plans import problem_queries, sampling_queries, score_queries  # noqa: F401
+from taintgauge.plans import evidence_queries, problem_queries, sampling_queries, score_queries  # noqa: F401
 from taintgauge.plans.book import ORACLES, QUERIES  # noqa: F401
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    return QUERIES["p4_counts"](spark, folder)
+    return QUERIES["finding_low_prevalence"](spark, folder)

@@ -317,7 +317,7 @@ def contingency_similarity(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"SELECT table_id, round(1 - abs(corr(temperature, pressure) FILTER (WHERE source_label = 0) - corr(temperature, pressure) FILTER (WHERE source_label = 1)) / 2, 6) AS score FROM labelled_records WHERE {_OK.format(c='temperature')} AND pressure IS NOT NULL AND NOT isnan(pressure) GROUP BY 1"
+    f"SELECT table_id, round(round(1 - abs(corr(temperature, pressure) FILTER (WHERE source_label = 0) - corr(temperature, pressure) FILTER (WHERE source_label = 1)) / 2, 9), 6) AS score FROM labelled_records WHERE {_OK.format(c='temperature')} AND pressure IS NOT NULL AND NOT isnan(pressure) GROUP BY 1"
 )
 def corr_similarity(spark: SparkSession, d: str) -> DataFrame:
     """Q3: similarity of a correlation."""
@@ -369,7 +369,7 @@ def artifact_features(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "WITH p AS (SELECT p_partkey AS k, lower(p_name) AS t FROM part WHERE p_name IS NOT NULL), g AS (SELECT k, substr(t, i, 3) AS gram FROM (SELECT k, t, unnest(range(1, length(t) - 1)) AS i FROM p WHERE length(t) >= 3)), tf AS (SELECT k, gram, count(*) AS tf FROM g GROUP BY ALL), "
     "v AS (SELECT gram, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2), w AS (SELECT k, gram, tf, ln((1 + (SELECT count(*) FROM p)) / (1 + df)) + 1 AS idf FROM tf JOIN v USING (gram)), n AS (SELECT k, sqrt(sum(tf * idf * tf * idf)) AS nn FROM w GROUP BY 1) "
-    "SELECT k AS p_partkey, gram, tf, round(idf, 6) AS idf, round(tf * idf / nn, 6) AS weight FROM w JOIN n USING (k)"
+    "SELECT k AS p_partkey, gram, tf, round(round(idf, 9), 6) AS idf, round(round(tf * idf / nn, 9), 6) AS weight FROM w JOIN n USING (k)"
 )
 def char3gram_tfidf(spark: SparkSession, d: str) -> DataFrame:
     """DT3: weights of character 3-grams."""

@@ -208,7 +208,7 @@ def policy_boundaries(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "WITH q AS (SELECT vec_id AS qid, embedding AS qv, label AS ql FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT qid, vec_id, round(list_sum(list_transform(list_zip(embedding, qv), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) ** 2)), 6) AS d, CAST(label = ql AS INTEGER) AS hit FROM embeddings, q WHERE vec_id % 50 <> 0), "
     "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) AS r, count(*) OVER (PARTITION BY qid) AS n FROM d), s AS (SELECT *, CASE WHEN r = n THEN hit / n ELSE (hit - lead(hit) OVER (PARTITION BY qid ORDER BY r)) / 5.0::DOUBLE * least(5, r) / r END AS step FROM r), "
-    "v AS (SELECT vec_id, sum(step) OVER (PARTITION BY qid ORDER BY r DESC) AS v FROM s) SELECT vec_id, round(sum(v) / (SELECT count(*) FROM q), 6) AS value FROM v GROUP BY 1"
+    "v AS (SELECT vec_id, sum(step) OVER (PARTITION BY qid ORDER BY r DESC) AS v FROM s) SELECT vec_id, round(round(sum(v) / (SELECT count(*) FROM q), 9), 6) AS value FROM v GROUP BY 1"
 )
 def knn_shapley(spark: SparkSession, d: str) -> DataFrame:
     """Every vector whose id is divisible by 50 is a query."""
