@@ -19,4 +19,19 @@ QUERIES = {
     "p8_restored": encoding.p8_restored,
 }
 
-ORACLES: dict[str, str] = {}
+_TARGET = r"regexp_replace(regexp_replace(regexp_replace(target, '^\s+|\s+$', '', 'g'), '\.$', ''), '^\s+|\s+$', '', 'g')"
+
+ORACLES: dict[str, str] = {
+    "p3_found": f"""
+WITH sp AS (SELECT summary_id, dataset_id, seed, sample_rows, coalesce(min_rows, 0) AS min_rows, unnest(map_entries(proportions)) AS p, target_distribution FROM split_summary),
+st AS (SELECT summary_id, dataset_id, seed, sample_rows, min_rows, p.key AS split, p.value AS part, unnest(map_entries(target_distribution[p.key])) AS t FROM sp),
+sn AS (SELECT DISTINCT summary_id, dataset_id, seed, split, t.key AS target, greatest(floor(sample_rows * part * t.value + 0.5), min_rows) AS needed FROM st WHERE part * t.value > 0 AND sample_rows IS NOT NULL),
+sa AS (SELECT dataset_id, seed, split, {_TARGET} AS target, count(DISTINCT row_id) AS n FROM split_assignment WHERE target IS NOT NULL GROUP BY ALL),
+b AS (SELECT DISTINCT bag_id, draw_size, coalesce(min_rows, 0) AS min_rows, true_proportion AS tp, floor(draw_size * true_proportion + 0.5) AS syn FROM bags JOIN quantification_bag_estimates USING (bag_id) WHERE true_proportion IS NOT NULL),
+bn AS (SELECT bag_id, 'synthetic' AS category, greatest(syn, min_rows) AS needed FROM b WHERE tp > 0 UNION SELECT bag_id, 'real', greatest(draw_size - syn, min_rows) FROM b WHERE 1 - tp > 0),
+ba AS (SELECT bag_id, source_type AS category, count(DISTINCT record_id) AS n FROM bag_members GROUP BY ALL)
+SELECT DISTINCT 'split_summary' AS target_table, summary_id AS target_key, sn.split || '/' || sn.target AS category FROM sn LEFT JOIN sa USING (dataset_id, seed, split, target) WHERE coalesce(n, 0) < needed
+UNION
+SELECT DISTINCT 'quantification_bag_estimates', bag_id, category FROM bn LEFT JOIN ba USING (bag_id, category) WHERE coalesce(n, 0) < needed
+""",
+}
