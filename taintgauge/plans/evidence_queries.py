@@ -261,3 +261,11 @@ def histogram30(spark: SparkSession, d: str) -> DataFrame:
     span = p.agg(F.min("p_retailprice").alias("lo"), F.max("p_retailprice").alias("hi"))
     b = F.least(F.floor((F.col("p_retailprice") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 30), F.lit(29))
     return p.crossJoin(F.broadcast(span)).groupBy("p_size", b.alias("bin")).agg(F.count("*").alias("n"))  # one row
+
+
+@query("SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n, round(avg(value), 9) AS mean, round(stddev_samp(value), 9) AS std FROM events GROUP BY ALL")
+def event_drift(spark: SparkSession, d: str) -> DataFrame:
+    """Drift monitoring per day, the batch form of the stream."""
+    from taintgauge.streaming.drift import windowed_drift
+
+    return windowed_drift(table(spark, d, "events", "ts", "event_type", "value"))
