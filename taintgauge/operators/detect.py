@@ -80,39 +80,45 @@ def _prepare(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataF
 
 
 def _logistic(rows: int, strength: float) -> LogisticRegression:
-    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=1 / (strength * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=50)
+    return LogisticRegression(featuresCol="_features", labelCol="label", regParam=1 / (strength * max(rows, 1)), elasticNetParam=0.0, standardization=False, maxIter=50, tol=1e-5)
 
 
 def area(scored: DataFrame) -> float:
     return float(metrics.auroc(scored, []).first()["auroc"] or 0.5)
 
 
-def two_sample_lr(train: DataFrame, valid: DataFrame, numeric: list[str], categorical: list[str]) -> Detector:
-    """Imputed, scaled, one-hot features and logistic regression; strength by validation AUROC."""
-    t, v, n = _prepare(train, numeric, categorical).cache(), _prepare(valid, numeric, categorical), train.count()
+def _sized(df: DataFrame, rows: int, each: int = 20_000) -> DataFrame:
+    """Cached in partitions of about `each` rows: iterations over small data shouldn't pay for many tasks."""
+    return df.coalesce(max(1, rows // each)).cache()
+
+
+def _best(name: str, features: PipelineModel, t: DataFrame, v: DataFrame, candidates: list[tuple[dict, object]]) -> Detector:
+    """The classifier of best validation AUROC, the first of equals; features are fitted once for all candidates."""
+    rows = features.transform(t).select("label", "_features").cache()
     best = None
-    for c in STRENGTHS:
-        model = Pipeline(stages=[*_tabular(numeric, categorical), _logistic(n, c)]).fit(t)
-        d = Detector("c2st_lr", model, {"strength": c, "rows": n})
+    for info, estimator in candidates:
+        d = Detector(name, PipelineModel([*features.stages, estimator.fit(rows)]), dict(info))
         d.provenance["validation_auroc"] = area(d.score(v))
         if best is None or d.provenance["validation_auroc"] > best.provenance["validation_auroc"]:
             best = d
-    t.unpersist()
+    rows.unpersist()
     return best
 
 
+def two_sample_lr(train: DataFrame, valid: DataFrame, numeric: list[str], categorical: list[str]) -> Detector:
+    """Imputed, scaled, one-hot features and logistic regression; strength by validation AUROC."""
+    n = train.count()
+    t, v = _sized(_prepare(train, numeric, categorical), n), _prepare(valid, numeric, categorical)
+    features = Pipeline(stages=_tabular(numeric, categorical)).fit(t)
+    return _best("c2st_lr", features, t, v, [({"strength": c, "rows": n}, _logistic(n, c)) for c in STRENGTHS])
+
+
 def two_sample_boosting(train: DataFrame, valid: DataFrame, numeric: list[str], categorical: list[str], candidates=BOOSTS, seed: int = 7) -> Detector:
     """Boosted trees on the same features."""
-    t, v = _prepare(train, numeric, categorical).cache(), _prepare(valid, numeric, categorical)
-    best = None
-    for trees, depth, step in candidates:
-        gbt = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.9, seed=seed)
-        d = Detector("c2st_gbt", Pipeline(stages=[*_tabular(numeric, categorical), gbt]).fit(t), {"trees": trees, "depth": depth})
-        d.provenance["validation_auroc"] = area(d.score(v))
-        if best is None or d.provenance["validation_auroc"] > best.provenance["validation_auroc"]:
-            best = d
-    t.unpersist()
-    return best
+    t, v = _sized(_prepare(train, numeric, categorical), train.count()), _prepare(valid, numeric, categorical)
+    features = Pipeline(stages=_tabular(numeric, categorical)).fit(t)
+    made = [({"trees": trees, "depth": depth}, GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.9, seed=seed)) for trees, depth, step in candidates]
+    return _best("c2st_gbt", features, t, v, made)
 
 
 class GramDetector(Detector):
@@ -120,8 +126,8 @@ class GramDetector(Detector):
 
     @staticmethod
     def fit(train: DataFrame, text: Column, most: int = 20_000, min_df: int = 2, strength: float = 1.0) -> GramDetector:
-        rows = train.withColumn("_grams", records.char_ngrams(text)).cache()
-        n = rows.count()
+        n = train.count()
+        rows = _sized(train.select("label", records.char_ngrams(text).alias("_grams")), n)
         counter = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=most, minDF=float(min_df)).fit(rows)
         idf = IDF(inputCol="_tf", outputCol="_idf").fit(counter.transform(rows))
         weigh = ElementwiseProduct(inputCol="_tf", outputCol="_w", scalingVec=DenseVector(np.asarray(idf.idf.toArray()) + 1))
@@ -139,7 +145,7 @@ def artifact_detector(train: DataFrame, columns: list[str], schema: str | None =
     """Logistic regression on how records are written only. Its AUROC counts as max(a, 1 - a) against the gate."""
     made = records.artifact_features(train, columns, schema)
     names = [f"f_{k}" for k in made]
-    rows = train.select("label", *[c.cast("double").alias(f"f_{k}") for k, c in made.items()]).cache()
+    rows = _sized(train.select("label", *[c.cast("double").alias(f"f_{k}") for k, c in made.items()]), train.count())
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True), _logistic(rows.count(), 1.0)]).fit(rows)
     rows.unpersist()
     return Detector("artifact_lr", model, {"features": list(made)})

@@ -107,27 +107,63 @@ def plain_parse(line: str, layout: Layout) -> list[str] | None:
 
 def _tokens(line: str, layout: Layout) -> list[str]:
     marks = "|".join(re.escape(m) for m in (layout.delimiter, layout.quote) if m)
-    return [t for t in re.split(f"({marks}| +)", line) if t]
+    fine = [t for t in re.split(f"({marks}| +)", line) if t]
+    # In long lines, delimiters are no longer inserted between words of a field.
+    return fine if len(fine) <= LONG else [t for t in re.split(f"({marks}|(?<=[{re.escape(layout.delimiter + (layout.quote or ''))}]) +)", line) if t]
 
 
-# A state is (column, mode): before a field, in an unquoted field, in a quoted one, after a closing quote.
-START, OPEN, QUOTED, CLOSED = range(4)
+# A state is (column, mode): before a field, in an unquoted field, in a quoted one, after a closing quote, and in an
+# unquoted field that has taken a delimiter as text.
+START, OPEN, QUOTED, CLOSED, LITERAL = range(5)
+
+
+#: Paths kept per state: whether a field is valid only shows at its end, so equals in cost aren't equals yet. Lines of
+#: more than LONG tokens keep one.
+KEPT, LONG = 4, 200
 
 
 def cheapest_parse(line: str, layout: Layout) -> tuple[int, list[str], list[str]]:
     """(cost, operations, fields) of a parse with exactly one field per column.
 
-    Each state keeps its cheapest path; of equal cost the one with fewer edits, then the one found first.
+    The bound on the cost is raised step by step, so that the usual line, one or two edits away from a good one, never
+    carries dearer paths along. Some parse always exists: everything may be quoted or deleted.
+    """
+    tokens = _tokens(line, layout)
+    bound = 1
+    while (found := _parse_within(tokens, layout, bound)) is None:
+        bound = bound + 1 if bound < 4 else 2 * bound
+    return found
+
+
+def _parse_within(tokens: list[str], layout: Layout, bound: int) -> tuple[int, list[str], list[str]] | None:
+    """The cheapest parse of cost up to `bound`.
+
+    Each state keeps its cheapest paths with different texts of the field so far; of equal cost those with fewer
+    edits come first, then those found first.
     """
     columns, delimiter, quote = layout.columns, layout.delimiter, layout.quote
     last = len(columns) - 1
-    # (column, mode) → (cost, edits, parts of the field, (operation, before), (field, before))
-    front = {(0, START): (0, 0, (), None, None)}
+    keep = KEPT if len(tokens) <= LONG else 1
+    # (column, mode) → [(cost, edits, parts of the field, their hash, (operation, before), (field, before))]
+    front = {(0, START): [(0, 0, (), 0, None, None)]}
 
     def offer(into: dict, state: tuple[int, int], path: tuple) -> None:
-        known = into.get(state)
-        if known is None or path[:2] < known[:2]:
-            into[state] = path
+        if path[0] > bound:
+            return
+        known = into.setdefault(state, [])
+        for i, k in enumerate(known):
+            if k[3] == path[3]:
+                if path[:2] < k[:2]:
+                    known[i] = path
+                    known.sort(key=lambda x: x[:2])
+                return
+        if len(known) < keep or path[:2] < known[-1][:2]:
+            known.append(path)
+            known.sort(key=lambda x: x[:2])
+            del known[keep:]
+
+    def paths(states: dict):
+        return [(j, mode, path) for (j, mode), kept in states.items() for path in kept]
 
     def text_of(parts) -> str:
         out = []
@@ -137,38 +173,37 @@ def cheapest_parse(line: str, layout: Layout) -> tuple[int, list[str], list[str]
         return "".join(reversed(out))
 
     def close(column: int, path: tuple) -> tuple:
-        cost, edits, parts, ops, fields = path
+        cost, edits, parts, _, ops, fields = path
         text = text_of(parts).strip(" ")
         bad = not layout.value(columns[column], text)[0]
-        return (cost + bad, edits, (), (f"value {columns[column].name}", ops) if bad else ops, (text, fields))
+        return (cost + bad, edits, (), 0, (f"value {columns[column].name}", ops) if bad else ops, (text, fields))
 
     def edited(path: tuple, what: str) -> tuple:
-        return (path[0] + 1, path[1] + 1, path[2], (what, path[3]), path[4])
+        return (path[0] + 1, path[1] + 1, path[2], path[3], (what, path[4]), path[5])
 
     def add(path: tuple, text: str) -> tuple:
-        return (*path[:2], (path[2], text), *path[3:])
+        return (*path[:2], (path[2], text), hash((path[3], text)), *path[4:])
 
     def inserts(states: dict) -> dict:
         """States reached by inserting a quote or a delimiter here."""
-        out = dict(states)
-        for (j, mode), path in list(states.items()):
+        out = {k: list(v) for k, v in states.items()}
+        for j, mode, path in paths(states):
             if quote:
                 if mode == START:
                     offer(out, (j, QUOTED), edited(path, "insert quote"))
                 elif mode == QUOTED:
                     offer(out, (j, CLOSED), edited(path, "insert quote"))
-        for (j, mode), path in list(out.items()):
+        for j, mode, path in paths(out):
             if mode != QUOTED and j < last:
                 offer(out, (j + 1, START), edited(close(j, path), "insert delimiter"))
         return out
 
-    tokens = _tokens(line, layout)
     size, at = len(tokens), 0
     while at < size:
         token = tokens[at]
         front = inserts(front)
         new: dict = {}
-        for (j, mode), path in front.items():
+        for j, mode, path in paths(front):
             if token == quote:
                 if mode == START:
                     offer(new, (j, QUOTED), path)
@@ -183,25 +218,31 @@ def cheapest_parse(line: str, layout: Layout) -> tuple[int, list[str], list[str]
                 else:
                     if j < last:
                         offer(new, (j + 1, START), close(j, path))
-                    offer(new, (j, OPEN if mode == START else mode), edited(add(path, token), "delete delimiter"))
+                    offer(new, (j, mode), edited(path, "delete delimiter"))
+                    if mode != CLOSED:
+                        offer(new, (j, LITERAL), edited(add(path, token), "delete delimiter"))
             elif token.isspace() and token.strip(" ") == "":
                 offer(new, (j, mode), path if mode in (START, CLOSED) else add(path, token))
-            elif mode in (START, OPEN):
-                offer(new, (j, OPEN), add(path, token))
+            elif mode in (START, OPEN, LITERAL):
+                offer(new, (j, LITERAL if mode == LITERAL else OPEN), add(path, token))
             elif mode == QUOTED:
                 offer(new, (j, QUOTED), add(path, token))
             elif mode == CLOSED:  # the quotes before didn't close a field
                 offer(new, (j, OPEN), edited(add(path, token), "delete quote"))
         front = new
+        if not front:
+            return None
         at += 1
-    ends = {}
-    for (j, mode), path in inserts(front).items():
+    ends: dict = {}
+    for j, mode, path in paths(inserts(front)):
         if mode != QUOTED:
             offer(ends, (j, CLOSED), close(j, path))
     for j in range(last):  # missing fields at the end
-        if (j, CLOSED) in ends:
-            offer(ends, (j + 1, CLOSED), close(j + 1, edited(ends[(j, CLOSED)], "insert delimiter")))
-    cost, _, _, ops, fields = ends[(last, CLOSED)]
+        for path in ends.get((j, CLOSED), ()):
+            offer(ends, (j + 1, CLOSED), close(j + 1, edited(path, "insert delimiter")))
+    if (last, CLOSED) not in ends:
+        return None
+    cost, _, _, _, ops, fields = ends[(last, CLOSED)][0]
 
     def chain(link) -> list[str]:
         out = []
