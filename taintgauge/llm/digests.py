@@ -68,7 +68,7 @@ def partial_digests(df: DataFrame, keys: list[str], value: str, fineness: int =
     NULL and NaN values don't count; NULL keys form their own group; infinite values count and are kept as low or high.
     """
     narrow = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v is not null and not isnan(_v)")
-    kinds = ", ".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = "".join(f"`{k}` {narrow.schema[k].dataType.simpleString()}, " for k in keys)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple, int] = {}
@@ -110,7 +110,7 @@ def partial_digests(df: DataFrame, keys: list[str], value: str, fineness: int =
             out = pd.DataFrame(list(known), columns=keys, dtype=object)
             yield out.assign(n=[int(sum(w)) for _, w in part], low=low, high=high, means=[m for m, _ in part], weights=[w for _, w in part])
 
-    return narrow.mapInPandas(run, f"{kinds}, n bigint, low double, high double, means array<double>, weights array<double>")
+    return narrow.mapInPandas(run, f"{kinds}n bigint, low double, high double, means array<double>, weights array<double>")
 
 
 def _merge_sorted(digests: DataFrame, keys: list[str], fineness: int) -> DataFrame:
@@ -141,7 +141,7 @@ def _merge_sorted(digests: DataFrame, keys: list[str], fineness: int) -> DataFra
         if held is not None:
             yield held
 
-    return digests.sortWithinPartitions(*keys).mapInPandas(run, digests.schema)
+    return (digests.sortWithinPartitions(*keys) if keys else digests).mapInPandas(run, digests.schema)
 
 
 def merge_digests(digests: DataFrame, keys: list[str], fineness: int = FINENESS) -> DataFrame:
@@ -154,14 +154,14 @@ def merge_digests(digests: DataFrame, keys: list[str], fineness: int = FINENESS)
 
 def read_percentiles(digests: DataFrame, keys: list[str], percentiles=PERCENTILES) -> DataFrame:
     """keys, n, estimates (one per percentile)."""
-    kinds = ", ".join(f"`{k}` {digests.schema[k].dataType.simpleString()}" for k in keys)
+    kinds = "".join(f"`{k}` {digests.schema[k].dataType.simpleString()}, " for k in keys)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             est = [quantiles(np.asarray(r.means, dtype=float), np.asarray(r.weights, dtype=float), r.low, r.high, percentiles).tolist() for r in pdf.itertuples()]
             yield pdf[[*keys, "n"]].assign(estimates=est)
 
-    return digests.mapInPandas(run, f"{kinds}, n bigint, estimates array<double>")
+    return digests.mapInPandas(run, f"{kinds}n bigint, estimates array<double>")
 
 
 def certify(df: DataFrame, cuts: DataFrame, keys: list[str], value: str, percentiles=PERCENTILES) -> DataFrame:
