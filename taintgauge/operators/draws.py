@@ -21,8 +21,12 @@ def _literals(seed) -> list[Column]:
     return [F.lit(x) for x in seed]
 
 
-def sliced_rank(df: DataFrame, by: list[str], key: str, *seed, name: str = "rank", bits: int = SLICE_BITS) -> DataFrame:
-    """`df` with the 1-based rank of each row in its group by (hash60(seed..., key), key). Repeated keys get ranks of their own in any order."""
+def sliced_rank(df: DataFrame, by: list[str], key: str, *seed, name: str = "rank", bits: int | None = None) -> DataFrame:
+    """`df` with the 1-based rank of each row in its group by (hash60(seed..., key), key). Repeated keys get ranks of their own in any order.
+
+    Slices are as many as there are shuffle partitions, or 2 to the power `bits`; their number doesn't change the ranks.
+    """
+    bits = bits or max(SLICE_BITS, (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
     cut = df.withColumn("_h", hash60(*_literals(seed), F.col(key).cast("string"))).withColumn("_slice", F.shiftright("_h", 60 - bits))
     own = cut.withColumn("_own", F.row_number().over(W.partitionBy(*by, "_slice").orderBy("_h", key)))
     counts = cut.groupBy(*by, "_slice").agg(F.count("*").alias("_n"))
@@ -35,6 +39,44 @@ def sliced_rank(df: DataFrame, by: list[str], key: str, *seed, name: str = "rank
     return own.join(right, on).withColumn(name, F.col("_before") + F.col("_own")).drop("_h", "_slice", "_own", "_before", "_s", *[f"_k{i}" for i in range(len(by))])
 
 
+#: Groups up to which cut points (SLICES numbers a group) are broadcast; beyond that they are joined by shuffle.
+BROADCAST_GROUPS = 20_000
+SLICES = 64
+
+
+def same(by: list[str], left: str, right: str) -> Column:
+    """Equality of the columns of two aliased frames, NULLs equal each other."""
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
+    return on
+
+
+def value_slices(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """`df` with `_slice`: which of about SLICES equal parts of its group the value lies in, in order. NULL values: -1.
+
+    Cut points are approximate quantiles, which combine on the map side; any cut points give right ranks.
+    """
+    at = [i / SLICES for i in range(1, SLICES)]
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, at, 2000).alias("_cuts"))
+    right = F.broadcast(cuts) if not by or cuts.count() <= BROADCAST_GROUPS else cuts
+    joined = df.alias("l").join(right.alias("r"), same(by, "l", "r"))
+    place = F.aggregate("_cuts", F.lit(0), lambda n, c: n + (c < F.col(f"l.{value}")).cast("int"))
+    return joined.select("l.*", F.when(F.col(f"l.{value}").isNull(), F.lit(-1)).otherwise(F.coalesce(place, F.lit(0))).alias("_slice"))
+
+
+def ordered_rank(df: DataFrame, by: list[str], value: str, key: str) -> DataFrame:
+    """`df` with `rank` (from 1, by value and key) and `group_rows`, by slices of the value: no task orders a whole group
+    unless all its values are equal."""
+    cut = value_slices(df, by, value)
+    own = cut.withColumn("_own", F.row_number().over(W.partitionBy(*by, "_slice").orderBy(value, key)))
+    counts = cut.groupBy(*by, "_slice").agg(F.count("*").alias("_c"))
+    before, every = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by)
+    offset = counts.select(*by, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(every).alias("group_rows"))
+    joined = own.alias("l").join(offset.alias("r"), same([*by, "_slice"], "l", "r"))
+    return joined.select(*[f"l.{c}" for c in df.columns], (F.col("_before") + F.col("_own")).alias("rank"), "group_rows")
+
+
 def sample_rows(df: DataFrame, by: list[str], key: str, size: int | Column, *seed) -> DataFrame:
     """At most `size` rows per group without replacement."""
     return sliced_rank(df, by, key, *seed).where(F.col("rank") <= size)

@@ -10,31 +10,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from taintgauge.operators.draws import same, value_slices
+
 #: Slices of the score range for running sums.
 SLICES = 128
 
 
-def _same(by: list[str], left: str, right: str):
-    on = F.lit(True)
-    for c in by:
-        on = on & F.col(f"{left}.{c}").eqNullSafe(F.col(f"{right}.{c}"))
-    return on
-
-
-def curve(df: DataFrame, by: list[str], score: str = "score", label: str = "label") -> DataFrame:
+def curve(df: DataFrame, by: list[str], score: str = "score", label: str = "label", unit: bool = True) -> DataFrame:
     """(by, score, pos, neg, tp, fp, p, n): tp and fp count scores at and above; p and n are the group's totals.
 
-    Rows without score or label don't count.
+    Rows without score or label don't count. unit: scores lie in [0, 1]; others are sliced by their quantiles.
     """
     each = df.where(F.col(score).isNotNull() & ~F.isnan(score) & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("score")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
-    each = each.withColumn("_slice", F.least(F.greatest(F.floor(F.col("score") * SLICES), F.lit(0)), F.lit(SLICES - 1)))
+    each = each.withColumn("_slice", F.least(F.greatest(F.floor(F.col("score") * SLICES), F.lit(0)), F.lit(SLICES - 1)).cast("int")) if unit else value_slices(each, by, "score")
     totals = each.groupBy(*by, "_slice").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
     above = W.partitionBy(*by).orderBy(F.col("_slice").desc()).rowsBetween(W.unboundedPreceding, -1)  # at most SLICES rows a group
     every = W.partitionBy(*by).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     offset = totals.select(*by, "_slice", F.coalesce(F.sum("_p").over(above), F.lit(0)).alias("_tp"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_fp"), F.sum("_p").over(every).alias("p"), F.sum("_n").over(every).alias("n"))
     run = W.partitionBy(*by, "_slice").orderBy(F.col("score").desc())
     own = each.withColumn("_rp", F.sum("pos").over(run)).withColumn("_rn", F.sum("neg").over(run))
-    both = own.alias("a").join(offset.alias("b"), _same([*by, "_slice"], "a", "b"))
+    both = own.alias("a").join(offset.alias("b"), same([*by, "_slice"], "a", "b"))
     return both.select(*[F.col(f"a.{c}").alias(c) for c in by], "score", "pos", "neg", (F.col("_rp") + F.col("_tp")).alias("tp"), (F.col("_rn") + F.col("_fp")).alias("fp"), "p", "n")
 
 
@@ -104,10 +99,14 @@ def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("not isnan(a) and not isnan(b)")
 
     def ranks(c: str) -> DataFrame:
-        each = rows.groupBy(*by, c).agg(F.count("*").alias("_n"))
-        run = W.partitionBy(*by).orderBy(c)
-        return each.select(*by, c, (F.sum("_n").over(run) - (F.col("_n") - 1) / 2).alias(f"r{c}"))
-
-    x = rows.alias("l").join(ranks("a").alias("r"), _same([*by, "a"], "l", "r")).select("l.*", "ra")
-    y = x.alias("l").join(ranks("b").alias("r"), _same([*by, "b"], "l", "r")).select("l.*", "rb")
+        each = value_slices(rows.groupBy(*by, c).agg(F.count("*").alias("_n")), by, c)
+        run = W.partitionBy(*by, "_slice").orderBy(c)
+        own = each.withColumn("_up", F.sum("_n").over(run))
+        before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+        offset = each.groupBy(*by, "_slice").agg(F.sum("_n").alias("_c")).select(*by, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+        joined = own.alias("l").join(offset.alias("r"), same([*by, "_slice"], "l", "r"))
+        return joined.select(*[f"l.{x}" for x in by], f"l.{c}", (F.col("_before") + F.col("_up") - (F.col("_n") - 1) / 2).alias(f"r{c}"))
+
+    x = rows.alias("l").join(ranks("a").alias("r"), same([*by, "a"], "l", "r")).select("l.*", "ra")
+    y = x.alias("l").join(ranks("b").alias("r"), same([*by, "b"], "l", "r")).select("l.*", "rb")
     return y.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 9).alias("spearman"))

@@ -190,6 +190,7 @@ def orphans(sources: list[tuple[DataFrame, DataFrame, Reference]]) -> DataFrame:
     sure = _semi(timed, certain).select("ref", "child_id", "at")
     open_ = _semi(timed, undecided)
     few = parents.join(undecided.select("key").distinct(), "key", "left_semi")
+    few = F.broadcast(few) if few.count() <= BROADCAST_KEYS else few
     answered = (F.col("p.key") == F.col("r.key")) & (F.col("p.created") <= F.col("r.at")) & (F.col("p.deleted").isNull() | (F.col("p.deleted") > F.col("r.at")))
     exact = open_.alias("r").join(few.alias("p"), answered, "left_anti").select("ref", "child_id", "at")
     never = refs.where("at is null").select("ref", "child_id", "at")

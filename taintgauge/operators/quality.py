@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from taintgauge.operators import metrics
+
 
 def overlap(rows: DataFrame, by: list[str], pool: str, real: str = "real", content: str = "content") -> DataFrame:
     """Per pool: rows, duplicates, and rows whose content a real record has. `rows`: by, pool, content."""
@@ -34,11 +36,9 @@ def pairwise_overlap(rows: DataFrame, by: list[str], pool: str, content: str = "
 
 def ks_complement(df: DataFrame, by: list[str], value: str, synthetic: str) -> DataFrame:
     """1 - largest distance of the two distribution functions; `synthetic` is a 0/1 column."""
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    each = rows.groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.sum(1 - F.col(synthetic)).alias("r"), F.sum(synthetic).alias("s"))
-    run, every = W.partitionBy(*by).orderBy("v"), W.partitionBy(*by)
-    d = each.select(*by, F.abs(F.sum("r").over(run) / F.sum("r").over(every) - F.sum("s").over(run) / F.sum("s").over(every)).alias("d"))
-    return d.groupBy(*by).agg(F.round(1 - F.max("d"), 9).alias("score"))
+    c = metrics.curve(df.withColumn("_v", F.col(value).cast("double")), by, "_v", synthetic, unit=False)
+    gap = F.abs(F.col("tp") / F.col("p") - F.col("fp") / F.col("n"))
+    return c.groupBy(*by).agg(F.round(1 - F.max(gap), 9).alias("score"))
 
 
 def _shares(df: DataFrame, by: list[str], columns: list[str], synthetic: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taintgauge.operators.draws import sliced_rank
+from taintgauge.operators.draws import ordered_rank
 
 #: Validation records per block: the stated query set, sent to every training block.
 MOST_QUERIES = 2048
@@ -78,13 +78,8 @@ def exhaustive_shapley(x: np.ndarray, y: np.ndarray, queries: np.ndarray, labels
 
 def lowest_valued(values: DataFrame, by: list[str], key: str, value: str, share: float) -> DataFrame:
     """Records to delete: the max(1, floor(n x share)) of least value per group, ties by key."""
-    from pyspark.sql import Window as W
-
-    counts = values.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("_n"))
-    rank = F.row_number().over(W.partitionBy(*by).orderBy(value, key))
-    ranked = values.where(F.col(value).isNotNull()).withColumn("_r", rank)
-    joined = ranked.join(counts, by) if by else ranked.crossJoin(F.broadcast(counts))
-    return joined.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * share))).drop("_r", "_n")
+    ranked = ordered_rank(values.where(F.col(value).isNotNull()), by, value, key)
+    return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("group_rows") * share))).drop("rank", "group_rows")
 
 
 def data_oob(df: DataFrame, key: str, features: list[str], label: str, rounds: int = 40, seed: int = 7, block: int = 2000) -> DataFrame:
