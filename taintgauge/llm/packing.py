@@ -30,7 +30,7 @@ from taintgauge.llm.tokens import token_counts
 from taintgauge.session import materialise
 from taintgauge.sources.tables import table
 
-#: Slices by which documents of one size are ranked.
+#: Least number of slices by which documents of one size are ranked; there are as many as shuffle partitions, if these are more.
 SLICES = 64
 #: Tokens that one step works on, in containers of the longest context.
 STEP_CONTAINERS = 8
@@ -186,13 +186,14 @@ def _items(sizes: DataFrame, key: str, layouts: list[tuple[int, int]]) -> DataFr
     """One row per layout and piece: a document longer than the layout's longest context gives several pieces."""
     spark = sizes.sparkSession
     lay = spark.createDataFrame(layouts, "layout int, longest int")
+    slices = max(SLICES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pieces = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.col("longest")).cast("int"))
     return (
         sizes.crossJoin(F.broadcast(lay))  # at most one row per row of context_windows, a fixed table
         .withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
         .withColumn("first_token", F.col("piece").cast("bigint") * F.col("longest"))
         .withColumn("size", F.least(F.col("longest").cast("bigint"), F.col("n_tokens") - F.col("first_token")))
-        .withColumn("slice", F.pmod(F.xxhash64(key, "piece"), F.lit(SLICES)).cast("int"))
+        .withColumn("slice", F.pmod(F.xxhash64(key, "piece"), F.lit(slices)).cast("int"))
         .select("layout", key, "piece", "first_token", "size", "slice")
     )
 
