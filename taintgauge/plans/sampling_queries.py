@@ -80,13 +80,13 @@ def split_fiveway(spark: SparkSession, d: str) -> DataFrame:
     return draws.five_way_split(table(spark, d, "orders", "o_orderkey"), "o_orderkey", SEED)
 
 
-@query("SELECT count(*) AS rows, count(DISTINCT coalesce(trim(text), '<NA>')) AS distinct_rows, count(*) - count(DISTINCT coalesce(trim(text), '<NA>')) AS duplicates, round((count(*) - count(DISTINCT coalesce(trim(text), '<NA>'))) / count(*), 9) AS duplicate_rate FROM documents")
+@query("SELECT count(*) AS rows, count(DISTINCT coalesce(trim(text, ' '), '<NA>')) AS distinct_rows, count(*) - count(DISTINCT coalesce(trim(text, ' '), '<NA>')) AS duplicates, round((count(*) - count(DISTINCT coalesce(trim(text, ' '), '<NA>'))) / count(*), 9) AS duplicate_rate FROM documents")
 def dedup_report(spark: SparkSession, d: str) -> DataFrame:
     """PF2: exact duplicates of documents."""
     return cleaning.duplicate_report(table(spark, d, "documents", "text"), ["text"])
 
 
-_FP = "sha256(coalesce(trim(c_mktsegment), '<NA>') || chr(31) || coalesce(CAST(c_nationkey AS VARCHAR), '<NA>'))"
+_FP = "sha256(coalesce(trim(c_mktsegment, ' '), '<NA>') || chr(31) || coalesce(CAST(c_nationkey AS VARCHAR), '<NA>'))"
 
 
 @query(
@@ -335,7 +335,7 @@ _RENDER = {c: "string" if c in ("segment", "channel", "risk_band", "site_code")
 
 def _text(c: str) -> str:
     if _RENDER[c] == "string":
-        return f"coalesce(trim({c}), '<NA>')"
+        return f"coalesce(trim({c}, ' '), '<NA>')"
     if _RENDER[c] == "int":
         return f"coalesce(CAST({c} AS VARCHAR), '<NA>')"
     return rf"CASE WHEN {c} IS NULL OR isnan({c}) THEN '<NA>' ELSE regexp_replace(regexp_replace(printf('%.8f', {c}), '(\.\d*?)0+$', '\1'), '\.$', '') END"
