@@ -29,6 +29,8 @@ FLOOR = 0.02
 STRICT, VERIFIED, UNVERIFIED = 3.0, 14.0, 45.0
 #: Share of the sample's documents (and least number) from which a unit counts as known, however unusual its bigrams.
 KNOWN, KNOWN_LEAST = 0.001, 4
+#: Languages from which on a unit counts as a shared symbol.
+SHARED = 3
 #: Fits, each without the documents that the one before finds garbled.
 ROUNDS = 3
 #: Languages with a class of their own; the rarest beyond that share the commonest one's.
@@ -207,12 +209,13 @@ def _capitals(counts: Counter) -> Counter:
     return out
 
 
-def fit(by_tongue: list[Counter], known: list[Chain], often: Iterable[str] = ()) -> Model:
+def fit(by_tongue: list[Counter], known: list[Chain], often: dict[str, int] | None = None) -> Model:
     """Multinomial fit on units with their numbers of occurrences per language, garbled through every chain.
 
     Clean text has a class per language: pooled, its probabilities would be so thin that any chain which only
-    touches one language would suit that language's clean units better. Units seen `often` are known whatever their
-    bigrams, unless a chain's inverse reads as clean text.
+    touches one language would suit that language's clean units better. Units seen `often` (with the number of their
+    languages) are known whatever their bigrams, unless a chain's inverse reads as clean text; symbols that several
+    languages share only if that inverse is strict UTF-8.
     """
     counts = sum(by_tongue, Counter())
     # Capitals have classes of their own, and units that are rare in each language one in which they aren't.
@@ -251,11 +254,17 @@ def fit(by_tongue: list[Counter], known: list[Chain], often: Iterable[str] = ())
     model = Model(known, tongues, logp, {}, 0.0)
     common = sorted(counts, key=counts.get, reverse=True)[:2000]
     model.usual = float(np.quantile([model.clean(u) for u in common], 0.03)) if common else 0.0
-    often = [u for u in often if counts[u]]
+    often = {u: n for u, n in (often or {}).items() if counts[u] and u not in MARKS}
     judge = Judge(model)
     judge.learn(set(often))
-    alone = {u for u in often if sum(not c.isascii() for c in u) == 1}  # a single character is too little to go by
-    model.known = {u: float(np.log(counts[u] / total)) for u in often if u in alone or not judge.fixable(u, VERIFIED)}
+
+    def safe(u: str) -> bool:
+        if judge.strictly(u):
+            return False
+        # A single character is too little to go by.
+        return sum(not c.isascii() for c in u) == 1 or often[u] >= SHARED or not judge.fixable(u, VERIFIED)
+
+    model.known = {u: float(np.log(counts[u] / total)) for u in often if safe(u)}
     return model
 
 
@@ -281,6 +290,15 @@ class Judge:
         odds = self.memo[unit]
         return odds is not None and odds.max() >= least and self.restored(unit, np.argsort(-odds)[:3]) is not None
 
+    def strictly(self, unit: str) -> tuple[int, str] | None:
+        """Chain and original of a unit, or of a part of it, that is strict UTF-8 read as something else."""
+        odds = self.memo[unit]
+        if odds is None or odds[self.strict].max() < STRICT:
+            return None
+        order = self.strict[np.argsort(-odds[self.strict])[:4]]
+        order = order[odds[order] >= STRICT]
+        return self.restored(unit, order) or next((g for part in PART.findall(unit) if part != unit and (g := self.restored(part, order))), None)
+
     def restored(self, unit: str, order: np.ndarray) -> tuple[int, str] | None:
         """The likeliest chain (of the first few) whose strict inverse reads more like clean text than the unit."""
         before = self.model.clean(unit)
@@ -324,17 +342,13 @@ class Judge:
         lost = next((u for u in units if REFUSED in u), None)
         if lost is not None:
             return True, 99.0, -1 if self.memo[lost] is None else int(self.memo[lost].argmax())
+        if units and units[0] in MARKS:
+            return True, 99.0, 0
         if all(self.memo[u] is None for u in units):
             return False, 0.0, -1
         for u in dict.fromkeys(units):
-            odds = self.memo[u]
-            if odds is None or odds[self.strict].max() < STRICT:
-                continue
-            order = self.strict[np.argsort(-odds[self.strict])[:4]]
-            order = order[odds[order] >= STRICT]
-            got = self.restored(u, order) or next((g for part in PART.findall(u) if part != u and (g := self.restored(part, order))), None)
-            if got:
-                return True, float(odds[got[0]]), got[0]
+            if got := self.strictly(u):
+                return True, float(self.memo[u][got[0]]), got[0]
         score, chain, a, b = self.stretch(units)
         if score < VERIFIED or score >= UNVERIFIED:
             return score >= UNVERIFIED, score, chain
@@ -388,9 +402,13 @@ def train(texts: list[str], languages: list[str | None], known: list[Chain] | No
     slot = {k: i for i, k in enumerate(common)}
     found = [(slot.get(k, 0), units_of(t)) for t, k in zip(texts, languages, strict=True)]
     spread = Counter(u for _, us in found for u in set(us))
-    often = [u for u, n in spread.items() if n >= max(KNOWN_LEAST, KNOWN * len(texts))]
+    shared: dict[str, set] = {}
+    for k, us in found:
+        for u in us:
+            shared.setdefault(u, set()).add(k)
+    often = {u: len(shared[u]) for u, n in spread.items() if n >= max(KNOWN_LEAST, KNOWN * len(texts))}
     odd = suspects(Counter(u for _, us in found for u in us), known)
-    kept = [(k, us) for k, us in found if not any(REFUSED in u or u in odd for u in us)]
+    kept = [(k, us) for k, us in found if not any(u in MARKS or REFUSED in u or u in odd for u in us)]
     for turn in range(ROUNDS):
         by_tongue = [Counter() for _ in range(max(1, len(common)))]
         for k, us in kept:
