@@ -219,3 +219,24 @@ def bag_utility(bags: DataFrame, test: pd.DataFrame, features: list[str], target
 
     out = bags.groupBy(bag).applyInPandas(run, f"{bag} string, keep_utility double, cleanup_utility double, oracle_utility double")
     return out.where(F.col(bag).isNotNull()).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("keep_utility", "cleanup_utility", "oracle_utility")})
+
+
+def train_on_test_on_real(sets: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], target: str, by: str) -> DataFrame:
+    """(by, auroc, status): a logistic task model fitted to each group of `sets` and tested on real records.
+
+    The group of real records is TRTR, those of generators are TSTR. A group with a single class is reported, not raised.
+    Groups are few (generators); each fit is distributed.
+    """
+    spark = sets.sparkSession
+    ready = _prepare(sets.where(F.col(target).isNotNull()), numeric, categorical).withColumn("label", F.col(target).cast("int")).cache()
+    held = _prepare(test.where(F.col(target).isNotNull()), numeric, categorical).withColumn("label", F.col(target).cast("int")).cache()
+    out = []
+    for r in ready.groupBy(by).agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).orderBy(by).collect():
+        own = ready.where(F.col(by) == r[by])
+        if r["k"] < 2:
+            out.append((r[by], None, "single_class"))
+            continue
+        features = Pipeline(stages=_tabular(numeric, categorical)).fit(own)
+        model = PipelineModel([*features.stages, _logistic(r["n"], 1.0).fit(_sized(features.transform(own).select("label", "_features"), r["n"]))])
+        out.append((r[by], area(Detector("task", model, {}).score(held)), "ok"))
+    return spark.createDataFrame(out, f"{by} string, auroc double, status string")

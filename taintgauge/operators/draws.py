@@ -171,3 +171,13 @@ def binarize(df: DataFrame, value: str, threshold: float | None = None) -> DataF
     """`df` with `label`: 1 above the threshold (the median where none is given), NULL for NULL."""
     at = exact_quantile(df, value, 0.5) if threshold is None else threshold
     return df.withColumn("label", (F.col(value) > F.lit(at)).cast("int"))
+
+
+def absolute_split(df: DataFrame, key: str, sizes: dict[str, int], seed: int) -> DataFrame:
+    """(key, split): the first rows of a random order by given sizes; the rest is left out."""
+    at, split = 0, F.lit(None).cast("string")
+    r = F.col("rank")
+    for name, size in sizes.items():
+        split = F.when((r > at) & (r <= at + size), F.lit(name)).otherwise(split)
+        at += size
+    return sliced_rank(df.select(key), [], key, seed, "absolute").where(r <= at).select(key, split.alias("split"))

@@ -140,3 +140,25 @@ def mixture_ids(members: DataFrame, share: float, seed: int) -> Column:
     """mix:hash24 of condition, share, seed, source and id."""
     text = F.concat_ws("|", "condition", F.format_string("%.8f", F.lit(float(share))), F.lit(str(seed)), "source_type", "record_id")
     return F.concat(F.lit("mix:"), F.substring(F.sha2(text, 256), 1, 24))
+
+
+def condition_grid(real: DataFrame, synthetic: DataFrame, key: str, rates: list[float], seed: int) -> DataFrame:
+    """(condition, rate, source_type, record_id): all four conditions at all rates in one plan.
+
+    Records are ranked once; conditions and rates are a short list that each record is tested against.
+    """
+    n = real.count()
+    grid = [(c, r, int(r * n + 0.5)) for c in ("real_only", "real_append", "synthetic_append", "synthetic_replace") for r in rates]
+    dims = F.broadcast(real.sparkSession.createDataFrame(grid, "condition string, rate double, extra bigint"))  # 4 x rates rows
+    most = max(e for _, _, e in grid)
+    a = sliced_rank(real.select(key), [], key, seed, "keep").withColumn("source_type", F.lit("real"))
+    b = sliced_rank(synthetic.select(key), [], key, seed, "synthetic").where(F.col("rank") <= most).withColumn("source_type", F.lit("synthetic"))
+    c = slot_sample(real.select(key), key, most, seed, "append").select(key, (F.col("slot") + 1).alias("rank"), F.lit("real_bootstrap").alias("source_type"))
+    rows = a.unionByName(b).unionByName(c).crossJoin(dims)
+    inside = F.col("rank") <= F.col("extra")
+    keep = (
+        F.when(F.col("source_type") == "real", (F.col("condition") != "synthetic_replace") | (F.col("rank") <= n - F.col("extra")))
+        .when(F.col("source_type") == "synthetic", F.col("condition").isin("synthetic_append", "synthetic_replace") & inside)
+        .otherwise((F.col("condition") == "real_append") & inside)
+    )
+    return rows.where(keep).select("condition", "rate", "source_type", F.col(key).cast("string").alias("record_id"))

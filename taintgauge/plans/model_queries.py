@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taintgauge.functions.expr import hash60
-from taintgauge.operators import calibration, detect, generate, metrics, records, value
+from taintgauge.operators import calibration, detect, draws, generate, metrics, mixing, records, value
 from taintgauge.plans.book import h, query
 from taintgauge.plans.sampling_queries import NATIVE
 from taintgauge.plans.score_queries import scored
@@ -136,3 +136,27 @@ def rounded_pool(spark: SparkSession, d: str) -> DataFrame:
     return generate.rounded(c, "c_custkey", ["c_acctbal"], ["c_mktsegment"], c.count(), 7)
 
 
+
+
+@_register
+def trtr_tstr(spark: SparkSession, d: str) -> DataFrame:
+    """Q4: the task `defaulted` learned from real records and from each generator, tested on real ones."""
+    train, _, test = _labelled(spark, d)
+    more = table(spark, d, "labelled_records", "record_id", "created_at", "generator").dropDuplicates(["record_id", "created_at"])
+    own = train.where("table_id = 'table_b'").join(more, ["record_id", "created_at"])
+    return detect.train_on_test_on_real(own, test.where("table_id = 'table_b' and source_label = 0"), ["duration_months", "balance_ratio"], ["channel", "risk_band"], "defaulted", "generator")
+
+
+@_register
+def utility_curve(spark: SparkSession, d: str) -> DataFrame:
+    """Utility of four conditions at seven rates, and its difference from real_only at the same rate."""
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").where(F.col("o_orderstatus").isin("O", "F"))
+    x = o.select(F.col("o_orderkey").cast("string").alias("record_id"), "o_orderstatus", (F.col("o_totalprice") / 1000).alias("x0"), (F.col("o_custkey") % 97).cast("double").alias("x1"), ((F.col("o_totalprice") > 250_000) != (F.col("o_orderkey") % 10 == 0)).cast("int").alias("target"), hash60(9, F.col("o_orderkey").cast("string")).alias("hash"))
+    test = x.where("o_orderstatus = 'O'").orderBy("hash").limit(TEST_ROWS).toPandas()  # bounded sample
+    rest = x.where(F.pmod("hash", F.lit(10)) < 8)
+    pick = lambda s: draws.sample_rows(rest.where(F.col("o_orderstatus") == s).select("record_id"), [], "record_id", 1000, 3, s).select("record_id")
+    members = mixing.condition_grid(pick("O"), pick("F"), "record_id", [0.0, 0.05, 0.1, 0.25, 0.5, 0.75, 1.0], 11)
+    bags = members.join(x, "record_id").withColumn("bag_id", F.concat_ws("|", "condition", "rate")).withColumn("source_label", (F.col("source_type") == "synthetic").cast("int")).withColumn("score", F.lit(0.0))
+    worth = detect.bag_utility(bags, test, ["x0", "x1"], "target").select(F.substring_index("bag_id", "|", 1).alias("condition"), F.substring_index("bag_id", "|", -1).cast("double").alias("rate"), "keep_utility")
+    base = worth.where("condition = 'real_only'").select("rate", F.col("keep_utility").alias("base"))
+    return worth.join(base, "rate").select("condition", "rate", F.round("keep_utility", 9).alias("utility"), F.round(F.col("keep_utility") - F.col("base"), 9).alias("delta"))

@@ -410,3 +410,24 @@ def leave_one_table_out(spark: SparkSession, d: str) -> DataFrame:
 def hash_keys(spark: SparkSession, d: str) -> DataFrame:
     """The random key of all sampling, equal on both engines."""
     return table(spark, d, "customer", "c_custkey").select(F.col("c_custkey").cast("string").alias("row_key"), hash60(SEED, F.col("c_custkey").cast("string")).alias("hash_key"))
+
+
+@query(f"WITH r AS (SELECT c_custkey, {_rank('', f"'{SEED}|absolute|' || c_custkey", 'c_custkey')} AS rk FROM customer) SELECT c_custkey, CASE WHEN rk <= 60 THEN 'source' WHEN rk <= 75 THEN 'detector_train' WHEN rk <= 85 THEN 'detector_val' ELSE 'final_test' END AS split FROM r WHERE rk <= 100")
+def split_absolute(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of fixed sizes from a random order."""
+    return draws.absolute_split(table(spark, d, "customer", "c_custkey"), "c_custkey", {"source": 60, "detector_train": 15, "detector_val": 10, "final_test": 15}, SEED)
+
+
+def _side(side: str, tag: str) -> str:
+    return f"SELECT k, {_rank('', f"'{SEED}|{tag}|' || k", 'k')} AS rk FROM {side}"
+
+
+@query(
+    f"WITH {_SIDES}, n AS (SELECT count(*) AS n FROM r), g AS (SELECT rate, CAST(floor(rate * n + 0.5) AS BIGINT) AS extra, n FROM (SELECT unnest([0.0::DOUBLE, 0.25, 0.5]) AS rate), n), rr AS ({_side('r', 'keep')}), sr AS ({_side('s', 'synthetic')}), sn AS (SELECT count(*) AS m FROM s) "
+    "SELECT c AS condition, rate, CASE c WHEN 'synthetic_replace' THEN n - extra ELSE n END AS real_rows, CASE WHEN c LIKE 'synthetic%' THEN least(extra, m) ELSE 0 END AS synthetic_rows, CASE c WHEN 'real_append' THEN extra ELSE 0 END AS bootstrap_rows FROM g, sn, (SELECT unnest(['real_only', 'real_append', 'synthetic_append', 'synthetic_replace']) AS c)"
+)
+def condition_grid_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Make-up of all conditions at all rates."""
+    m = mixing.condition_grid(*_sides(spark, d), "o_orderkey", [0.0, 0.25, 0.5], SEED)
+    kinds = {"real_rows": "real", "synthetic_rows": "synthetic", "bootstrap_rows": "real_bootstrap"}
+    return m.groupBy("condition", "rate").agg(*[F.count_if(F.col("source_type") == v).alias(k) for k, v in kinds.items()])
