@@ -39,6 +39,8 @@ def shared_folder(spark: SparkSession) -> str:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not sc.master.startswith(("local[", "local")) or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="taintgauge-")
         atexit.register(shutil.rmtree, named, ignore_errors=True)
         named = "file://" + os.path.abspath(named)
