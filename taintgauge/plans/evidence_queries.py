@@ -144,6 +144,13 @@ def finding_error_decomposition(spark: SparkSession, d: str) -> DataFrame:
     return evidence.finding(_finding_8(spark, d), _F8_KEYS, means, n=F.count("*"), max_absolute_residual=F.round(F.max(F.abs(finite(F.col("max_absolute_residual")))), 9))
 
 
+@query("SELECT " + ", ".join([*_F8_KEYS, "true_prevalence"]) + ", count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN isfinite({c}) THEN {c} END), 9) AS {c}" for c in _F8_PARTS) + f", round(max(abs(CASE WHEN isfinite(max_absolute_residual) THEN max_absolute_residual END)), 9) AS max_absolute_residual FROM {_ONCE} GROUP BY ALL")
+def finding_error_decomposition_all(spark: SparkSession, d: str) -> DataFrame:
+    """F8, A3, PF25: plain means of all finite stored decompositions by all six keys."""
+    means = {c: F.col(c) for c in _F8_PARTS}
+    return evidence.finding(_finding_8(spark, d, "true_prevalence"), [*_F8_KEYS, "true_prevalence"], means, n=F.count("*"), max_absolute_residual=F.round(F.max(F.abs(finite(F.col("max_absolute_residual")))), 9))
+
+
 _T = [12.706204736, 4.30265273, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852, 2.20098516, 2.17881283, 2.160368656, 2.144786688, 2.131449546]
 _TABLE = "[" + ", ".join(f"{x}::DOUBLE" for x in _T) + "]"
 
@@ -155,6 +162,18 @@ def ci95_by_bag(spark: SparkSession, d: str) -> DataFrame:
     return inference.interval(e, ["protocol", "detector", "quantifier"], ["error", "regret"])
 
 
+_CI_KEYS = ["seed", "generator", "protocol", "detector", "quantifier"]
+_CI_METRICS = {"error": "error", "abs_error": "abs(error)", "delta": "delta", "regret": "regret"}
+_CI_LONG = " UNION ALL ".join(f"SELECT {', '.join(_CI_KEYS)}, '{k}' AS metric, {v} AS v FROM evidence" for k, v in _CI_METRICS.items())
+
+
+@query(_EVIDENCE + f", l AS ({_CI_LONG}) SELECT {', '.join(_CI_KEYS)}, metric, count(v) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, round({_TABLE}[count(v) - 1] * stddev_samp(v) / sqrt(count(v)), 6) AS half_width FROM l GROUP BY ALL HAVING count(v) > 0")
+def ci95_by_bag_all(spark: SparkSession, d: str) -> DataFrame:
+    """Intervals over the bags of every seed and generator."""
+    e = evidence_table(spark, d).withColumns({k: F.expr(v) for k, v in _CI_METRICS.items()})
+    return inference.interval(e, _CI_KEYS, list(_CI_METRICS))
+
+
 @query(_EVIDENCE + f", w AS (SELECT protocol, detector, quantifier, seed, avg(abs(error)) AS v FROM evidence GROUP BY ALL) SELECT protocol, detector, quantifier, 'abs_error' AS metric, count(*) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, round({_TABLE}[count(*) - 1] * stddev_samp(v) / sqrt(count(*)), 6) AS half_width FROM w GROUP BY ALL")
 def ci95_by_seed(spark: SparkSession, d: str) -> DataFrame:
     """Means within seeds, intervals over seeds."""

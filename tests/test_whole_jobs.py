@@ -50,3 +50,28 @@ def test_grams_keep_the_default_vocabulary(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         registry.QUERIES["char3gram_lr"](spark, FOLDER)
     assert seen == [{}]
+
+
+@pytest.fixture
+def evidence_folder(spark, tmp_path):
+    """Two deliveries of a small finding 8 table with an extreme value and a NaN."""
+    row = lambda i, rate, total: (i, 0, "P1", "d", "c", "q", "m", rate, 0.5, 0.25, 0.25, total, 0.0)
+    rows = [row(1, 0.1, 1.0), row(2, 0.1, 5000.0), row(3, 0.1, float("nan")), row(4, 0.5, 2.0)]
+    kinds = "decomposition_id bigint, seed int, protocol string, detector string, calibration_policy string, quantifier string, contamination_mode string, true_prevalence double, detection_error_contribution double, bag_sampling_error_contribution double, quantifier_adjustment_contribution double, total_prevalence_error double, max_absolute_residual double"
+    spark.createDataFrame(rows + rows[:1], kinds).write.parquet(str(tmp_path / "finding_8_error_decomposition.parquet"))
+    return str(tmp_path)
+
+
+def test_decomposition_averages_all_finite_values_by_six_keys(spark, evidence_folder):
+    got = {r["true_prevalence"]: (r["n"], r["total_prevalence_error"]) for r in registry.QUERIES["finding_error_decomposition_all"](spark, evidence_folder).collect()}
+    assert got == {0.1: (3, 2500.5), 0.5: (1, 2.0)}
+
+
+@data
+def test_intervals_cover_all_seeds_generators_and_metrics(spark):
+    rows = registry.QUERIES["ci95_by_bag_all"](spark, FOLDER).collect()
+    assert {r["seed"] for r in rows} == set(range(5)) and {r["generator"] for r in rows} == {"g0", "g1"}
+    assert {r["metric"] for r in rows} == {"error", "abs_error", "delta", "regret"}
+    short = ["protocol", "detector", "quantifier", "metric", "n", "mean", "std", "half_width"]
+    part = {tuple(r[c] for c in short) for r in rows if r["seed"] == 0 and r["generator"] == "g0" and r["metric"] in ("error", "regret")}
+    assert part == {tuple(r[c] for c in short) for r in registry.QUERIES["ci95_by_bag"](spark, FOLDER).collect() if r["n"]}
