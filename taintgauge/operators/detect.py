@@ -196,29 +196,69 @@ def small_auroc(score: np.ndarray, y: np.ndarray) -> float | None:
     return float((np.searchsorted(order, pos, "left") + np.searchsorted(order, pos, "right")).sum() / (2 * len(pos) * len(neg)))
 
 
-def bag_utility(bags: DataFrame, test: pd.DataFrame, features: list[str], target: str, bag: str = "bag_id", threshold: float = 0.5) -> DataFrame:
-    """(bag, keep_utility, cleanup_utility, oracle_utility): AUROC on a real test sample of models fitted to the bag as it
+#: Which records of a bag its models are fitted to; `below` is score < threshold.
+WORTHS = {"keep_utility": "true", "cleanup_utility": "below", "oracle_utility": "source_label = 0"}
+
+
+def bag_utility(bags: DataFrame, test: DataFrame | pd.DataFrame, features: list[str], target: str, bag: str = "bag_id", threshold: float = 0.5, worths: tuple[str, ...] = tuple(WORTHS), ridge: float = 1.0, rounds: int = 25) -> DataFrame:
+    """(bag, keep_utility, cleanup_utility, oracle_utility): AUROC on real test records of models fitted to the bag as it
     is, without records of score >= threshold, and without synthetic ones. NULL below 10 rows or with one class.
 
-    Bags are small by design (a draw), so one bag is one fit; `test` is a bounded sample that goes to every task.
+    Bags may have any size: each round of reweighted least squares sums the moments of all models in one job, and the
+    driver keeps a few weights per bag.
     """
-    tx, ty = test[features].to_numpy(float), test[target].to_numpy(int)
-    centre, scale = tx.mean(axis=0), tx.std(axis=0) + 1e-9
-
-    def worth(pdf: pd.DataFrame) -> float | None:
-        y = pdf[target].to_numpy(int)
-        if len(pdf) < 10 or len(np.unique(y)) < 2:
-            return None
-        w = logistic_fit((pdf[features].to_numpy(float) - centre) / scale, y)
-        return small_auroc(np.c_[(tx - centre) / scale, np.ones(len(tx))] @ w, ty)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[*features, target])
-        head = pdf[bag].iloc[0] if len(pdf) else None
-        return pd.DataFrame({bag: [head], "keep_utility": [worth(pdf)], "cleanup_utility": [worth(pdf[pdf["score"] < threshold])], "oracle_utility": [worth(pdf[pdf["source_label"] == 0])]}).astype({c: "float64" for c in ("keep_utility", "cleanup_utility", "oracle_utility")})
-
-    out = bags.groupBy(bag).applyInPandas(run, f"{bag} string, keep_utility double, cleanup_utility double, oracle_utility double")
-    return out.where(F.col(bag).isNotNull()).withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("keep_utility", "cleanup_utility", "oracle_utility")})
+    spark = bags.sparkSession
+    test = spark.createDataFrame(test) if isinstance(test, pd.DataFrame) else test
+    test = test.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(target).cast("int").alias("label")).cache()
+    ends = test.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(features) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    x = F.array(*[(F.col(c).cast("double") - F.lit(ends[f"m{i}"])) / F.lit(ends[f"s{i}"] + 1e-9) for i, c in enumerate(features)], F.lit(1.0))
+    usable = F.lit(True)
+    for c in [*features, target]:
+        usable &= F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    ready = bags.where(usable).withColumn("below", F.col("score") < threshold)
+    ready = ready.select(F.col(bag).alias("bag"), x.alias("x"), F.col(target).cast("double").alias("y"), F.array(*[F.coalesce(F.expr(WORTHS[w]), F.lit(False)) for w in worths]).alias("of")).cache()
+    counts = ready.select("bag", "y", F.posexplode("of")).where("col").groupBy("bag", "pos").agg(F.count("*").alias("n"), F.countDistinct("y").alias("k")).collect()
+    p = len(features) + 1
+    weights = {(r["bag"], r["pos"]): np.zeros(p) for r in counts if r["n"] >= 10 and r["k"] > 1}
+    names = [r["bag"] for r in ready.select("bag").distinct().collect()]
+    reg = np.diag([ridge] * (p - 1) + [1e-6])
+    moving = dict(weights)
+    for _ in range(rounds):
+        if not moving:
+            break
+
+        def moments(parts, at=moving):
+            total = {}
+            for pdf in parts:
+                for name, g in pdf.groupby("bag"):
+                    gx, gy, of = np.stack(g["x"].to_numpy()), g["y"].to_numpy(), np.stack(g["of"].to_numpy()).astype(bool)
+                    for k in range(of.shape[1]):
+                        if (name, k) in at and of[:, k].any():
+                            mx, my = gx[of[:, k]], gy[of[:, k]]
+                            q = 1 / (1 + np.exp(-np.clip(mx @ at[name, k], -30, 30)))
+                            m = np.r_[mx.T @ (q - my), ((mx * (q * (1 - q))[:, None]).T @ mx).ravel()]
+                            total[name, k] = total.get((name, k), 0) + m
+            for (name, k), m in total.items():
+                yield pd.DataFrame({"bag": name, "k": k, "i": range(len(m)), "v": m})
+
+        sums = {key: np.zeros(p + p * p) for key in moving}
+        for r in ready.mapInPandas(moments, "bag string, k int, i int, v double").groupBy("bag", "k", "i").agg(F.sum("v").alias("v")).collect():
+            sums[r["bag"], r["k"]][r["i"]] = r["v"]
+        left = {}
+        for key, m in sums.items():
+            w = moving[key]
+            step = np.linalg.solve(m[p:].reshape(p, p) + reg, m[:p] + reg @ w)
+            weights[key] = w - step
+            if np.abs(step).max() >= 1e-8:
+                left[key] = weights[key]
+        moving = left
+    ready.unpersist()
+    models = spark.createDataFrame([(*key, [float(v) for v in w]) for key, w in weights.items()], "bag string, worth int, w array<double>")
+    # Every test record is scored by every model: a few models per bag.
+    scored = test.select(x.alias("x"), "label").join(F.broadcast(models)).select("bag", "worth", "label", F.aggregate(F.zip_with("x", "w", lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v).alias("score"))
+    areas = metrics.auroc(scored, ["bag", "worth"]).groupBy("bag").agg(*[F.max(F.when(F.col("worth") == k, F.col("auroc"))).alias(w) for k, w in enumerate(worths)])
+    every = spark.createDataFrame([(v,) for v in names], "bag string").where("bag is not null")
+    return every.join(areas, "bag", "left").withColumnRenamed("bag", bag)
 
 
 def train_on_test_on_real(sets: DataFrame, test: DataFrame, numeric: list[str], categorical: list[str], target: str, by: str) -> DataFrame:

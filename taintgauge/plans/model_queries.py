@@ -6,11 +6,11 @@ from collections.abc import Callable
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taintgauge.functions.expr import hash60
-from taintgauge.operators import calibration, detect, draws, generate, metrics, mixing, records, value
+from taintgauge.operators import calibration, detect, generate, metrics, mixing, records, value
 from taintgauge.plans.book import h, query
 from taintgauge.plans.sampling_queries import NATIVE
 from taintgauge.plans.score_queries import scored
@@ -24,8 +24,6 @@ FEATURES = {
 }
 #: Label permutations per data set.
 PERMUTATIONS = 5
-#: Rows of the real test sample that utility is measured on.
-TEST_ROWS = 2000
 
 
 def _register(f):
@@ -108,6 +106,12 @@ def platt_ml(spark: SparkSession, d: str) -> DataFrame:
     return metrics.calibration(target, ["grp"]).withColumn("scores", F.lit("raw")).unionByName(metrics.calibration(p, ["grp"]).withColumn("scores", F.lit("calibrated")))
 
 
+def _held_out(x: DataFrame, real: Column) -> tuple[DataFrame, DataFrame]:
+    """(train, test): a fifth of the real rows by hash is the test part, all other rows are for training."""
+    held = real & (F.pmod("hash", F.lit(10)) >= 8)
+    return x.where(~held), x.where(held)
+
+
 @_register
 def utility_lr(spark: SparkSession, d: str) -> DataFrame:
     """V5, V6, H6: what keeping or cleaning a bag is worth, per bag."""
@@ -116,9 +120,8 @@ def utility_lr(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("bag"), F.pmod("o_orderkey", F.lit(40)).cast("string")).alias("bag_id"), (F.col("o_orderstatus") == "F").cast("int").alias("source_label"), (F.col("o_totalprice") / 1000).alias("x0"), (F.col("o_custkey") % 97).cast("double").alias("x1"),
         (hash60(5, F.col("o_orderkey").cast("string")) / float(1 << 60)).alias("score"), ((F.col("o_totalprice") > 250_000) != (F.col("o_orderkey") % 10 == 0)).cast("int").alias("target"), hash60(9, F.col("o_orderkey").cast("string")).alias("hash"),
     )
-    test = x.where("source_label = 0").orderBy("hash").limit(TEST_ROWS).toPandas()  # bounded sample
-    bags = x.where(F.pmod("hash", F.lit(100)) < 60)
-    return detect.bag_utility(bags, test, ["x0", "x1"], "target")
+    train, test = _held_out(x, F.col("source_label") == 0)
+    return detect.bag_utility(train, test, ["x0", "x1"], "target")
 
 
 @_register
@@ -179,11 +182,10 @@ def utility_curve(spark: SparkSession, d: str) -> DataFrame:
     """Utility of four conditions at seven rates, and its difference from real_only at the same rate."""
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").where(F.col("o_orderstatus").isin("O", "F"))
     x = o.select(F.col("o_orderkey").cast("string").alias("record_id"), "o_orderstatus", (F.col("o_totalprice") / 1000).alias("x0"), (F.col("o_custkey") % 97).cast("double").alias("x1"), ((F.col("o_totalprice") > 250_000) != (F.col("o_orderkey") % 10 == 0)).cast("int").alias("target"), hash60(9, F.col("o_orderkey").cast("string")).alias("hash"))
-    test = x.where("o_orderstatus = 'O'").orderBy("hash").limit(TEST_ROWS).toPandas()  # bounded sample
-    rest = x.where(F.pmod("hash", F.lit(10)) < 8)
-    pick = lambda s: draws.sample_rows(rest.where(F.col("o_orderstatus") == s).select("record_id"), [], "record_id", 1000, 3, s).select("record_id")
+    train, test = _held_out(x, F.col("o_orderstatus") == "O")
+    pick = lambda s: train.where(F.col("o_orderstatus") == s).select("record_id")
     members = mixing.condition_grid(pick("O"), pick("F"), "record_id", [0.0, 0.05, 0.1, 0.25, 0.5, 0.75, 1.0], 11)
     bags = members.join(x, "record_id").withColumn("bag_id", F.concat_ws("|", "condition", "rate")).withColumn("source_label", (F.col("source_type") == "synthetic").cast("int")).withColumn("score", F.lit(0.0))
-    worth = detect.bag_utility(bags, test, ["x0", "x1"], "target").select(F.substring_index("bag_id", "|", 1).alias("condition"), F.substring_index("bag_id", "|", -1).cast("double").alias("rate"), "keep_utility")
+    worth = detect.bag_utility(bags, test, ["x0", "x1"], "target", worths=("keep_utility",)).select(F.substring_index("bag_id", "|", 1).alias("condition"), F.substring_index("bag_id", "|", -1).cast("double").alias("rate"), "keep_utility")
     base = worth.where("condition = 'real_only'").select("rate", F.col("keep_utility").alias("base"))
     return worth.join(base, "rate").select("condition", "rate", F.round("keep_utility", 9).alias("utility"), F.round(F.col("keep_utility") - F.col("base"), 9).alias("delta"))

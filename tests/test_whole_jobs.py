@@ -75,3 +75,37 @@ def test_intervals_cover_all_seeds_generators_and_metrics(spark):
     short = ["protocol", "detector", "quantifier", "metric", "n", "mean", "std", "half_width"]
     part = {tuple(r[c] for c in short) for r in rows if r["seed"] == 0 and r["generator"] == "g0" and r["metric"] in ("error", "regret")}
     assert part == {tuple(r[c] for c in short) for r in registry.QUERIES["ci95_by_bag"](spark, FOLDER).collect() if r["n"]}
+
+
+@data
+@pytest.mark.parametrize("name", ["utility_lr", "utility_curve"])
+def test_utility_uses_all_rows_once_split(spark, monkeypatch, name):
+    seen = {}
+
+    def keep(bags, test, *a, **k):
+        seen["train"], seen["test"] = bags.select("hash").distinct().cache(), test
+        raise InterruptedError
+
+    monkeypatch.setattr(detect, "bag_utility", keep)
+    with pytest.raises(InterruptedError):
+        registry.QUERIES[name](spark, FOLDER)
+    orders = spark.read.parquet(f"{FOLDER}/orders.parquet")
+    n = {s: orders.where(F.col("o_orderstatus") == s).select("o_orderkey").distinct().count() for s in "OF"}
+    held = seen["test"].select("hash").distinct()
+    assert held.count() and seen["train"].join(held, "hash").count() == 0
+    real = n["O"] - held.count()
+    # a condition takes at most as many synthetic rows as there are real ones
+    assert seen["train"].count() == real + (n["F"] if name == "utility_lr" else min(n["F"], real))
+
+
+def test_utility_equals_one_fit_per_bag(spark):
+    rng = np.random.default_rng(3)
+    y = rng.integers(0, 2, 400)
+    x = rng.normal(y, 1)
+    bags = spark.createDataFrame([("a", int(t), float(v), 0.1, 0) for t, v in zip(y, x)], "bag_id string, target int, x double, score double, source_label int")
+    ty = rng.integers(0, 2, 200)
+    tx = rng.normal(ty, 1)
+    test = spark.createDataFrame([(int(t), float(v)) for t, v in zip(ty, tx)], "target int, x double")
+    scale = lambda v: ((v - tx.mean()) / (tx.std() + 1e-9))[:, None]
+    want = detect.small_auroc(np.c_[scale(tx), np.ones(200)] @ detect.logistic_fit(scale(x), y), ty)
+    assert abs(detect.bag_utility(bags, test, ["x"], "target").first()["keep_utility"] - want) < 1e-9
