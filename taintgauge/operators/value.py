@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import permutations
 
 import numpy as np
@@ -10,9 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taintgauge.functions.expr import hash60
 from taintgauge.operators.draws import ordered_rank
 
-#: Validation records per block: the stated query set, sent to every training block.
+#: Query records per block, sent to every training block.
 MOST_QUERIES = 2048
 
 
@@ -20,13 +22,23 @@ def knn_shapley(train: DataFrame, queries: DataFrame, key: str, vector: str, lab
     """(key, value): mean over `queries` of the Shapley value of each training record for a k-nearest-neighbour vote.
 
     For each query the training records are ranked by distance (ties by key); values follow from the farthest to the
-    nearest by v(r) = v(r+1) + (hit(r) - hit(r+1))/k * min(k, r)/r. Queries are few by definition (MOST_QUERIES, checked);
-    the records are never paired with each other. Ranking needs all distances of a query: they are exchanged by query and
-    slice of the distance, so no task ranks a whole query.
+    nearest by v(r) = v(r+1) + (hit(r) - hit(r+1))/k * min(k, r)/r. Queries are taken in blocks of about MOST_QUERIES,
+    whose sums per record are added up. Ranking needs all distances of a query: they are exchanged by query and slice of
+    the distance, so no task ranks a whole query.
     """
     n_queries = queries.count()
-    if n_queries > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries in one call; split the set and average")
+    blocks = -(-n_queries // MOST_QUERIES)
+    if blocks < 2:
+        sums = _shapley_sums(train, queries, key, vector, label, k)
+    else:
+        block = F.pmod(hash60(0, F.col(key).cast("string")), F.lit(blocks))
+        parts = [_shapley_sums(train, queries.where(block == b), key, vector, label, k) for b in range(blocks)]
+        sums = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.sum("value").alias("value"))
+    return sums.select(key, F.round(F.col("value") / n_queries, 9).alias("value"))
+
+
+def _shapley_sums(train: DataFrame, queries: DataFrame, key: str, vector: str, label: str, k: int) -> DataFrame:
+    """(key, value): Shapley values summed over one block of queries."""
     q = queries.select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("qv"), F.col(label).alias("ql"))
     pairs = train.select(key, F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("l")).join(F.broadcast(q))
     far = F.aggregate(F.zip_with("v", "qv", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
@@ -52,7 +64,7 @@ def knn_shapley(train: DataFrame, queries: DataFrame, key: str, vector: str, lab
     tail = sums.select("query", "slice", F.coalesce(F.sum("s").over(after), F.lit(0.0)).alias("tail"))
     own = F.sum("step").over(W.partitionBy("query", "slice").orderBy(F.col("r").desc()))
     valued = steps.withColumn("v", own).join(tail, ["query", "slice"])
-    return valued.groupBy(key).agg(F.round(F.sum(F.col("v") + F.col("tail")) / n_queries, 9).alias("value"))
+    return valued.groupBy(key).agg(F.sum(F.col("v") + F.col("tail")).alias("value"))
 
 
 def exhaustive_shapley(x: np.ndarray, y: np.ndarray, queries: np.ndarray, labels: np.ndarray, k: int) -> np.ndarray:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taintgauge.operators import detect
+from taintgauge.operators import detect, value
 from taintgauge.plans import model_queries, registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -109,3 +109,14 @@ def test_utility_equals_one_fit_per_bag(spark):
     scale = lambda v: ((v - tx.mean()) / (tx.std() + 1e-9))[:, None]
     want = detect.small_auroc(np.c_[scale(tx), np.ones(200)] @ detect.logistic_fit(scale(x), y), ty)
     assert abs(detect.bag_utility(bags, test, ["x"], "target").first()["keep_utility"] - want) < 1e-9
+
+
+def test_shapley_takes_queries_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.normal(size=3)], int(rng.random() < 0.5)) for i in range(60)]
+    e = spark.createDataFrame(rows, "id bigint, v array<double>, l int")
+    run = lambda: {r["id"]: r["value"] for r in value.knn_shapley(e.where("id >= 7"), e.where("id < 7"), "id", "v", "l").collect()}
+    whole = run()
+    monkeypatch.setattr(value, "MOST_QUERIES", 3)
+    got = run()
+    assert len(got) == 53 and all(abs(got[k] - whole[k]) < 2e-9 for k in whole)
