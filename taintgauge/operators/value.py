@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from itertools import permutations
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taintgauge.functions.expr import hash60
-from taintgauge.operators.draws import ordered_rank
+from taintgauge.operators.draws import ordered_rank, sliced_rank
 
 #: Query records per block, sent to every training block.
 MOST_QUERIES = 2048
@@ -94,61 +95,37 @@ def lowest_valued(values: DataFrame, by: list[str], key: str, value: str, share:
     return ranked.where(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("group_rows") * share))).drop("rank", "group_rows")
 
 
-def data_oob(df: DataFrame, key: str, features: list[str], label: str, rounds: int = 40, seed: int = 7, block: int = 2000) -> DataFrame:
-    """(key, value, coverage): mean correctness of each record under shallow models of bootstraps that left it out.
+def data_oob(df: DataFrame, key: str, features: list[str], label: str, rounds: int = 80, seed: int = 7, block: int = 20_000) -> DataFrame:
+    """(key, value, coverage): mean correctness of each record under shallow trees of bootstraps that left it out.
 
-    Records are dealt to blocks of about `block` by hash; each block fits its own bootstrapped stumps, so the work is
-    spread evenly and a block fits in memory. `label` is 0/1.
+    Each of the `rounds` bootstraps draws as many slots as there are rows, a slot takes the row of rank hash mod n; its
+    tree is fitted to all rows drawn, weighted by how often. `block` is the number of rows per task and doesn't change
+    the draws. `label` is 0/1.
     """
-    n = df.count()
-    blocks = max(1, n // block)
-    from taintgauge.functions.expr import hash60
-
-    dealt = df.select(F.col(key).cast("string").alias("k"), F.col(label).cast("int").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]).where("y is not null").withColumn("b", F.pmod(hash60(seed, "k"), F.lit(blocks)))
-
-    def stump(x: np.ndarray, y: np.ndarray, depth: int):
-        if depth == 0 or len(y) < 10 or y.min() == y.max():
-            return round(float(y.mean())) if len(y) else 0
-        best = None
-        for f in range(x.shape[1]):
-            order = np.argsort(x[:, f], kind="stable")
-            v, t = x[order, f], y[order]
-            ones = np.cumsum(t)
-            i = np.arange(5, len(t) - 4)
-            i = i[v[i] > v[i - 1]] if len(i) else i
-            if not len(i):
-                continue
-            left, right = ones[i - 1], ones[-1] - ones[i - 1]
-            gini = left * (i - left) / i + right * (len(t) - i - right) / (len(t) - i)
-            at = int(gini.argmin())
-            if best is None or gini[at] < best[0]:
-                best = (gini[at], f, (v[i[at]] + v[i[at] - 1]) / 2)
-        if best is None:
-            return round(float(y.mean()))
-        low = x[:, best[1]] < best[2]
-        return (best[1], best[2], stump(x[low], y[low], depth - 1), stump(x[~low], y[~low], depth - 1))
-
-    def predict(tree, x: np.ndarray) -> np.ndarray:
-        if not isinstance(tree, tuple):
-            return np.full(len(x), tree)
-        low = x[:, tree[0]] < tree[1]
-        out = np.empty(len(x), dtype=int)
-        out[low], out[~low] = predict(tree[2], x[low]), predict(tree[3], x[~low])
-        return out
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
-        x, y = pdf[[f"x{i}" for i in range(len(features))]].to_numpy(), pdf["y"].to_numpy()
-        rng = np.random.default_rng(seed + int(pdf["b"].iloc[0]))
-        right, seen = np.zeros(len(y)), np.zeros(len(y))
-        for _ in range(rounds):
-            pick = rng.integers(0, len(y), len(y))
-            out = np.setdiff1d(np.arange(len(y)), pick)
-            if len(out):
-                right[out] += predict(stump(x[pick], y[pick], 6), x[out]) == y[out]
-                seen[out] += 1
-        value = np.divide(right, seen, out=np.full(len(y), np.nan), where=seen > 0)
-        return pd.DataFrame({"k": pdf["k"], "value": value, "coverage": seen / rounds})
-
-    out = dealt.groupBy("b").applyInPandas(run, "k string, value double, coverage double")
-    return out.select(F.col("k").alias(key), F.when(~F.isnan("value"), F.round("value", 9)).alias("value"), F.round("coverage", 9).alias("coverage"))
+    spark = df.sparkSession
+    x = df.select(F.col(key).cast("string").alias("k"), F.col(label).cast("int").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]).where("y is not null")
+    ranked = sliced_rank(x, [], "k", seed, "row").cache()
+    n = ranked.count()
+    turns = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
+    slots = spark.range(n).select("id", turns.alias("turn")).select("turn", (F.pmod(hash60(seed, F.col("turn").cast("string"), F.col("id").cast("string")), F.lit(max(n, 1))) + 1).alias("rank"))
+    drawn = slots.groupBy("rank", "turn").count().groupBy("rank").agg(F.map_from_entries(F.collect_list(F.struct("turn", F.col("count").cast("double")))).alias("times"))
+    vector = VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="f")
+    ready = vector.transform(ranked.join(drawn, "rank", "left")).select("k", "y", "f", F.coalesce("times", F.create_map().cast("map<int,double>")).alias("times"))
+    ready = ready.coalesce(max(1, n // block)).cache()
+    ready.count()
+
+    def fit(turn: int):
+        rows = ready.select("f", "y", F.col("times")[turn].alias("w")).where("w is not null")
+        # At least five draws in a leaf, repeated ones counted.
+        tree = DecisionTreeClassifier(featuresCol="f", labelCol="y", weightCol="w", predictionCol=f"p{turn}", probabilityCol="", rawPredictionCol="", maxDepth=6, minInstancesPerNode=1, minWeightFractionPerNode=min(5 / n, 0.49), maxBins=256, seed=seed + turn)
+        return tree.fit(rows)
+
+    with ThreadPool(8) as pool:
+        trees = pool.map(fit, range(rounds))
+    out = ready
+    for tree in trees:
+        out = tree.transform(out)
+    left = [F.col("times")[t].isNull() for t in range(rounds)]
+    right = reduce(Column.__add__, [F.when(o & (F.col(f"p{t}") == F.col("y")), 1).otherwise(0) for t, o in enumerate(left)])
+    seen = reduce(Column.__add__, [o.cast("int") for o in left])
+    return out.select(F.col("k").alias(key), right.alias("right"), seen.alias("seen")).select(key, F.when(F.col("seen") > 0, F.round(F.col("right") / F.col("seen"), 9)).alias("value"), F.round(F.col("seen") / rounds, 9).alias("coverage"))

@@ -120,3 +120,13 @@ def test_shapley_takes_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(value, "MOST_QUERIES", 3)
     got = run()
     assert len(got) == 53 and all(abs(got[k] - whole[k]) < 2e-9 for k in whole)
+
+
+def test_out_of_bag_values_come_from_all_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(f"r{i}", int(y), float(rng.normal(y, 1))) for i, y in enumerate(rng.integers(0, 2, 300))]
+    df = spark.createDataFrame(rows, "id string, y int, x double").repartition(3).cache()
+    run = lambda block: {r["id"]: (r["value"], r["coverage"]) for r in value.data_oob(df, "id", ["x"], "y", rounds=6, block=block).collect()}
+    got = run(300)
+    assert len(got) == 300 and got == run(50)
+    assert value.data_oob.__defaults__[0] == 80
