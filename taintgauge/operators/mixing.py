@@ -69,7 +69,8 @@ def draw_bags(pools: DataFrame, requests: DataFrame, seed: int) -> DataFrame:
 
     pools: (source_type, record_id). Each bag makes slots, a slot takes the record of dense rank hash mod N of its pool,
     a record taken by several slots of a bag counts for the first. So a bag costs its own size, not the pool's. Slots
-    are four times the wanted number and eight more, which leaves a shortfall only for bags of more than about 98 % of a pool.
+    are four times the wanted number and nine; where they hit too few ranks, which takes a bag near the size of its pool,
+    the ranks not hit follow in the order of a hash. Only a pool smaller than `wanted` leaves a shortage.
     """
     ranked = sliced_rank(pools, ["source_type"], "record_id", seed, "pool")
     sizes = pools.groupBy("source_type").agg(F.count("*").alias("n"))
@@ -79,8 +80,15 @@ def draw_bags(pools: DataFrame, requests: DataFrame, seed: int) -> DataFrame:
     first = slots.groupBy("bag_id", "source_type", "wanted", "rank").agg(F.min("slot").alias("slot"))
     from pyspark.sql import Window as W
 
-    order = F.row_number().over(W.partitionBy("bag_id", "source_type").orderBy("slot"))
-    kept = first.withColumn("_turn", order).where("_turn <= wanted").join(ranked, ["source_type", "rank"])
+    hit = first.groupBy("bag_id", "source_type", "wanted").agg(F.count("*").alias("hits"))
+    short = hit.join(F.broadcast(sizes), "source_type").where("hits < least(wanted, n)")
+    whole = short.select("bag_id", "source_type", "wanted", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("rank"))
+    rest = whole.join(first.select("bag_id", "source_type", "rank"), ["bag_id", "source_type", "rank"], "left_anti")
+    turn = hash60(seed, F.lit("rest"), "bag_id", "source_type", F.col("rank").cast("string"))
+    # `last` puts the ranks not hit behind all slots.
+    first = first.select("bag_id", "source_type", "wanted", "rank", F.lit(0).alias("last"), F.col("slot").cast("bigint").alias("slot")).unionByName(rest.select("bag_id", "source_type", "wanted", "rank", F.lit(1).alias("last"), turn.alias("slot")))
+    order = F.row_number().over(W.partitionBy("bag_id", "source_type").orderBy("last", "slot", "rank"))
+    kept = first.withColumn("_turn", order).where("_turn <= wanted").drop("wanted", "last", "slot").join(ranked, ["source_type", "rank"])
     position = F.row_number().over(W.partitionBy("bag_id").orderBy(hash60(seed, F.lit("position"), "bag_id", "record_id"), "record_id")) - 1
     return kept.select("bag_id", "source_type", "record_id", position.alias("position"))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taintgauge.operators import detect, value
+from taintgauge.operators import detect, mixing, value
 from taintgauge.plans import model_queries, registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -130,3 +130,10 @@ def test_out_of_bag_values_come_from_all_rows(spark):
     got = run(300)
     assert len(got) == 300 and got == run(50)
     assert value.data_oob.__defaults__[0] == 80
+
+
+def test_bags_as_large_as_their_pool_are_whole(spark):
+    pools = spark.range(300).select(F.lit("real").alias("source_type"), F.col("id").cast("string").alias("record_id"))
+    wants = spark.createDataFrame([("all", "real", 300), ("most", "real", 299), ("few", "real", 20), ("over", "real", 400)], "bag_id string, source_type string, wanted bigint")
+    bags = mixing.draw_bags(pools, wants, 3).groupBy("bag_id").agg(F.count("*").alias("n"), F.countDistinct("record_id").alias("k")).collect()
+    assert {r["bag_id"]: (r["n"], r["k"]) for r in bags} == {"all": (300, 300), "most": (299, 299), "few": (20, 20), "over": (300, 300)}
