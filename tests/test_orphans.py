@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given
 from hypothesis import strategies as st
 
-from taintgauge.operators.orphans import RANGE, Reference, and_not, orphans, pack_bits
+from taintgauge.operators.orphans import RANGE, Reference, _members, _words, and_not, join_bits, orphan_keys, orphans, pack_bits
 
 REF = Reference("kids", "k", "id", ("k", "s"), "at", "folks", ("k", "s"), "made", "gone")
 KID, FOLK = "id bigint, k string, s string, at timestamp", "k string, s string, made timestamp, gone timestamp"
@@ -18,6 +18,19 @@ def test_and_not(a, b, wide_a, wide_b):
     pack = lambda s: pack_bits(np.array(sorted(s), dtype=np.int64))
     assert set(and_not(pack(a), pack(b)).tolist()) == a - b
     assert set(and_not(pack(a), None).tolist()) == a and len(and_not(None, pack(b))) == 0
+    assert set(_members(_words(join_bits([pack(a), pack(b)]))).tolist()) == a | b and join_bits([]) is None
+
+
+def test_the_rows_come_from_the_bitmaps(spark):
+    """Without the AND NOT every referenced key survives; with it only those whose parent is absent, or here in a part of the month."""
+    keys = spark.range(3000).selectExpr("cast(id as string) as key", "24300 + cast(id % 3 as int) as month")
+    # 24300 is January 2025; every fifth key has no parent, the others live from the start, every seventh dies within 2025-02.
+    parents = spark.range(3000).where("id % 5 > 0").selectExpr("cast(id as string) as key", "timestamp'2024-12-05' as created", "case when id % 7 = 0 then timestamp'2025-02-10' end as deleted")
+    got = {(int(r["key"]), r["certain"]) for r in orphan_keys(keys, parents).collect()}
+    want = {(i, True) for i in range(3000) if i % 5 == 0 or (i % 7 == 0 and i % 3 == 2)} | {(i, False) for i in range(3000) if i % 5 and i % 7 == 0 and i % 3 == 1}
+    assert got == want
+    blind = orphan_keys(keys, parents, lambda a, b: np.frombuffer(a, dtype="<u2", offset=1) if a else np.zeros(0, np.int64))
+    assert blind.where("certain").count() == 3000
 
 
 def brute(kids, folks):
