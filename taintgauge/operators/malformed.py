@@ -1,14 +1,16 @@
 """Problem 1: loading delimited lines and setting apart those that do not parse.
 
-Every record is parsed at minimum cost. The layer of cost zero is the plain grammar: delimiters outside quotes separate
-fields, a field that begins with the quote character ends at the next one that isn't doubled. If this layer reaches the
-end of the line with one type-valid value per column, the record loads. Otherwise a dynamic program over the tokens of
-the line (quotes, delimiters, text) may insert or delete quotes and delimiters, each at cost one, and may keep an
-invalid value at cost one; the operations of the cheapest parse state the reason:
+Every record is parsed at minimum cost by a dynamic program over the tokens of its line (quotes, delimiters, runs of
+spaces, words). It may insert quotes and delimiters between tokens and delete them, each at cost one, and keep an
+invalid value at cost one. A path of cost zero is the plain grammar: delimiters outside quotes separate fields, a field
+that begins with the quote character ends at the next one that isn't doubled, and there is one valid value per column.
+Such records load; of the others the operations of the cheapest parse state the reason:
 
     quote edits → 'quoting', delimiter edits → 'column count', none → 'value'
 
-Lines are independent: one narrow stage, no shuffle, linear in the length of a line.
+Most lines hold no quote, the right number of delimiters and only plain valid values: for these the path of cost zero
+is a split, done by built-in expressions. Only the rest reaches Python. Lines are independent: one narrow stage, no
+shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taintgauge.sources.tables import table
@@ -26,7 +28,7 @@ NUMBER = re.compile(r"[+-]?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?", re.ASCII)
 
 
 @dataclass(frozen=True)
-class Column:
+class Field:
     name: str
     role: str
     value_type: str
@@ -43,12 +45,12 @@ class Layout:
     quote: str | None
     comment: str | None
     missing: frozenset[str]  # lower case
-    columns: tuple[Column, ...] = field(default=())
+    columns: tuple[Field, ...] = field(default=())
 
     def is_record(self, line: str | None) -> bool:
         return bool(line) and not line.isspace() and not (self.comment and line.startswith(self.comment))
 
-    def value(self, column: Column, text: str) -> tuple[bool, str | None]:
+    def value(self, column: Field, text: str) -> tuple[bool, str | None]:
         """(valid, value): a missing value is valid and gives None."""
         text = text.strip()
         if column.role == "target":
@@ -64,185 +66,162 @@ class Layout:
         return inside and (column.value_type != "int" or number.is_integer()), text
 
 
-def plain_parse(line: str, layout: Layout) -> list[str] | None:
-    """The fields of the zero-cost layer, or None if it breaks off at a quote."""
-    delimiter, quote = layout.delimiter, layout.quote
-    if not quote or quote not in line:
-        return [f.strip(" ") for f in line.split(delimiter)]
-    fields, at, end = [], 0, len(line)
-    while True:
-        while at < end and line[at] == " " and delimiter != " ":
-            at += 1
-        if line.startswith(quote, at):
-            at += 1
-            parts = []
-            while True:
-                close = line.find(quote, at)
-                if close < 0:
-                    return None
-                parts.append(line[at:close])
-                at = close + 1
-                if line.startswith(quote, at):
-                    parts.append(quote)
-                    at += 1
-                else:
-                    break
-            fields.append("".join(parts))
-            while at < end and line[at] == " " and delimiter != " ":
-                at += 1
-            if at < end and not line.startswith(delimiter, at):
-                return None
-        else:
-            stop = line.find(delimiter, at)
-            stop = end if stop < 0 else stop
-            text = line[at:stop]
-            if quote in text:
-                return None
-            fields.append(text.strip(" "))
-            at = stop
-        if at >= end:
-            return fields
-        at += len(delimiter)
-
-
 def _tokens(line: str, layout: Layout) -> list[str]:
     marks = "|".join(re.escape(m) for m in (layout.delimiter, layout.quote) if m)
-    fine = [t for t in re.split(f"({marks}| +)", line) if t]
-    # In long lines, delimiters are no longer inserted between words of a field.
-    return fine if len(fine) <= LONG else [t for t in re.split(f"({marks}|(?<=[{re.escape(layout.delimiter + (layout.quote or ''))}]) +)", line) if t]
+    return [t for t in re.split(f"({marks}| +)", line) if t]
 
 
 # A state is (column, mode): before a field, in an unquoted field, in a quoted one, after a closing quote, and in an
 # unquoted field that has taken a delimiter as text.
 START, OPEN, QUOTED, CLOSED, LITERAL = range(5)
+_BEGUN = re.compile(r"[+-]?(?:[0-9]+(?:\.(?:[0-9]+(?:[eE][+-]?[0-9]*)?)?|[eE][+-]?[0-9]*)?)?\s*", re.ASCII)
+
+
+class Residues:
+    """What of a field's text so far can matter for its validity: the text itself while it may still become valid, else nothing."""
+
+    def __init__(self, layout: Layout) -> None:
+        self.layout = layout
+        self.known: dict[tuple[int, str], str | None] = {}
+        self.starts = []
+        for c in layout.columns:
+            words = {m for m in layout.missing} | {w.lower() for w in (() if c.role == "numeric" else c.levels)}
+            self.starts.append(frozenset(w[:i] for w in words for i in range(len(w) + 1)))
+
+    def of(self, column: int, text: str) -> str | None:
+        known = self.known.get((column, text), 0)
+        if known == 0:
+            c = self.layout.columns[column]
+            left = text.lstrip()
+            bare = left.rstrip()
+            dots = bare.rstrip(".") if c.role == "target" else bare
+            begun = self.starts[column]
+            alive = left.lower() in begun or bare.lower() in begun or dots.lower() in begun or self.layout.value(c, text)[0]
+            known = left if alive or (c.role == "numeric" and _BEGUN.fullmatch(left)) else None
+            if len(self.known) < 50_000:
+                self.known[column, text] = known
+        return known
 
 
-#: Paths kept per state: whether a field is valid only shows at its end, so equals in cost aren't equals yet. Lines of
-#: more than LONG tokens keep one.
-KEPT, LONG = 4, 200
+# A path: (cost, edits, text of the field so far, its residue, (operation, before), (field, before)).
+_Path = tuple
 
 
-def cheapest_parse(line: str, layout: Layout) -> tuple[int, list[str], list[str]]:
-    """(cost, operations, fields) of a parse with exactly one field per column.
+def cheapest_parse(line: str, layout: Layout, residues: Residues | None = None) -> tuple[int, list[str], list[str]]:
+    """(cost, operations, fields) of a parse with exactly one field per column; no parse costs less.
 
-    The bound on the cost is raised step by step, so that the usual line, one or two edits away from a good one, never
-    carries dearer paths along. Some parse always exists: everything may be quoted or deleted.
+    The bound on the cost is raised step by step, so that the usual line, none, one or two edits away from a good one,
+    never carries dearer paths along. Some parse always exists: everything may be deleted.
     """
     tokens = _tokens(line, layout)
-    bound = 1
-    while (found := _parse_within(tokens, layout, bound)) is None:
+    residues = residues or Residues(layout)
+    bound = 0
+    while (found := _parse_within(tokens, layout, bound, residues)) is None:
         bound = bound + 1 if bound < 4 else 2 * bound
     return found
 
 
-def _parse_within(tokens: list[str], layout: Layout, bound: int) -> tuple[int, list[str], list[str]] | None:
-    """The cheapest parse of cost up to `bound`.
+def _parse_within(tokens: list[str], layout: Layout, bound: int, residues: Residues) -> tuple[int, list[str], list[str]] | None:
+    """The cheapest parse of cost up to `bound`, or None.
 
-    Each state keeps its cheapest paths with different texts of the field so far; of equal cost those with fewer
-    edits come first, then those found first.
+    The text of a field changes what the rest of a path costs by at most one: its value is valid or not. So a path
+    dearer than another of its state is never needed, and of equally dear ones one per residue is; of these the one
+    with fewer edits is kept, then the one found first.
     """
     columns, delimiter, quote = layout.columns, layout.delimiter, layout.quote
     last = len(columns) - 1
-    keep = KEPT if len(tokens) <= LONG else 1
-    # (column, mode) → [(cost, edits, parts of the field, their hash, (operation, before), (field, before))]
-    front = {(0, START): [(0, 0, (), 0, None, None)]}
+    front: dict[tuple[int, int], dict[str | None, _Path]] = {(0, START): {"": (0, 0, "", "", None, None)}}
 
-    def offer(into: dict, state: tuple[int, int], path: tuple) -> None:
-        if path[0] > bound:
+    def offer(into: dict, state: tuple[int, int], path: _Path) -> None:
+        cost = path[0]
+        if cost > bound:
             return
-        known = into.setdefault(state, [])
-        for i, k in enumerate(known):
-            if k[3] == path[3]:
-                if path[:2] < k[:2]:
-                    known[i] = path
-                    known.sort(key=lambda x: x[:2])
-                return
-        if len(known) < keep or path[:2] < known[-1][:2]:
-            known.append(path)
-            known.sort(key=lambda x: x[:2])
-            del known[keep:]
-
-    def paths(states: dict):
-        return [(j, mode, path) for (j, mode), kept in states.items() for path in kept]
-
-    def text_of(parts) -> str:
-        out = []
-        while parts:
-            parts, t = parts
-            out.append(t)
-        return "".join(reversed(out))
-
-    def close(column: int, path: tuple) -> tuple:
-        cost, edits, parts, _, ops, fields = path
-        text = text_of(parts).strip(" ")
+        known = into.get(state)
+        if known is None:
+            into[state] = {path[3]: path}
+            return
+        best = next(iter(known.values()))[0]
+        if cost > best:
+            return
+        if cost < best:
+            known.clear()
+        same = known.get(path[3])
+        if same is None or path[1] < same[1]:
+            known[path[3]] = path
+
+    def paths(states: dict) -> list:
+        return [(j, mode, path) for (j, mode), kept in states.items() for path in kept.values()]
+
+    def close(column: int, path: _Path) -> _Path:
+        cost, edits, text, _, ops, fields = path
+        text = text.strip(" ")
         bad = not layout.value(columns[column], text)[0]
-        return (cost + bad, edits, (), 0, (f"value {columns[column].name}", ops) if bad else ops, (text, fields))
+        return (cost + bad, edits, "", "", (f"value {columns[column].name}", ops) if bad else ops, (text, fields))
 
-    def edited(path: tuple, what: str) -> tuple:
+    def edited(path: _Path, what: str) -> _Path:
         return (path[0] + 1, path[1] + 1, path[2], path[3], (what, path[4]), path[5])
 
-    def add(path: tuple, text: str) -> tuple:
-        return (*path[:2], (path[2], text), hash((path[3], text)), *path[4:])
+    def add(column: int, path: _Path, text: str) -> _Path:
+        whole = path[2] + text
+        return (path[0], path[1], whole, None if path[3] is None else residues.of(column, whole), path[4], path[5])
 
     def inserts(states: dict) -> dict:
-        """States reached by inserting a quote or a delimiter here."""
-        out = {k: list(v) for k, v in states.items()}
+        """States reached by inserting quotes or delimiters here."""
+        if bound == 0:
+            return states
+        out = {k: dict(v) for k, v in states.items()}
         for j, mode, path in paths(states):
-            if quote:
+            if quote and path[0] < bound:
                 if mode == START:
                     offer(out, (j, QUOTED), edited(path, "insert quote"))
                 elif mode == QUOTED:
                     offer(out, (j, CLOSED), edited(path, "insert quote"))
-        for j, mode, path in paths(out):
-            if mode != QUOTED and j < last:
-                offer(out, (j + 1, START), edited(close(j, path), "insert delimiter"))
+        for column in range(last):  # several in a row leave empty fields
+            for mode in (START, OPEN, CLOSED, LITERAL):
+                for path in list(out.get((column, mode), {}).values()):
+                    if path[0] < bound:
+                        offer(out, (column + 1, START), edited(close(column, path), "insert delimiter"))
         return out
 
-    size, at = len(tokens), 0
-    while at < size:
-        token = tokens[at]
-        front = inserts(front)
+    for at, token in enumerate(tokens):
         new: dict = {}
-        for j, mode, path in paths(front):
+        for j, mode, path in paths(inserts(front)):
             if token == quote:
                 if mode == START:
                     offer(new, (j, QUOTED), path)
                 elif mode == QUOTED:
                     offer(new, (j, CLOSED), path)
                 elif mode == CLOSED and at and tokens[at - 1] == quote:
-                    offer(new, (j, QUOTED), add(path, quote))  # doubled
+                    offer(new, (j, QUOTED), add(j, path, quote))  # doubled
                 offer(new, (j, mode), edited(path, "delete quote"))
             elif token == delimiter:
                 if mode == QUOTED:
-                    offer(new, (j, QUOTED), add(path, token))
+                    offer(new, (j, QUOTED), add(j, path, token))
                 else:
                     if j < last:
                         offer(new, (j + 1, START), close(j, path))
                     offer(new, (j, mode), edited(path, "delete delimiter"))
-                    if mode != CLOSED:
-                        offer(new, (j, LITERAL), edited(add(path, token), "delete delimiter"))
-            elif token.isspace() and token.strip(" ") == "":
-                offer(new, (j, mode), path if mode in (START, CLOSED) else add(path, token))
-            elif mode in (START, OPEN, LITERAL):
-                offer(new, (j, LITERAL if mode == LITERAL else OPEN), add(path, token))
-            elif mode == QUOTED:
-                offer(new, (j, QUOTED), add(path, token))
+                    if mode != CLOSED and path[0] < bound:
+                        offer(new, (j, LITERAL), edited(add(j, path, token), "delete delimiter"))
+            elif mode in (START, CLOSED) and token[0] == " " and not token.strip(" "):
+                offer(new, (j, mode), path)
+            elif mode == START:
+                offer(new, (j, OPEN), add(j, path, token))
             elif mode == CLOSED:  # the quotes before didn't close a field
-                offer(new, (j, OPEN), edited(add(path, token), "delete quote"))
+                if path[0] < bound:
+                    offer(new, (j, OPEN), edited(add(j, path, token), "delete quote"))
+            else:
+                offer(new, (j, mode), add(j, path, token))
         front = new
         if not front:
             return None
-        at += 1
     ends: dict = {}
     for j, mode, path in paths(inserts(front)):
         if mode != QUOTED:
             offer(ends, (j, CLOSED), close(j, path))
-    for j in range(last):  # missing fields at the end
-        for path in ends.get((j, CLOSED), ()):
-            offer(ends, (j + 1, CLOSED), close(j + 1, edited(path, "insert delimiter")))
     if (last, CLOSED) not in ends:
         return None
-    cost, _, _, _, ops, fields = ends[(last, CLOSED)][0]
+    cost, _, _, _, ops, fields = min(ends[last, CLOSED].values(), key=lambda p: p[:2])
 
     def chain(link) -> list[str]:
         out = []
@@ -254,37 +233,60 @@ def _parse_within(tokens: list[str], layout: Layout, bound: int) -> tuple[int, l
     return cost, chain(ops), chain(fields)
 
 
-def read_line(line: str, layout: Layout | None) -> tuple[str | None, int, list[str], list[str | None]]:
+def read_line(line: str, layout: Layout | None, residues: Residues | None = None) -> tuple[str | None, int, list[str], list[str | None]]:
     """(reason or None, cost, operations, values) of one record."""
     if layout is None or not layout.columns:
         return "column count", 1, ["no layout"], []
-    fields = plain_parse(line, layout)
-    plain: list[str] = []
-    if fields is not None and len(fields) == len(layout.columns):
-        checked = [layout.value(c, f) for c, f in zip(layout.columns, fields, strict=True)]
-        plain = [f"value {c.name}" for c, (ok, _) in zip(layout.columns, checked, strict=True) if not ok]
-        if not plain:
-            return None, 0, [], [v for _, v in checked]
-    cost, ops, repaired = cheapest_parse(line, layout)
-    if plain and len(plain) <= cost:
-        cost, ops, repaired = len(plain), plain, fields
-    values = [layout.value(c, f)[1] for c, f in zip(layout.columns, repaired, strict=True)]
+    cost, ops, fields = cheapest_parse(line, layout, residues)
+    values = [layout.value(c, f)[1] for c, f in zip(layout.columns, fields, strict=True)]
+    if not cost:
+        return None, 0, [], values
     if any(op.endswith("quote") for op in ops):
-        reason = "quoting"
-    elif any(op.endswith("delimiter") for op in ops):
-        reason = "column count"
-    else:
-        reason = "value"
-    if not ops:  # only the strict grammar objects: nothing to edit, yet no plain parse
-        reason, ops = ("quoting" if fields is None else "column count"), ["strict grammar"]
-    return reason, cost, ops, values
+        return "quoting", cost, ops, values
+    return ("column count" if any(op.endswith("delimiter") for op in ops) else "value"), cost, ops, values
+
+
+def plain_values(known: dict[str, Layout], line: Column, dataset: Column) -> Column:
+    """The values of a line whose path of cost zero is a mere split, else NULL.
+
+    Only lines of printable ASCII without quotes are judged, and a value counts only where it is valid beyond doubt; all
+    others are left to the program.
+    """
+    out = F.lit(None).cast("array<string>")
+    for name, layout in known.items():
+        if not layout.columns:
+            continue
+        parts = F.split(line, "\\Q" + layout.delimiter + "\\E", -1)
+        fine = (F.size(parts) == len(layout.columns)) & ~line.rlike("[^ -~]") & (F.trim(line) != "")
+        for mark in (layout.quote, layout.comment):
+            if mark:
+                fine = fine & ~(F.contains(line, F.lit(mark)) if mark == layout.quote else F.startswith(line, F.lit(mark)))
+        values = []
+        for i, c in enumerate(layout.columns):
+            text = F.trim(F.get(parts, F.lit(i)))
+            if c.role == "target":
+                text = F.regexp_replace(text, r"\.+$", "")
+            lost = (F.trim(text) == "") | F.lower(text).isin(sorted(layout.missing))
+            if c.role == "numeric":
+                number = F.when(text.rlike("^" + NUMBER.pattern + r"\z"), text.try_cast("double"))
+                valid = F.abs(number) < float("inf")
+                for bound, inside in ((c.low, number >= F.lit(c.low)), (c.high, number <= F.lit(c.high))):
+                    valid = valid & inside if bound is not None else valid
+                if c.value_type == "int":
+                    valid = valid & (number == F.floor(number))
+            else:
+                valid = text.isin(sorted(c.levels))
+            fine = fine & F.coalesce(lost | valid, F.lit(False))
+            values.append(F.when(~lost, text))
+        out = F.when((dataset == name) & fine, F.array(*values)).otherwise(out)
+    return out
 
 
 def layouts(specs: DataFrame, columns: DataFrame) -> dict[str, Layout]:
     """Layouts by data set, from the fixed tables dataset_spec and dataset_columns (3 and 13 rows)."""
     by: dict[str, list] = {}
     for r in columns.orderBy("dataset_id", "column_position").collect():
-        by.setdefault(r["dataset_id"], []).append(Column(r["column_name"], r["column_role"], r["value_type"], r["min_value"], r["max_value"], frozenset(r["levels"] or ())))
+        by.setdefault(r["dataset_id"], []).append(Field(r["column_name"], r["column_role"], r["value_type"], r["min_value"], r["max_value"], frozenset(r["levels"] or ())))
     return {
         r["dataset_id"]: Layout(r["delimiter"] or ",", r["quote_char"] or None, r["comment_prefix"] or None, frozenset(m.strip().lower() for m in r["missing_markers"] or () if m is not None), tuple(by.get(r["dataset_id"], ())))
         for r in specs.collect()
@@ -304,6 +306,7 @@ def parse_records(raw: DataFrame, known: dict[str, Layout]) -> DataFrame:
         import pyarrow as pa
 
         none = Layout(",", None, None, frozenset())
+        residues = {name: Residues(layout) for name, layout in known.items()}
         for batch in batches:
             ids, sets, files, lines = (batch.column(i).to_pylist() for i in range(4))
             keep, out = [], []
@@ -311,7 +314,7 @@ def parse_records(raw: DataFrame, known: dict[str, Layout]) -> DataFrame:
                 layout = known.get(d)
                 if (layout or none).is_record(line):
                     keep.append(i)
-                    out.append(read_line(line, layout))
+                    out.append(read_line(line, layout, residues.get(d)))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([ids[i] for i in keep], pa.int64()), pa.array([sets[i] for i in keep], pa.string()), pa.array([files[i] for i in keep], pa.string()),
@@ -320,8 +323,12 @@ def parse_records(raw: DataFrame, known: dict[str, Layout]) -> DataFrame:
                 names=["line_id", "dataset_id", "member_file", "reason", "cost", "operations", "values"],
             )
 
-    narrow = raw.select(F.col("line_id").cast("bigint"), "dataset_id", "member_file", "raw_line")
-    return narrow.mapInArrow(run, "line_id bigint, dataset_id string, member_file string, reason string, cost int, operations array<string>, values array<string>")
+    values = plain_values(known, F.col("raw_line"), F.col("dataset_id"))
+    narrow = raw.select(F.col("line_id").cast("bigint").alias("line_id"), "dataset_id", "member_file", "raw_line")
+    nothing = [F.lit(None).cast("string").alias("reason"), F.lit(0).alias("cost"), F.array().cast("array<string>").alias("operations")]
+    plain = narrow.select("line_id", "dataset_id", "member_file", *nothing, values.alias("values")).where("values is not null")
+    rest = narrow.where(values.isNull())
+    return plain.unionByName(rest.mapInArrow(run, "line_id bigint, dataset_id string, member_file string, reason string, cost int, operations array<string>, values array<string>"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
