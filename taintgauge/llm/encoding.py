@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taintgauge.llm import garble
 from taintgauge.sources.tables import table
 
-#: Documents (about) that the classifier is fitted on: those of smallest key hash. Everything is then judged by it.
+#: Documents that the classifier is fitted on: those of smallest key hash. Everything is then judged by it.
 SAMPLE = 6000
 
 _JUDGES: dict[str, garble.Judge] = {}
@@ -25,18 +25,20 @@ def _judge(name: str, model: garble.Model) -> garble.Judge:
 
 
 def train(df: DataFrame, key: str, text: str, language: str, sample: int = SAMPLE) -> garble.Model:
-    """Fit on a sample of about `sample` documents, chosen by the hash of their key; the bound doesn't grow with the data."""
+    """Fit on the `sample` documents of smallest key hash; the bound doesn't grow with the data."""
     rows = df.where(F.col(text).isNotNull())
     slices = 1 << 20
     share = min(slices, -(-sample * slices // max(1, rows.count())))
-    picked = rows.where(F.pmod(F.xxhash64(key), F.lit(slices)) < share).select(text, language).limit(2 * sample).collect()
+    slice_ = F.pmod(F.xxhash64(key), F.lit(slices))
+    few = rows.where(slice_ < 2 * share)  # twice as many as wanted, so that few are sorted
+    picked = few.select(text, language, slice_.alias("_slice"), F.col(key).alias("_key")).orderBy("_slice", "_key", text).limit(sample).collect()
     return garble.train([r[0] for r in picked], [r[1] for r in picked])
 
 
 def judge(df: DataFrame, key: str, text: str, model: garble.Model, repair: bool = False) -> DataFrame:
     """(key, garbled, log_odds, chain[, restored, units_restored, units_left]): one row per row of `df`.
 
-    NULL, empty and ASCII texts are never garbled. `restored` is the text with everything undone that can be, else the
+    NULL and empty texts are never garbled, ASCII texts only if they hold NUL characters or character references. `restored` is the text with everything undone that can be, else the
     text as it is. One narrow stage over whole texts; a NULL key stays NULL, repeated rows are judged as often as they
     come, an empty table gives no rows, other columns are pruned.
     """

@@ -25,8 +25,13 @@ import numpy as np
 BUCKETS = 1 << 16
 #: Share of each class's probability that is spread evenly over all buckets.
 FLOOR = 0.02
-#: Log odds at which a unit whose inversion is strict UTF-8 is a case, a stretch whose inversion reads as clean text, and any other stretch.
-STRICT, VERIFIED, UNVERIFIED = 3.0, 14.0, 45.0
+#: Log odds at which a unit whose inversion is strict UTF-8 is a case, one with characters that a reader has refused, a
+#: stretch whose inversion reads as clean text, and any other stretch.
+STRICT, LOST, VERIFIED, UNVERIFIED = 3.0, 3.0, 14.0, 45.0
+#: Weight of each letter that all classes know beside the units of the sample, however small or plain the sample is.
+LETTER = 1e-3
+#: Part of each chain's weight that goes to a misread byte order mark, which the units of a sample never hold.
+MARK = 1e-3
 #: Share of the sample's documents (and least number) from which a unit counts as known, however unusual its bigrams.
 KNOWN, KNOWN_LEAST = 0.001, 4
 #: Languages from which on a unit counts as a shared symbol.
@@ -43,6 +48,9 @@ MEMO = 100_000
 # The ideographic full stop only ends units: without it the phrases of unspaced scripts recur.
 UNIT = re.compile(r"[A-Za-z]{0,3}[^\x00-\x7f。]+(?:[A-Za-z]{1,12}[^\x00-\x7f。]+)*[A-Za-z]{0,3}")
 PART = re.compile(r"[^\x00-\x7f]{2,}")
+# Two-byte text read byte by byte, low or high byte first: letters between low control characters.
+WIDE = re.compile(r"(?:[\x00-\xff][\x00-\x05]){3,}|(?:[\x00-\x05][\x00-\xff]){3,}")
+LETTERS = "".join(chr(c) for a, b in ((0xC0, 0x180), (0x390, 0x3D0), (0x410, 0x450)) for c in range(a, b) if chr(c).isalpha())
 REFUSED = "�"
 
 
@@ -115,7 +123,8 @@ class Chain:
 
 
 def chains() -> list[Chain]:
-    one = [("utf-8", b) for b in ("latin-1", "cp1252", "cp1251", "cp1250", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8-r", "gb18030", "gbk", "shift_jis", "cp932", "big5", "euc_kr", "ascii", "iso8859-15")]
+    one = [("utf-8", b) for b in ("latin-1", "cp1252", "cp1251", "cp1250", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8-r", "gb18030", "gbk", "shift_jis", "cp932", "big5", "euc_kr", "ascii", "iso8859-15", "iso8859-2", "iso8859-5")]
+    one += [("utf-16-le", "latin-1"), ("utf-16-be", "latin-1")]
     one += [("cp1252", b) for b in ("cp1251", "cp1250", "cp437", "cp850", "mac_roman", "koi8-r", "utf-8", "gbk")]
     one += [("cp1250", b) for b in ("cp1252", "cp1251", "iso8859-2", "utf-8", "mac_roman")] + [("iso8859-2", b) for b in ("cp1252", "cp1250", "utf-8")]
     one += [("cp1251", b) for b in ("cp1252", "koi8-r", "mac_roman", "cp866", "utf-8", "cp437", "iso8859-5")] + [("koi8-r", b) for b in ("cp1251", "cp1252", "utf-8", "cp866")]
@@ -150,11 +159,15 @@ def prepare(text: str) -> tuple[str, str]:
 
 
 def units_of(text: str) -> list[str]:
-    """Units of a text in order; a misread byte order mark is one."""
-    if text.isascii() and "&" not in text:
+    """Units of a text in order; a misread byte order mark is one, and runs of two-byte text come first."""
+    wide = "\x00" in text
+    if not wide and text.isascii() and "&" not in text:
         return []
     mark, rest = prepare(text)
-    return [mark, *UNIT.findall(rest)] if mark else UNIT.findall(rest)
+    runs = WIDE.findall(rest) if wide else []
+    if runs:
+        rest = WIDE.sub(" ", rest)
+    return [*([mark] if mark else ()), *runs, *UNIT.findall(rest)]
 
 
 def bigrams(units: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +209,9 @@ class Model:
         return out
 
     def clean(self, unit: str) -> float:
-        """Log probability per bigram as clean text."""
+        """Log probability per bigram as clean text; 0 for plain ASCII, which needs no reading."""
+        if unit.isascii() and "\x00" not in unit:
+            return 0.0
         bucket, _ = bigrams([unit])
         return float(self.logp[bucket, : self.tongues].mean(axis=0).max())
 
@@ -236,6 +251,7 @@ def fit(by_tongue: list[Counter], known: list[Chain], often: dict[str, int] | No
                 if not v.isascii() and (k == 0 or v != u):
                     clean[v] = clean.get(v, 0.0) + (n**0.75 if k == 0 else n**0.75 * 0.1)
         put(i, clean)
+    put(tongues - 1, dict.fromkeys(LETTERS, LETTER))
     weight = {u: n**0.75 for u, n in counts.items()}
     for i, chain in enumerate(known, start=tongues):
         made: dict[str, float] = {}
@@ -247,6 +263,12 @@ def fit(by_tongue: list[Counter], known: list[Chain], often: dict[str, int] | No
             for k, v in enumerate(afterwards(g)):
                 if not v.isascii() and (k == 0 or v != g) and counts.get(v, 0) < counts[u]:
                     made[v] = made.get(v, 0.0) + (w if k == 0 else w * 0.1)
+        own = sum(made.values())
+        for c in LETTERS:
+            if (g := chain.garble(c)) and g != c and not g.isascii():
+                made[g] = made.get(g, 0.0) + LETTER
+        if chain.steps[0][0] == "utf-8" and (g := chain.garble("\ufeff")):
+            made[g] = made.get(g, 0.0) + max(LETTER, MARK * own)
         put(i, made)
     share = table / np.maximum(table.sum(axis=0), 1e-9)
     logp = np.log((1 - FLOOR) * share + FLOOR / BUCKETS).astype(np.float32)
@@ -307,11 +329,15 @@ class Judge:
             if not back or back == unit or REFUSED in back:
                 continue
             bare = back.lstrip("\ufeff")
+            shown = "".join(bare.split()).isprintable()
             if not bare or bare.isascii():  # a byte order mark, a mark of punctuation
-                good = bare.isprintable()
+                good = shown
+            elif "\x00" in unit:  # whole sentences: most of their own units must read well
+                inner = UNIT.findall(bare)
+                good = shown and 2 * sum(u in self.model.known or self.model.clean(u) >= self.model.usual for u in inner) >= len(inner)
             else:
                 after = 0.0 if bare in self.model.known else self.model.clean(bare)
-                good = after > before and after >= self.model.usual and bare.replace("\xa0", "").isprintable()
+                good = after > before and after >= self.model.usual and shown
             if good:
                 return int(c), back
         return None
@@ -339,14 +365,11 @@ class Judge:
 
     def verdict(self, units: list[str]) -> tuple[bool, float, int]:
         """(garbled, log odds, chain) for the units of a text, in order."""
-        lost = next((u for u in units if REFUSED in u), None)
-        if lost is not None:
-            return True, 99.0, -1 if self.memo[lost] is None else int(self.memo[lost].argmax())
-        if units and units[0] in MARKS:
-            return True, 99.0, 0
         if all(self.memo[u] is None for u in units):
             return False, 0.0, -1
         for u in dict.fromkeys(units):
+            if REFUSED in u and (odds := self.memo[u]) is not None and odds.max() >= LOST:  # nothing to invert
+                return True, float(odds.max()), int(odds.argmax())
             if got := self.strictly(u):
                 return True, float(self.memo[u][got[0]]), got[0]
         score, chain, a, b = self.stretch(units)
@@ -358,6 +381,16 @@ class Judge:
         """(text with every unit restored where possible, units restored, units left garbled, chains)."""
         mark, rest = prepare(text)
         done, left, used = int(bool(mark)), 0, Counter()
+
+        def narrow(m: re.Match) -> str:
+            nonlocal done
+            odds = self.memo.get(m.group())
+            got = None if odds is None else self.restored(m.group(), np.argsort(-odds)[:3])
+            done += int(got is not None)
+            return got[1] if got else m.group()
+
+        if "\x00" in rest:
+            rest = WIDE.sub(narrow, rest)
         # The text was most likely garbled once: the chain that explains most units is tried first on all of them.
         votes = Counter(got[0] for u in UNIT.findall(rest) if (o := self.memo.get(u)) is not None and (got := self.restored(u, np.argsort(-o)[:6])))
         main = votes.most_common(1)[0][0] if votes else None

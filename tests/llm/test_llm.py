@@ -193,6 +193,16 @@ def test_registered_query_equals_its_sql(spark, name):
 # Garbled text
 
 
+def test_tiny_and_plain_samples():
+    """Samples without any garbled or accented text: every class still knows the letters."""
+    for texts in ([], ["plain text"] * 5, ["für über größer"] * 5):
+        judge = garble.Judge(garble.train(texts, [None] * len(texts)))
+        for text, want in (("plain", False), ("M�nchen", True), ("fÃ¼r Ã¼ber grÃ¶Ã\x9fer", True), ("für", False), ("", False)):
+            units = garble.units_of(text)
+            judge.learn(set(units))
+            assert judge.verdict(units)[0] == want, (texts[:1], text, judge.verdict(units))
+
+
 @pytest.mark.parametrize("chain", garble.chains(), ids=lambda c: c.name)
 def test_strict_inverse(chain):
     for text in ("größere Lösung", "déjà vu", "średnia błędów", "Доля записей", "数据包多出"):
@@ -214,17 +224,19 @@ def test_found_and_restored(spark):
 
     clean = [r["text"] for r in docs.where("text is not null").collect() if not verdict(r["text"])]
     rng = random.Random(3)
-    known = {c.name: c for c in model.chains}
     tried = right = restored = 0
-    for name in ("utf-8 read as cp1252", "utf-8 read as latin-1", "utf-8 read as cp1251", "utf-8 read as cp1250", "utf-8 read as mac_roman", "utf-8 read as cp437"):
-        for text in rng.sample([t for t in clean if len(t) > 200 and not t.isascii() and "&" not in t], 25):
-            made = known[name].garble(text.lstrip("﻿"))
-            if made is None or garble.REFUSED in made:
-                continue
+    fit = [t.lstrip("﻿") for t in clean if len(t) > 200 and not t.isascii() and "&" not in t]
+    for chain in model.chains:  # all of them, on texts that they can be undone on
+        made = ((text, chain.garble(text)) for text in rng.sample(fit, 150))
+        for text, bad in [(t, g) for t, g in made if g and g != t and garble.REFUSED not in g and chain.restore(g) == t][:12]:
             tried += 1
-            right += verdict(made)
-            restored += judge.repair(made)[0] == text.lstrip("﻿")
-    assert tried > 60 and right / tried >= 0.98 and restored / tried >= 0.8, (tried, right, restored)
+            right += verdict(bad)
+            restored += judge.repair(bad)[0] == text
+    assert tried > 500 and right / tried >= 0.98 and restored / tried >= 0.85, (tried, right, restored)
+    # Refused characters and misread byte order marks are found by the model's odds.
+    assert verdict("Sp�ter bleibt es unver�ndert") and verdict("ï»¿plain") and verdict("п»їplain") and verdict("ďťżplain")
+    wide = "Die Größe\nder Stichprobe".encode("utf-16-le").decode("latin-1")
+    assert verdict(wide) and judge.repair(wide)[0] == "Die Größe\nder Stichprobe"
     for text in ("", "plain", "naïve café — “quoted” 5 °C", "ﬁt ｆｕｌｌ 👩‍🔬 ──┼──┤"):
         assert not verdict(text)
     rows = [(1, None), (2, ""), (3, "x" * 100_000), (None, "Ã¼ber fÃ¼r"), (4, "für " * 50_000), (4, "für " * 50_000)]
