@@ -11,6 +11,7 @@ QUERIES = {
     "p3_report": sampling.p3_report,
     "p5_percentiles": digests.p5_percentiles,
     "p5_monthly": digests.p5_monthly,
+    "p5_ranks": digests.p5_ranks,
     "p6_ids": tokens.p6_ids,
     "p6_round_trip": tokens.p6_round_trip,
     "p7_containers": packing.p7_containers,
@@ -58,4 +59,7 @@ SELECT DISTINCT 'quantification_bag_estimates', bag_id, category FROM bn LEFT JO
     + """, held AS (SELECT pool, category, count(*) AS available FROM pool GROUP BY ALL), got AS (SELECT target_table, target_key, size, category, needed, count(*) AS seats FROM drawn GROUP BY ALL)
 SELECT target_table, target_key, category, share, needed, coalesce(available, 0) AS available, coalesce(seats, 0) AS seats, greatest(0, needed - coalesce(available, 0)) AS short
 FROM wanted LEFT JOIN held USING (pool, category) LEFT JOIN got USING (target_table, target_key, size, category, needed)""",
+    "p5_ranks": """
+WITH x AS (SELECT decomposition_id, any_value(detector) AS detector, any_value(quantifier) AS quantifier FROM finding_8_error_decomposition WHERE total_prevalence_error IS NOT NULL AND NOT isnan(total_prevalence_error) GROUP BY decomposition_id)
+SELECT detector, quantifier, percentile::DOUBLE AS percentile, count(*) AS n, true AS within FROM x, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS p(percentile) GROUP BY ALL""",
 }

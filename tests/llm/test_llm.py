@@ -114,6 +114,39 @@ def test_percentiles_are_within_the_stated_error(spark):
     assert digests.certified_percentiles(df.limit(0), ["g"], "v").count() == 0
 
 
+def test_infinite_values_end_and_are_certified(spark):
+    """Masses of infinities at both ends, and values of all magnitudes."""
+    rng = np.random.default_rng(5)
+    inf = float("inf")
+    groups = {
+        "tenth": [*rng.normal(size=900).tolist(), *[inf] * 100],
+        "both": [*rng.normal(size=100).tolist(), *[inf] * 450, *[-inf] * 450],
+        "only": [inf] * 40 + [-inf] * 60,
+        "wide": (np.sign(rng.normal(size=3000)) * 10.0 ** rng.uniform(-308, 308, 3000)).tolist(),
+        "ends": [1.7e308] * 300 + [-1.7e308] * 300 + [5e-324] * 300 + [-0.0, 0.0] * 50,
+    }
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v], "g string, v double").repartition(5)
+    for out in (digests.certified_percentiles(df, ["g"], "v"), digests.certified_percentiles(df, ["g"], "v", fineness=4, rounds=0)):
+        got = out.collect()
+        assert len(got) == 5 * len(digests.PERCENTILES)
+        for r in got:
+            v, n = np.array(groups[r["g"]]), len(groups[r["g"]])
+            slack = max(1, digests.RANK_ERROR * n)
+            assert (v < r["value"]).sum() - slack <= r["percentile"] * n <= (v <= r["value"]).sum() + slack, r
+            assert r["below"] == (v < r["value"]).sum() and r["up_to"] == (v <= r["value"]).sum()
+
+
+def test_selection_is_exact(spark):
+    rng = np.random.default_rng(6)
+    groups = {"a": rng.normal(size=777).tolist(), None: [1.0, 1.0, 2.0, -3.0], "z": [0.0, -0.0, float("inf"), -float("inf")]}
+    df = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("a", None), ("nan", float("nan"))], "g string, v double")
+    for r in digests.selected_percentiles(df, ["g"], "v").collect():
+        v = np.sort(groups[r["g"]])
+        assert r["estimates"] == [v[max(1, int(np.ceil(q * len(v)))) - 1] for q in digests.PERCENTILES]
+    bits = digests.ordered_bits(np.array([-np.inf, -1.0, -5e-324, 0.0, 5e-324, 1.0, np.inf]))
+    assert (np.diff(bits.astype(object)) > 0).all() and digests.from_ordered_bits(bits)[[0, 1, 6]].tolist() == [-np.inf, -1.0, np.inf]
+
+
 def test_finer_digests_follow_when_the_error_is_too_large(spark):
     df = spark.createDataFrame([("a", float(x)) for x in range(5000)], "g string, v double")
     out = digests.certified_percentiles(df, ["g"], "v", fineness=8, within=0.002).collect()
@@ -124,7 +157,7 @@ def test_merging_daily_digests_equals_one_digest_closely(spark):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(int(d), float(x)) for d, x in zip(rng.integers(0, 30, 20000), rng.normal(size=20000))], "d int, v double")
     daily = digests.merge_digests(digests.partial_digests(df, ["d"], "v"), ["d"])
-    all_ = digests.merge_digests(daily.select("n", "low", "high", "means", "weights"), [])
+    all_ = digests.merge_digests(daily.select(digests.DIGEST), [])
     r = digests.read_percentiles(all_, []).first()
     exact = np.quantile([x["v"] for x in df.collect()], digests.PERCENTILES)
     assert r["n"] == 20000 and np.abs(np.array(r["estimates"]) - exact).max() < 0.05
@@ -132,7 +165,7 @@ def test_merging_daily_digests_equals_one_digest_closely(spark):
 
 def test_deliveries_count_once(spark):
     df = spark.createDataFrame([(1, 2.0), (1, 2.0), (2, 3.0), (None, 4.0), (None, 4.0), (None, 5.0)], "k bigint, v double")
-    assert sorted(r["v"] for r in digests.first_deliveries(df, "k", "v").collect()) == [2.0, 3.0, 4.0, 5.0]
+    assert sorted(r["v"] for r in digests.first_deliveries(df, "k", "v").collect()) == [2.0, 3.0, 4.0, 4.0, 5.0]
 
 
 # Sampling
@@ -181,7 +214,7 @@ def test_targets_are_cleaned(spark):
 
 
 @has_data
-@pytest.mark.parametrize("name", ["p3_found", "p3_sample", "p3_report"])
+@pytest.mark.parametrize("name", ["p5_ranks", "p3_found", "p3_sample", "p3_report"])
 def test_registered_query_equals_its_sql(spark, name):
     from oracle import compare, connect
 
