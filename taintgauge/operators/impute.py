@@ -13,11 +13,12 @@ on them, and a second pass decodes the missing cells. This is the same fit as pa
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taintgauge.session import materialise
@@ -27,9 +28,10 @@ from taintgauge.sources.tables import table
 RANK = 8
 ITERATIONS = 25
 RIDGE = 0.3
-#: Slots into which groups and months are hashed; bounds the width of the encoding.
-GROUP_SLOTS = 16
-MONTH_SLOTS = 24
+#: Groups, and months, of a data set with factors of their own; the rarest beyond that share one more slot with records
+#: that have none. Bounds the width of the encoding.
+MOST_GROUPS = 500
+MOST_MONTHS = 500
 SEED = 77
 
 
@@ -52,6 +54,8 @@ class Scheme:
 
     dataset: str
     fields: tuple[Field, ...]
+    groups: tuple[str, ...] = ()
+    months: tuple[int, ...] = ()
 
     @property
     def starts(self) -> list[int]:
@@ -63,14 +67,14 @@ class Scheme:
 
     @property
     def width(self) -> int:
-        return self.starts[-1] + GROUP_SLOTS + MONTH_SLOTS
+        return self.starts[-1] + len(self.groups) + 1 + len(self.months) + 1
 
-    def encode(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(cells with 0 where unobserved, pattern of observed fields as bits, missing fields as booleans)."""
+    def encode(self, pdf: pd.DataFrame) -> tuple[np.ndarray, list[tuple[str, np.ndarray]], np.ndarray]:
+        """(cells with 0 where unobserved, patterns of observed fields with their rows, missing fields as booleans)."""
         n, starts = len(pdf), self.starts
         cells = np.zeros((n, self.width))
         cells[:, 0] = 1
-        pattern = np.zeros(n, dtype=np.int64)
+        have = np.zeros((n, len(self.fields)), dtype=bool)
         missing = np.zeros((n, len(self.fields)), dtype=bool)
         for i, f in enumerate(self.fields):
             col = pdf[f"_{f.name}"]
@@ -84,16 +88,21 @@ class Scheme:
                 code = pd.Categorical(col, categories=list(f.levels)).codes
                 seen = code >= 0
                 cells[np.flatnonzero(seen), starts[i] + code[seen]] = 1
-            pattern |= np.where(seen, 1 << i, 0)
+            have[:, i] = seen
         at = np.arange(n)
-        cells[at, starts[-1] + pdf["_group"].to_numpy()] = 1
-        cells[at, starts[-1] + GROUP_SLOTS + pdf["_month"].to_numpy()] = 1
-        return cells, pattern, missing
-
-    def observed(self, pattern: int) -> np.ndarray:
+        group = pd.Categorical(pdf["_group"], categories=list(self.groups)).codes
+        month = pd.Categorical(pdf["_month"], categories=list(self.months)).codes
+        cells[at, starts[-1] + np.where(group < 0, len(self.groups), group)] = 1
+        cells[at, starts[-1] + len(self.groups) + 1 + np.where(month < 0, len(self.months), month)] = 1
+        kinds, of = np.unique(np.packbits(have, axis=1), axis=0, return_inverse=True)
+        of = of.ravel()
+        return cells, [(k.tobytes().hex(), np.flatnonzero(of == i)) for i, k in enumerate(kinds)], missing
+
+    def observed(self, pattern: str) -> np.ndarray:
         """Features present in rows of a pattern, without the constant."""
         starts = self.starts
-        parts = [np.arange(starts[i], starts[i + 1]) for i in range(len(self.fields)) if pattern >> i & 1]
+        have = np.unpackbits(np.frombuffer(bytes.fromhex(pattern), dtype=np.uint8))
+        parts = [np.arange(starts[i], starts[i + 1]) for i in range(len(self.fields)) if have[i]]
         return np.concatenate([*parts, np.arange(starts[-1], self.width)])
 
 
@@ -109,7 +118,7 @@ class Fit:
         return np.linalg.solve(v.T @ v + RIDGE * np.eye(v.shape[1]), v.T)
 
 
-def fit(scheme: Scheme, moments: dict[int, np.ndarray]) -> Fit:
+def fit(scheme: Scheme, moments: dict[str, np.ndarray]) -> Fit:
     """Alternating least squares on second moments per pattern (pattern → width x width, the constant first)."""
     width = scheme.width
     count, total, square = np.zeros(width), np.zeros(width), np.zeros(width)
@@ -144,13 +153,16 @@ def fit(scheme: Scheme, moments: dict[int, np.ndarray]) -> Fit:
 
 def decode(scheme: Scheme, model: Fit, pdf: pd.DataFrame) -> list[tuple[int, str, float | None, str | None]]:
     """(row position, column, number, category) of every missing cell, always a valid value."""
-    cells, pattern, missing = scheme.encode(pdf)
+    cells, patterns, missing = scheme.encode(pdf)
     z = (cells - model.mean) / model.scale
     starts, out = scheme.starts, []
     wanted = missing & np.array([f.fill for f in scheme.fields], dtype=bool)
-    for p in np.unique(pattern[wanted.any(axis=1)]):
-        rows = np.flatnonzero((pattern == p) & wanted.any(axis=1))
-        seen = scheme.observed(int(p))
+    some = wanted.any(axis=1)
+    for p, of in patterns:
+        rows = of[some[of]]
+        if not len(rows):
+            continue
+        seen = scheme.observed(p)
         guess = (z[np.ix_(rows, seen)] @ model.solver(seen).T) @ model.factors.T * model.scale + model.mean
         for i, f in enumerate(scheme.fields):
             own = wanted[rows, i]
@@ -217,27 +229,40 @@ def cleaned(records: DataFrame, known: dict[str, Scheme], markers: dict[str, lis
                 clean = F.when(~((x == "") | F.lower(x).isin(markers[d])), x)
             value = F.when(F.col("table_id") == d, clean).otherwise(value)
         cols.append(value.alias(f"_{n}"))
-    group = F.pmod(F.xxhash64(F.coalesce("generator", F.lit(""))), F.lit(GROUP_SLOTS)).cast("int").alias("_group")
-    month = F.coalesce(F.pmod(F.year("observed_at") * 12 + F.month("observed_at"), F.lit(MONTH_SLOTS)), F.lit(0)).cast("int").alias("_month")
-    return first.where(F.col("table_id").isin(list(known))).select(*base, group, month, *cols)
+    month = F.year("observed_at") * 12 + F.month("observed_at")
+    return first.where(F.col("table_id").isin(list(known))).select(*base, F.col("generator").alias("_group"), month.alias("_month"), *cols)
+
+
+def with_context(rows: DataFrame, known: dict[str, Scheme]) -> dict[str, Scheme]:
+    """The schemes with the groups and months that occur in each data set, the commonest first."""
+    out = dict(known)
+    for name, most in (("_group", MOST_GROUPS), ("_month", MOST_MONTHS)):
+        counts = rows.where(F.col(name).isNotNull()).groupBy("table_id", name).agg(F.count("*").alias("n"))
+        turn = F.row_number().over(W.partitionBy("table_id").orderBy(F.col("n").desc(), name))
+        found: dict[str, list] = {}
+        for r in counts.withColumn("turn", turn).where(F.col("turn") <= most).orderBy("table_id", "turn").collect():
+            found.setdefault(r["table_id"], []).append(r[name])
+        for d in out:
+            out[d] = replace(out[d], **{"groups" if name == "_group" else "months": tuple(found.get(d, ()))})
+    return out
 
 
-def _moments(rows: DataFrame, known: dict[str, Scheme]) -> dict[str, dict[int, np.ndarray]]:
+def _moments(rows: DataFrame, known: dict[str, Scheme]) -> dict[str, dict[str, np.ndarray]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple[str, int], np.ndarray] = {}
+        sums: dict[tuple[str, str], np.ndarray] = {}
         for pdf in frames:
             for d, own in pdf.groupby("table_id"):
-                cells, pattern, _ = known[d].encode(own)
-                for p in np.unique(pattern):
-                    x = cells[pattern == p]
-                    key = (d, int(p))
+                cells, patterns, _ = known[d].encode(own)
+                for p, of in patterns:
+                    x = cells[of]
+                    key = (d, p)
                     sums[key] = sums.get(key, 0) + x.T @ x
         flat = {k: s[np.triu_indices(len(s))] for k, s in sums.items()}
         yield pd.DataFrame([(d, p, v) for (d, p), v in flat.items()], columns=["table_id", "pattern", "v"])
 
-    parts = rows.mapInPandas(run, "table_id string, pattern bigint, v array<double>")
+    parts = rows.mapInPandas(run, "table_id string, pattern string, v array<double>")
     total = parts.select("table_id", "pattern", F.posexplode("v").alias("at", "v")).where("v <> 0").groupBy("table_id", "pattern", "at").agg(F.sum("v").alias("v"))
-    out: dict[str, dict[int, np.ndarray]] = {d: {} for d in known}
+    out: dict[str, dict[str, np.ndarray]] = {d: {} for d in known}
     # At most width^2/2 numbers per pattern of missing fields, whatever the number of records.
     for r in total.toLocalIterator():
         width = known[r["table_id"]].width
@@ -261,6 +286,7 @@ def fill_missing(records: DataFrame, known: dict[str, Scheme], markers: dict[str
     count once; a NULL record_id stays NULL; records of unknown data sets are left out; an empty table gives no rows.
     """
     rows = materialise(cleaned(records, known, markers), "cleaned")
+    known = with_context(rows, known)
     models = {d: fit(known[d], m) for d, m in _moments(rows, known).items() if m}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

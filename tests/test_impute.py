@@ -58,6 +58,44 @@ def test_edges(spark):
     assert {(r["column_name"], r["category"]) for r in fill_missing(nothing, known, markers).collect()} == {("x", None), ("n", None), ("c", "a")}
 
 
+def test_many_columns_groups_and_months(spark):
+    """More columns than bits of a word, and groups and months that are alike only if they are the same."""
+    from datetime import datetime
+
+    from taintgauge.operators import impute
+
+    rng = np.random.default_rng(3)
+    wide = [f"n{i}" for i in range(70)]
+    fields = tuple(impute.Field(n, True, False, 0.0, 10.0, (), True) for n in wide) + (impute.Field("x", True, False, 0.0, 10.0, (), True),)
+    rows, truth = [], {}
+    for i in range(1500):
+        g, late = int(rng.integers(0, 25)), int(rng.integers(0, 2))
+        x = float(g % 5 + 5 * late)
+        truth[f"r{i}"] = x
+        rows.append((f"r{i}", "d", None, f"g{g}", datetime(2022 + 2 * late, 3, 1), None if i % 6 == 0 else x, [float(v) for v in rng.random(70)]))
+    df = spark.createDataFrame(rows, "record_id string, table_id string, created_at timestamp, generator string, observed_at timestamp, x double, v array<double>")
+    df = df.select("*", *[F.col("v")[i].alias(n) for i, n in enumerate(wide)])
+    got = {r["record_id"]: r["number"] for r in fill_missing(df, {"d": impute.Scheme("d", fields)}, {"d": []}).where("column_name = 'x'").collect()}
+    err = np.mean([abs(v - truth[k]) for k, v in got.items()])
+    assert len(got) == 250 and err < 1.6, err  # by the mean: 2.5
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test data absent")
+def test_numbers_beat_the_mean_on_held_out_cells(spark):
+    d = "/root/testdata/sf0.01/"
+    known, markers = schemes(spark.read.parquet(d + "dataset_spec.parquet"), spark.read.parquet(d + "dataset_columns.parquet"))
+    rec = spark.read.parquet(d + "labelled_records.parquet").dropDuplicates(["record_id", "created_at"])
+    hide = F.pmod(F.xxhash64("record_id", "created_at"), F.lit(12)) == 0
+    for column, low, high in (("income", 1e-9, 1e9), ("temperature", -1e3, 1e3)):
+        good = F.col(column).between(low, high) & ~F.isnan(column)
+        truth = {r[0]: r[1] for r in rec.where(hide & good).select("record_id", column).collect()}
+        mean = rec.where(~hide & good).agg(F.avg(column)).first()[0]
+        masked = rec.withColumn(column, F.when(~hide, F.col(column)))
+        got = {r["record_id"]: r["number"] for r in fill_missing(masked, known, markers).where(F.col("column_name") == column).collect()}
+        ours, flat = (np.mean([abs(v - (got[k] if of else mean)) for k, v in truth.items()]) for of in (True, False))
+        assert len(truth) > 40 and ours < 0.9 * flat, (column, ours, flat)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test data absent")
 def test_beats_the_commonest_value_on_held_out_cells(spark):
     d = "/root/testdata/sf0.01/"
