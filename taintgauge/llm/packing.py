@@ -209,7 +209,7 @@ def pack(sizes: DataFrame, key: str, layouts: dict[int, list[tuple[int, int]]],
     spark = sizes.sparkSession
     sizes = sizes.select(key, F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
     items = _items(sizes, key, [(k, max(t for t, _ in tiers)) for k, tiers in layouts.items()])
-    by_slice = items.groupBy("layout", "size", "slice").agg(F.count("*").alias("n"))
+    by_slice = materialise(items.groupBy("layout", "size", "slice").agg(F.count("*").alias("n")), "sizes_by_slice")
     # At most layouts x sizes rows, whatever the number of documents: the capacity bounds the histogram.
     histograms: dict[int, dict[int, int]] = {k: {} for k in layouts}
     for r in by_slice.groupBy("layout", "size").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -283,3 +283,18 @@ def fill_report(packed: DataFrame, *by: str) -> DataFrame:
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How full the containers of each window are."""
     return fill_report(_each_window(spark, sf_dir), "window_id")
+
+
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per window: documents packed and left out, pieces met more than once, containers over capacity, and documents cut that would fit."""
+    packed = materialise(_each_window(spark, sf_dir), "packed")
+    windows = spark.createDataFrame(_windows(spark, sf_dir), "window_id int, room bigint")
+    each = packed.groupBy("window_id", "doc_id").agg(F.count("*").alias("pieces"), F.countDistinct("piece").alias("distinct_pieces"), F.sum("n_tokens").alias("n_tokens"))
+    docs = each.join(F.broadcast(windows), "window_id").groupBy("window_id").agg(
+        F.count("*").alias("documents"), F.count_if(F.col("pieces") > F.col("distinct_pieces")).alias("repeated"), F.count_if((F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("room"))).alias("cut_needlessly")
+    )
+    full = packed.groupBy("window_id", "capacity", "container_id").agg(F.sum("n_tokens").alias("used")).groupBy("window_id").agg(F.count_if(F.col("used") > F.col("capacity")).alias("over_capacity"))
+    whole = table(spark, sf_dir, "documents", "doc_id").agg(F.countDistinct("doc_id").alias("all_documents"))
+    every = windows.select("window_id").join(docs, "window_id", "left").join(full, "window_id", "left").crossJoin(F.broadcast(whole))  # one row
+    cols = ["documents", "repeated", "cut_needlessly", "over_capacity"]
+    return every.na.fill(0, cols).select("window_id", *cols, (F.col("all_documents") - F.col("documents")).alias("left_out"))

@@ -97,3 +97,12 @@ def p6_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     back = decode(encode(docs, "doc_id", "text"), "doc_id", "ids").select("doc_id", F.xxhash64("text").alias("back"))
     return docs.select("doc_id", F.xxhash64("text").alias("want")).join(back, "doc_id").where("want <> back").select("doc_id")
+
+
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, SHA-256 of the text that the ids of each document decode to, and whether it has any ids."""
+    from pyspark.sql import functions as F
+
+    ids = encode(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("n", F.size("ids"))
+    back = decode(ids.withColumn("doc", F.struct("doc_id", "n")), "doc", "ids")
+    return back.select("doc.doc_id", F.sha2("text", 256).alias("digest"), (F.col("doc.n") > 0).alias("has_ids"))

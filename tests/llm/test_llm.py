@@ -214,7 +214,7 @@ def test_targets_are_cleaned(spark):
 
 
 @has_data
-@pytest.mark.parametrize("name", ["p5_ranks", "p3_found", "p3_sample", "p3_report"])
+@pytest.mark.parametrize("name", ["p5_ranks", "p6_decoded", "p7_audit", "p3_found", "p3_sample", "p3_report"])
 def test_registered_query_equals_its_sql(spark, name):
     from oracle import compare, connect
 
