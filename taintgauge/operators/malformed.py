@@ -8,8 +8,8 @@ Such records load; of the others the operations of the cheapest parse state the
 
     quote edits → 'quoting', delimiter edits → 'column count', none → 'value'
 
-Most lines hold no quote, the right number of delimiters and only plain valid values: for these the path of cost zero
-is a split, done by built-in expressions. Only the rest reaches Python. Lines are independent: one narrow stage, no
+Most lines hold the right number of fields and only plain valid values: for these the path of cost zero is plain to see
+and is taken by built-in expressions. Only the rest reaches Python. Lines are independent: one narrow stage, no
 shuffle.
 """
 
@@ -246,39 +246,78 @@ def read_line(line: str, layout: Layout | None, residues: Residues | None = None
     return ("column count" if any(op.endswith("delimiter") for op in ops) else "value"), cost, ops, values
 
 
-def plain_values(known: dict[str, Layout], line: Column, dataset: Column) -> Column:
-    """The values of a line whose path of cost zero is a mere split, else NULL.
+def _literal(text: str) -> str:
+    """`text` itself as a pattern of Java and Python."""
+    return "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in text)
+
+
+def plain_pattern(layout: Layout) -> str | None:
+    """A pattern of lines whose path of cost zero is plain to see: the right number of fields, quoted or not, that hold
+    only words of the layout, numbers and blanks. Bounds of numbers are left to be checked. It may miss some lines,
+    never accept another. Each field is a group, with the quotes it may have."""
+    delimiter, quote = layout.delimiter, layout.quote
+
+    def words(c: Field, *without: str | None) -> str:
+        known = [w for w in sorted(c.levels) if w and w == w.strip() and not w.endswith(".")]
+        known = [_literal(w) for w in known if not any(m and m in w for m in without)] if c.role != "numeric" else [NUMBER.pattern]
+        missing = [_literal(m) for m in sorted(layout.missing) if m and m.isascii() and m == m.strip() and not m.endswith(".") and not any(x and x in m for x in without)]
+        return "(?:" + "|".join(["", "(?i:" + "|".join(missing) + ")", *known]) + ")" + (r"\.*" if c.role == "target" else "")
+
+    pad = "" if delimiter == " " else " *"
+    fields = []
+    for c in layout.columns:
+        within = f"{_literal(quote)} *{words(c, quote)} *{_literal(quote)}|" if quote else ""
+        fields.append(f"{pad}({within}{words(c, delimiter, quote)}){pad}")
+    comment = f"(?!{_literal(layout.comment)})" if layout.comment else ""
+    return "^" + comment + r"(?!\s*$)" + _literal(delimiter).join(fields) + r"\z" if fields else None
+
+
+def _texts(layout: Layout, line: Column) -> list[Column]:
+    """The trimmed fields of a line matched by `plain_pattern`, without quotes."""
+    out, pattern = [], plain_pattern(layout)
+    for i, c in enumerate(layout.columns):
+        text = F.trim(F.substring_index(F.substring_index(line, layout.delimiter, i + 1), layout.delimiter, -1))
+        if layout.quote:
+            text = F.when(F.contains(line, F.lit(layout.quote)), F.btrim(F.regexp_extract(line, pattern, i + 1), F.lit(" " + layout.quote))).otherwise(text)
+        out.append(F.rtrim(text, F.lit(".")) if c.role == "target" else text)
+    return out
 
-    Only lines of printable ASCII without quotes are judged, and a value counts only where it is valid beyond doubt; all
-    others are left to the program.
-    """
-    out = F.lit(None).cast("array<string>")
+
+def plain(known: dict[str, Layout], line: Column, dataset: Column) -> Column:
+    """Whether a line surely loads, by its look alone; never NULL. Each text is evaluated once: a lambda holds it."""
+
+    def outside(c: Field):
+        def test(v: Column) -> Column:
+            bad = F.abs(v) == float("inf")
+            bad = bad | (v < F.lit(c.low)) if c.low is not None else bad
+            bad = bad | (v > F.lit(c.high)) if c.high is not None else bad
+            return bad | (v % F.lit(1.0) != 0) if c.value_type == "int" else bad
+
+        return test
+
+    out = F.lit(False)
     for name, layout in known.items():
-        if not layout.columns:
+        pattern = plain_pattern(layout)
+        if pattern is None:
             continue
-        parts = F.split(line, "\\Q" + layout.delimiter + "\\E", -1)
-        fine = (F.size(parts) == len(layout.columns)) & ~line.rlike("[^ -~]") & (F.trim(line) != "")
-        for mark in (layout.quote, layout.comment):
-            if mark:
-                fine = fine & ~(F.contains(line, F.lit(mark)) if mark == layout.quote else F.startswith(line, F.lit(mark)))
-        values = []
-        for i, c in enumerate(layout.columns):
-            text = F.trim(F.get(parts, F.lit(i)))
-            if c.role == "target":
-                text = F.regexp_replace(text, r"\.+$", "")
-            lost = (F.trim(text) == "") | F.lower(text).isin(sorted(layout.missing))
-            if c.role == "numeric":
-                number = F.when(text.rlike("^" + NUMBER.pattern + r"\z"), text.try_cast("double"))
-                valid = F.abs(number) < float("inf")
-                for bound, inside in ((c.low, number >= F.lit(c.low)), (c.high, number <= F.lit(c.high))):
-                    valid = valid & inside if bound is not None else valid
-                if c.value_type == "int":
-                    valid = valid & (number == F.floor(number))
-            else:
-                valid = text.isin(sorted(c.levels))
-            fine = fine & F.coalesce(lost | valid, F.lit(False))
-            values.append(F.when(~lost, text))
-        out = F.when((dataset == name) & fine, F.array(*values)).otherwise(out)
+        fine = (dataset == name) & line.rlike(pattern)
+        for c, text in zip(layout.columns, _texts(layout, line), strict=True):
+            if c.role == "numeric":  # words for missing values are no numbers and have no bounds
+                fine = fine & ~F.coalesce(F.exists(F.array(text.try_cast("double")), outside(c)), F.lit(False))
+        out = out | fine
+    return F.coalesce(out, F.lit(False))
+
+
+def _unless_missing(layout: Layout):
+    return lambda t: F.when(~((F.trim(t) == "") | F.lower(t).isin(sorted(layout.missing))), t)
+
+
+def plain_values(known: dict[str, Layout], line: Column, dataset: Column) -> Column:
+    """Values of a line that is `plain`, NULL where missing."""
+    out = F.lit(None).cast("array<string>")
+    for name, layout in known.items():
+        if layout.columns:
+            out = F.when(dataset == name, F.transform(F.array(*_texts(layout, line)), _unless_missing(layout))).otherwise(out)
     return out
 
 
@@ -323,12 +362,12 @@ def parse_records(raw: DataFrame, known: dict[str, Layout]) -> DataFrame:
                 names=["line_id", "dataset_id", "member_file", "reason", "cost", "operations", "values"],
             )
 
-    values = plain_values(known, F.col("raw_line"), F.col("dataset_id"))
+    surely = plain(known, F.col("raw_line"), F.col("dataset_id"))
     narrow = raw.select(F.col("line_id").cast("bigint").alias("line_id"), "dataset_id", "member_file", "raw_line")
     nothing = [F.lit(None).cast("string").alias("reason"), F.lit(0).alias("cost"), F.array().cast("array<string>").alias("operations")]
-    plain = narrow.select("line_id", "dataset_id", "member_file", *nothing, values.alias("values")).where("values is not null")
-    rest = narrow.where(values.isNull())
-    return plain.unionByName(rest.mapInArrow(run, "line_id bigint, dataset_id string, member_file string, reason string, cost int, operations array<string>, values array<string>"))
+    split = narrow.where(surely).select("line_id", "dataset_id", "member_file", *nothing, plain_values(known, F.col("raw_line"), F.col("dataset_id")).alias("values"))
+    rest = narrow.where(~surely)
+    return split.unionByName(rest.mapInArrow(run, "line_id bigint, dataset_id string, member_file string, reason string, cost int, operations array<string>, values array<string>"))
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from taintgauge.operators.malformed import NUMBER, Field, Layout, _tokens, cheapest_parse, parse_records, plain_values, read_line
+from taintgauge.operators.malformed import NUMBER, Field, Layout, _tokens, cheapest_parse, parse_records, plain, plain_values, read_line
 
 COLUMNS = (
     Field("age", "numeric", "double", 0.0, 120.0, frozenset()),
@@ -187,13 +187,13 @@ def test_cost_of_long_lines():
 def test_plain_lines_are_those_of_cost_zero(spark, bad):
     """What built-in expressions load is what the program loads, with the same values."""
     random.seed(bad)
-    pieces = ["30", " 12 ", "1.5", "1e1", "+7", "-1", "?", " NA", "a", "b, c", "0", "1.", "1..", "", "zz", "480", "481", "1\t", "é", "İ", "1e999", "| x", '"a"', "00012", "5.0", "5.5"]
+    pieces = ["30", " 12 ", "1.5", "1e1", "+7", "-1", "?", " NA", "a", "b, c", "0", "1.", "1..", "", "zz", "480", "481", "1\t", "é", "İ", "1e999", "| x", '"a"', '" 12 "', '"b, c"', ' "b, c" ', '"1..".', '"1.."', '"a" "', '"NA"', '""', '"x ""q"""', "00012", "5.0", "5.5"]
     good = ["30", "12", "a", "0", ""]
     lines = [",".join(good[i] if random.random() < 0.7 else random.choice(pieces) for i in range(random.choice([4, 4, 4, 4, 3, 5]))) for _ in range(1500)]
     df = spark.createDataFrame([(x, "d") for x in lines], "line string, d string")
     n = 0
-    for r in df.select("line", plain_values({"d": LAYOUT}, F.col("line"), F.col("d")).alias("v")).collect():
-        if r["v"] is not None:
+    for r in df.select("line", plain({"d": LAYOUT}, F.col("line"), F.col("d")).alias("p"), plain_values({"d": LAYOUT}, F.col("line"), F.col("d")).alias("v")).collect():
+        if r["p"]:
             reason, _, _, values = read_line(r["line"], LAYOUT)
             assert LAYOUT.is_record(r["line"]) and reason is None and values == r["v"], r
             n += 1
