@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from taintgauge.functions.expr import failure_class, finite
 
 QUANTIFIERS = ("cc", "pcc", "acc", "pacc")
 PRIMARY = "pacc"
+# Fixed value: why a failed combination isn't part of the formal results.
+EXCLUDED = "method-condition cell excluded; other valid cells retained"
 
 
 def expected_positive_rate(prevalence: Column, tpr: Column, fpr: Column) -> Column:
@@ -72,7 +76,8 @@ def finding(rows: DataFrame, by: list[str], means: dict[str, Column], **more: Co
 
 
 def failure_audit(rows: DataFrame, status: str, rate: str, mode: str, by: list[str], primary: str = PRIMARY) -> DataFrame:
-    """One row per failed combination: number of rows, rates and modes affected, class, and whether it must run again.
+    """One row per failed combination: number of rows, rates and modes affected, class, whether it must run again, and
+    its inclusion: never in the formal results, with the reason.
 
     Rates and modes are few by design; their sets are gathered per combination.
     """
@@ -80,24 +85,60 @@ def failure_audit(rows: DataFrame, status: str, rate: str, mode: str, by: list[s
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), ";")
     g = failed.groupBy(*by, status).agg(F.count("*").alias("failed_rows"), joined(rate).alias("affected_rates"), joined(mode).alias("affected_modes"))
     g = g.withColumn("failure_class", failure_class(F.col(status))).withColumn("is_primary_quantifier", F.coalesce(F.col("quantifier") == primary, F.lit(False)))
-    return g.withColumn("rerun_required", F.col("failure_class") == "unclassified_failure")
-
-
-def integrity_audit(rows: DataFrame, key: list[str], status: str, estimate: str, residual: str, expected: dict[str, list], tolerance: float = 1e-10) -> DataFrame:
-    """(check_name, violations, passed) over an evidence table."""
+    g = g.withColumn("rerun_required", F.col("failure_class") == "unclassified_failure")
+    return g.withColumn("formal_inclusion", F.lit(False)).withColumn("inclusion_reason", F.lit(EXCLUDED))
+
+
+def _repeated(rows: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Rows beyond the first of each key."""
+    each = rows.groupBy(*key).agg(F.count("*").alias("n"))
+    return each.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("violations")).select(F.lit(name).alias("check_name"), "violations")
+
+
+def _complete(rows: DataFrame, column: str, wanted: list, name: str) -> DataFrame:
+    """Values that are missing or not expected; NULL isn't a value."""
+    there = rows.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("v")).distinct().withColumn("_there", F.lit(1))
+    expected = rows.sparkSession.createDataFrame([(str(w),) for w in wanted], "v string").distinct().withColumn("_wanted", F.lit(1))
+    both = there.join(expected, "v", "full")
+    return both.agg(F.count_if(F.col("_there").isNull() | F.col("_wanted").isNull()).alias("violations")).select(F.lit(name).alias("check_name"), "violations")
+
+
+def integrity_audit(
+    rows: DataFrame, key: list[str], status: str, estimate: str, residual: str, expected: dict[str, list], tolerance: float = 1e-10,
+    *, unit: bool = False, shard: list[str] | None = None, rows_per_shard: int | None = None,
+    valuation: DataFrame | None = None, valuation_key: list[str] | None = None,
+    artifacts: DataFrame | None = None, artifact_rows: int | None = None, gate: str = "gate_passed", shards: dict[str, int] | None = None,
+) -> DataFrame:
+    """(check_name, violations, passed) over an evidence table and, where given, over what belongs to it.
+
+    Of the evidence: its key is unique, every shard has its rows, rows of status ok have an estimate (with `unit`, one in
+    the unit interval) and the others have none, residuals are small, the values of the `expected` columns are all there
+    and no others. Of valuations: their key is unique. Of artifact audits: their number and their gate. Of `shards`
+    (planned, expected, complete, failed, failed_attempts): the plan has the expected number, all are complete, none failed.
+    Counts are rows, keys, shards or values at fault.
+    """
     value = F.col(estimate).cast("double")
     good = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
-    ok = F.col(status) == "ok"
-    doubles = rows.groupBy(*key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("bigint")), F.lit(0)).alias("evidence_key_unique"))
-    sums = rows.agg(
-        F.count_if(ok & ~good).alias("ok_rows_have_values"),
-        F.count_if(~ok & good).alias("failed_rows_have_none"),
-        F.count_if(F.abs(F.col(residual)) > tolerance).alias("residual_within_tolerance"),
-        *[F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(v)).alias(f"{c}_expected") for c, v in expected.items()],
-    )
-    wide = doubles.crossJoin(sums)  # one row each
-    names = wide.columns
-    return wide.unpivot([], names, "check_name", "violations").withColumn("passed", F.col("violations") == 0)
+    ok = F.coalesce(F.col(status) == "ok", F.lit(False))
+    tests = {"ok_rows_have_values": ok & ~good, "failed_rows_have_none": ~ok & good, "residual_within_tolerance": F.abs(residual) > tolerance}
+    if unit:
+        tests["estimates_in_unit_interval"] = ok & good & ((value < -1e-12) | (value > 1 + 1e-12))
+    sums = rows.agg(*[F.count_if(c).alias(k) for k, c in tests.items()])
+    parts = [sums.unpivot([], list(tests), "check_name", "violations"), _repeated(rows, key, "evidence_key_unique")]
+    parts += [_complete(rows, c, v, f"{c}_complete") for c, v in expected.items()]
+    if rows_per_shard is not None:
+        each = rows.groupBy(*shard).agg(F.count("*").alias("n")).where(F.col("n") != rows_per_shard)
+        parts.append(each.agg(F.count("*").alias("violations")).select(F.lit("rows_per_shard").alias("check_name"), "violations"))
+    if valuation is not None:
+        parts.append(_repeated(valuation, valuation_key, "valuation_key_unique"))
+    if artifacts is not None:
+        counted = artifacts.agg(F.abs(F.count("*") - F.lit(artifact_rows)).alias("artifact_rows"), F.count_if(~F.coalesce(F.col(gate), F.lit(False))).alias("artifact_gate"))
+        parts.append(counted.unpivot([], ["artifact_rows", "artifact_gate"], "check_name", "violations"))
+    if shards is not None:
+        s = shards
+        at_fault = [("shards_planned", abs(s["planned"] - s["expected"])), ("shards_complete", s["planned"] - s["complete"]), ("shards_failed", s["failed"]), ("attempts_failed", s["failed_attempts"])]
+        parts.append(rows.sparkSession.createDataFrame(at_fault, "check_name string, violations bigint"))
+    return reduce(DataFrame.unionByName, parts).withColumn("passed", F.col("violations") == 0)
 
 
 def shard_plan(seeds: DataFrame, protocols: DataFrame, detectors: DataFrame, invalid: list[tuple[str, str]]) -> DataFrame:

@@ -17,16 +17,17 @@ from taintgauge.plans.score_queries import SCORED, scored
 from taintgauge.sources.tables import table
 
 _KEYS = ["seed", "protocol", "detector"]
-_AB = "(SELECT ok, sk, half, label, 'd_a' AS detector, score AS s FROM scored UNION ALL SELECT ok, sk, half, label, 'd_b', score_b FROM scored)"
+_AB = "(SELECT ok, sk, half, label, qty, task, 'd_a' AS detector, score AS s FROM scored UNION ALL SELECT ok, sk, half, label, qty, task, 'd_b', score_b FROM scored)"
 _EVIDENCE = f"""WITH {SCORED},
-x AS (SELECT CAST(ok % 5 AS INTEGER) AS seed, 'P' || (sk % 2 + 1) AS protocol, detector, half, label, s, 'b' || ((ok // 5) % 8) AS bag, (ok // 5) % 8 AS bi, (ok // 40) % 8 AS ki, 'g' || (ok % 2) AS generator FROM {_AB}),
+x AS (SELECT CAST(ok % 5 AS INTEGER) AS seed, 'P' || (sk % 2 + 1) AS protocol, detector, half, label, qty, task, s, (ok // 320) % 4 = 0 AS held, 'b' || ((ok // 5) % 8) AS bag, (ok // 5) % 8 AS bi, (ok // 40) % 8 AS ki, 'g' || (ok % 2) AS generator FROM {_AB}),
 st AS (SELECT seed, protocol, detector, avg(CAST(s >= 0.5 AS INTEGER)) FILTER (WHERE label = 1) AS tpr, avg(CAST(s >= 0.5 AS INTEGER)) FILTER (WHERE label = 0) AS fpr, avg(s) FILTER (WHERE label = 1) AS soft_tpr, avg(s) FILTER (WHERE label = 0) AS soft_fpr FROM x WHERE half = 'F' GROUP BY ALL),
-bg AS (SELECT seed, protocol, detector, generator, bag, avg(label) AS prevalence, avg(CAST(s >= 0.5 AS INTEGER)) AS cc, avg(s) AS pcc FROM x WHERE half = 'O' AND (label = 0 OR ki < bi + 1) GROUP BY ALL),
-b AS (SELECT * FROM bg JOIN st USING (seed, protocol, detector)),
+ta AS (SELECT qty, task, count(*) AS n FROM scored WHERE half = 'O' AND label = 0 AND (ok // 320) % 4 = 0 GROUP BY ALL),
+bg AS (SELECT seed, protocol, detector, generator, bag, avg(label) AS prevalence, avg(CAST(s >= 0.5 AS INTEGER)) AS cc, avg(s) AS pcc, {', '.join(f"CASE WHEN count(*) FILTER (WHERE {c}) >= 10 THEN (avg(qty) FILTER (WHERE {c} AND task = 0) + avg(qty) FILTER (WHERE {c} AND task = 1)) / 2 END AS {k}_cut" for k, c in (("keep", "true"), ("cleanup", "s < 0.5"), ("oracle", "label = 0")))} FROM x WHERE half = 'O' AND NOT held AND (label = 0 OR ki < bi + 1) GROUP BY ALL),
+b AS (SELECT *, {', '.join(f"(SELECT sum(n) FILTER (WHERE (qty > {k}_cut) = (task = 1)) / sum(n) FROM ta) AS {k}_utility" for k in ("keep", "cleanup", "oracle"))} FROM bg JOIN st USING (seed, protocol, detector)),
 e0 AS (SELECT *, 'cc' AS quantifier, cc AS raw FROM b UNION ALL SELECT *, 'pcc', pcc FROM b UNION ALL SELECT *, 'acc', CASE WHEN abs(tpr - fpr) >= 1e-8 THEN (cc - fpr) / (tpr - fpr) END FROM b UNION ALL SELECT *, 'pacc', CASE WHEN abs(soft_tpr - soft_fpr) >= 1e-8 THEN (pcc - soft_fpr) / (soft_tpr - soft_fpr) END FROM b),
 e1 AS (SELECT *, CASE WHEN raw IS NOT NULL THEN least(greatest(raw, 0), 1) END AS estimate, CASE WHEN raw IS NULL THEN 'failed:unstable_denominator' ELSE 'ok' END AS status, prevalence * tpr + (1 - prevalence) * fpr AS ex FROM e0),
-e2 AS (SELECT *, estimate - prevalence AS error, ex - prevalence AS detection_part, cc - ex AS sampling_part, estimate - cc AS adjustment_part, coalesce((1 - prevalence) * fpr / nullif(ex, 0), 0) AS false_positive_share, 0.9::DOUBLE - 0.2::DOUBLE * prevalence AS keep_utility, 0.88::DOUBLE - 0.1::DOUBLE * abs(cc - prevalence) AS cleanup_utility FROM e1),
-evidence AS (SELECT *, coalesce(estimate >= 0.3, FALSE) AS estimated_decision, prevalence >= 0.3 AS true_decision, CAST(coalesce(estimate >= 0.3, FALSE) <> (prevalence >= 0.3) AS INTEGER) AS decision_error, coalesce(cleanup_utility > keep_utility + 0.005, FALSE) AS cleanup_better, greatest(keep_utility, cleanup_utility) - CASE WHEN coalesce(estimate >= 0.3, FALSE) THEN cleanup_utility ELSE keep_utility END AS regret, keep_utility - 0.9::DOUBLE AS delta FROM e2)
+e2 AS (SELECT *, estimate - prevalence AS error, ex - prevalence AS detection_part, cc - ex AS sampling_part, estimate - cc AS adjustment_part, coalesce((1 - prevalence) * fpr / nullif(ex, 0), 0) AS false_positive_share FROM e1),
+evidence AS (SELECT *, coalesce(estimate >= 0.3, FALSE) AS estimated_decision, prevalence >= 0.3 AS true_decision, CAST(coalesce(estimate >= 0.3, FALSE) <> (prevalence >= 0.3) AS INTEGER) AS decision_error, coalesce(cleanup_utility > keep_utility + 0.005, FALSE) AS cleanup_better, greatest(keep_utility, cleanup_utility) - CASE WHEN coalesce(estimate >= 0.3, FALSE) THEN cleanup_utility ELSE keep_utility END AS regret, keep_utility - oracle_utility AS delta FROM e2)
 """
 
 
@@ -34,8 +35,8 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d)
     two = F.array(F.struct(F.lit("d_a").alias("detector"), F.col("score").alias("s")), F.struct(F.lit("d_b").alias("detector"), F.col("score_b").alias("s")))
     turn = F.floor(F.col("ok") / 5) % 8
-    return s.select("ok", "sk", "half", "label", F.explode(two).alias("t")).select(
-        (F.col("ok") % 5).cast("int").alias("seed"), F.concat(F.lit("P"), (F.col("sk") % 2 + 1).cast("string")).alias("protocol"), "t.detector", "half", "label", F.col("t.s").alias("s"),
+    return s.select("ok", "sk", "half", "label", "qty", "task", F.explode(two).alias("t")).select(
+        (F.col("ok") % 5).cast("int").alias("seed"), F.concat(F.lit("P"), (F.col("sk") % 2 + 1).cast("string")).alias("protocol"), "t.detector", "half", "label", "qty", "task", F.col("t.s").alias("s"), (F.floor(F.col("ok") / 320) % 4 == 0).alias("held"),
         F.concat(F.lit("b"), turn.cast("string")).alias("bag"), turn.alias("bi"), (F.floor(F.col("ok") / 40) % 8).alias("ki"), F.concat(F.lit("g"), (F.col("ok") % 2).cast("string")).alias("generator"),
     )
 
@@ -45,10 +46,20 @@ def evidence_table(spark: SparkSession, d: str) -> DataFrame:
     hit = (F.col("s") >= 0.5).cast("int")
     when = lambda y, c: F.avg(F.when(F.col("label") == y, c))
     state = x.where("half = 'F'").groupBy(*_KEYS).agg(when(1, hit).alias("tpr"), when(0, hit).alias("fpr"), when(1, F.col("s")).alias("soft_tpr"), when(0, F.col("s")).alias("soft_fpr"))
-    bags = x.where("half = 'O' and (label = 0 or ki < bi + 1)").groupBy(*_KEYS, "generator", "bag").agg(F.avg("label").alias("prevalence"), F.avg(hit).alias("cc"), F.avg("s").alias("pcc"))
+    # A model of each bag: the cut halfway between the mean quantities of both classes of the task, tested on held-out real
+    # lines. Kept as it is, without the lines that the detector calls synthetic, and without the synthetic ones.
+    parts = {"keep": F.lit(True), "cleanup": F.col("s") < 0.5, "oracle": F.col("label") == 0}
+    mean = lambda c, y: F.avg(F.when(c & (F.col("task") == y), F.col("qty")))
+    cuts = [F.when(F.count_if(c) >= 10, (mean(c, 0) + mean(c, 1)) / 2).alias(f"{k}_cut") for k, c in parts.items()]
+    own = x.where("half = 'O' and not held and (label = 0 or ki < bi + 1)")
+    bags = own.groupBy(*_KEYS, "generator", "bag").agg(F.avg("label").alias("prevalence"), F.avg(hit).alias("cc"), F.avg("s").alias("pcc"), *cuts)
+    tested = scored(spark, d).where("half = 'O' and label = 0 and floor(ok / 320) % 4 = 0").groupBy("qty", "task").agg(F.count("*").alias("n"))
+    one = tested.agg(F.collect_list(F.struct("qty", "task", "n")).alias("_test"), F.sum("n").alias("_of"))  # one row: quantities are few
+    right = lambda cut: F.aggregate("_test", F.lit(0).cast("bigint"), lambda t, r: t + F.when((r["qty"] > cut) == (r["task"] == 1), r["n"]).otherwise(0))
+    worth = {f"{k}_utility": F.when(F.col(f"{k}_cut").isNotNull(), right(F.col(f"{k}_cut")) / F.col("_of")) for k in parts}
+    bags = bags.crossJoin(F.broadcast(one)).withColumns(worth).drop("_test", "_of", *[f"{k}_cut" for k in parts])
     out = evidence.decompose(evidence.estimates(bags.join(state, _KEYS)))
-    out = out.withColumn("keep_utility", 0.9 - 0.2 * F.col("prevalence")).withColumn("cleanup_utility", 0.88 - 0.1 * F.abs(F.col("cc") - F.col("prevalence")))
-    return evidence.decide(out, threshold=0.3).withColumn("delta", F.col("keep_utility") - 0.9)
+    return evidence.decide(out, threshold=0.3).withColumn("delta", F.col("keep_utility") - F.col("oracle_utility"))
 
 
 @query(_EVIDENCE + "SELECT seed, protocol, detector, generator, bag, quantifier, round(error, 9) AS error, round(detection_part, 9) AS detection_part, round(sampling_part, 9) AS sampling_part, round(adjustment_part, 9) AS adjustment_part, abs(error - (detection_part + sampling_part + adjustment_part)) < 1e-10 AS adds_up FROM evidence")
@@ -92,19 +103,19 @@ def finding_quantifier_shift(spark: SparkSession, d: str) -> DataFrame:
     return evidence.finding(evidence_table(spark, d), ["protocol", "generator", "quantifier"], {"mae": F.abs("error"), "bias": F.col("error"), "regret": F.col("regret")})
 
 
-@query(_EVIDENCE + "SELECT detector, generator, bag, round(avg(delta), 9) AS contaminated_delta, round(avg(cleanup_utility - keep_utility), 9) AS cleanup_delta FROM evidence WHERE quantifier = 'pacc' GROUP BY ALL")
+@query(_EVIDENCE + "SELECT detector, generator, bag, round(avg(delta), 9) AS contaminated_delta, round(avg(cleanup_utility - keep_utility), 9) AS cleanup_delta, round(avg(oracle_utility - keep_utility), 9) AS oracle_delta FROM evidence WHERE quantifier = 'pacc' GROUP BY ALL")
 def finding_utility_curve(spark: SparkSession, d: str) -> DataFrame:
     """F5."""
     e = evidence_table(spark, d).where(F.col("quantifier") == evidence.PRIMARY)
-    return evidence.finding(e, ["detector", "generator", "bag"], {"contaminated_delta": F.col("delta"), "cleanup_delta": F.col("cleanup_utility") - F.col("keep_utility")})
+    return evidence.finding(e, ["detector", "generator", "bag"], {"contaminated_delta": F.col("delta"), "cleanup_delta": F.col("cleanup_utility") - F.col("keep_utility"), "oracle_delta": F.col("oracle_utility") - F.col("keep_utility")})
 
 
-_QUADRANT = "CASE WHEN delta IS NULL THEN 'harm_not_evaluated' ELSE CASE WHEN auroc >= 0.75 THEN 'detectable' ELSE 'hard_to_detect' END || CASE WHEN delta <= -0.05 THEN '_harmful' ELSE '_not_harmful' END END"
+_QUADRANT = "CASE WHEN delta IS NULL THEN 'harm_not_evaluated' ELSE CASE WHEN auroc >= 0.75 THEN 'detectable' ELSE 'hard_to_detect' END || CASE WHEN delta <= -0.005 THEN '_harmful' ELSE '_not_harmful' END END"
 
 
 def _with_quadrant(spark: SparkSession, d: str) -> DataFrame:
     e = evidence_table(spark, d).join(_auroc(spark, d), _KEYS)
-    return e.withColumn("quadrant", evidence.quadrant(F.col("auroc"), F.col("delta"), tolerance=0.05))
+    return e.withColumn("quadrant", evidence.quadrant(F.col("auroc"), F.col("delta")))
 
 
 @query(_EVIDENCE + f", {_AUROC}, q AS (SELECT *, {_QUADRANT} AS quadrant FROM evidence JOIN au USING (seed, protocol, detector)) SELECT protocol, quadrant, count(*) AS n, round(avg(auroc), 9) AS auroc, round(avg(delta), 9) AS delta FROM q GROUP BY ALL")
@@ -137,15 +148,8 @@ def _finding_8(spark: SparkSession, d: str, *more: str) -> DataFrame:
     return t.dropDuplicates(["decomposition_id"])
 
 
-@query("SELECT " + ", ".join(_F8_KEYS) + ", count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN isfinite({c}) AND abs({c}) < 1000 THEN {c} END), 9) AS {c}" for c in _F8_PARTS) + f", round(max(abs(CASE WHEN isfinite(max_absolute_residual) THEN max_absolute_residual END)), 9) AS max_absolute_residual FROM {_ONCE} GROUP BY ALL")
-def finding_error_decomposition(spark: SparkSession, d: str) -> DataFrame:
-    """F8, A3, PF25: stored decompositions averaged; extreme values (beyond 1,000) left out of the means."""
-    means = {c: F.when(F.abs(finite(F.col(c))) < 1000, F.col(c)) for c in _F8_PARTS}
-    return evidence.finding(_finding_8(spark, d), _F8_KEYS, means, n=F.count("*"), max_absolute_residual=F.round(F.max(F.abs(finite(F.col("max_absolute_residual")))), 9))
-
-
 @query("SELECT " + ", ".join([*_F8_KEYS, "true_prevalence"]) + ", count(*) AS n, " + ", ".join(f"round(avg(CASE WHEN isfinite({c}) THEN {c} END), 9) AS {c}" for c in _F8_PARTS) + f", round(max(abs(CASE WHEN isfinite(max_absolute_residual) THEN max_absolute_residual END)), 9) AS max_absolute_residual FROM {_ONCE} GROUP BY ALL")
-def finding_error_decomposition_all(spark: SparkSession, d: str) -> DataFrame:
+def finding_error_decomposition(spark: SparkSession, d: str) -> DataFrame:
     """F8, A3, PF25: plain means of all finite stored decompositions by all six keys."""
     means = {c: F.col(c) for c in _F8_PARTS}
     return evidence.finding(_finding_8(spark, d, "true_prevalence"), [*_F8_KEYS, "true_prevalence"], means, n=F.count("*"), max_absolute_residual=F.round(F.max(F.abs(finite(F.col("max_absolute_residual")))), 9))
@@ -155,20 +159,13 @@ _T = [12.706204736, 4.30265273, 3.182446305, 2.776445105, 2.570581836, 2.4469118
 _TABLE = "[" + ", ".join(f"{x}::DOUBLE" for x in _T) + "]"
 
 
-@query(_EVIDENCE + f", l AS (SELECT protocol, detector, quantifier, 'error' AS metric, error AS v FROM evidence WHERE seed = 0 AND generator = 'g0' UNION ALL SELECT protocol, detector, quantifier, 'regret', regret FROM evidence WHERE seed = 0 AND generator = 'g0') SELECT protocol, detector, quantifier, metric, count(v) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, round({_TABLE}[count(v) - 1] * stddev_samp(v) / sqrt(count(v)), 6) AS half_width FROM l GROUP BY ALL")
-def ci95_by_bag(spark: SparkSession, d: str) -> DataFrame:
-    """Intervals over the bags of one seed and generator."""
-    e = evidence_table(spark, d).where("seed = 0 and generator = 'g0'")
-    return inference.interval(e, ["protocol", "detector", "quantifier"], ["error", "regret"])
-
-
 _CI_KEYS = ["seed", "generator", "protocol", "detector", "quantifier"]
 _CI_METRICS = {"error": "error", "abs_error": "abs(error)", "delta": "delta", "regret": "regret"}
 _CI_LONG = " UNION ALL ".join(f"SELECT {', '.join(_CI_KEYS)}, '{k}' AS metric, {v} AS v FROM evidence" for k, v in _CI_METRICS.items())
 
 
 @query(_EVIDENCE + f", l AS ({_CI_LONG}) SELECT {', '.join(_CI_KEYS)}, metric, count(v) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS std, round({_TABLE}[count(v) - 1] * stddev_samp(v) / sqrt(count(v)), 6) AS half_width FROM l GROUP BY ALL HAVING count(v) > 0")
-def ci95_by_bag_all(spark: SparkSession, d: str) -> DataFrame:
+def ci95_by_bag(spark: SparkSession, d: str) -> DataFrame:
     """Intervals over the bags of every seed and generator."""
     e = evidence_table(spark, d).withColumns({k: F.expr(v) for k, v in _CI_METRICS.items()})
     return inference.interval(e, _CI_KEYS, list(_CI_METRICS))
@@ -217,7 +214,7 @@ _CLASS = "CASE quantifier_status WHEN 'failed:unstable_denominator' THEN 'pre_re
 
 
 @query(
-    f"SELECT seed, protocol, detector, calibration_policy, quantifier, quantifier_status, count(*) AS failed_rows, coalesce(array_to_string(list_transform(list_sort(list(DISTINCT true_prevalence)), lambda v: CAST(v AS VARCHAR)), ';'), '') AS affected_rates, coalesce(array_to_string(list_sort(list(DISTINCT contamination_mode)), ';'), '') AS affected_modes, {_CLASS} AS failure_class, coalesce(quantifier = 'pacc', FALSE) AS is_primary_quantifier, {_CLASS} = 'unclassified_failure' AS rerun_required FROM {_ONCE} WHERE quantifier_status <> 'ok' GROUP BY ALL"
+    f"SELECT seed, protocol, detector, calibration_policy, quantifier, quantifier_status, count(*) AS failed_rows, coalesce(array_to_string(list_transform(list_sort(list(DISTINCT true_prevalence)), lambda v: CAST(v AS VARCHAR)), ';'), '') AS affected_rates, coalesce(array_to_string(list_sort(list(DISTINCT contamination_mode)), ';'), '') AS affected_modes, {_CLASS} AS failure_class, coalesce(quantifier = 'pacc', FALSE) AS is_primary_quantifier, {_CLASS} = 'unclassified_failure' AS rerun_required, false AS formal_inclusion, '{evidence.EXCLUDED}' AS inclusion_reason FROM {_ONCE} WHERE quantifier_status <> 'ok' GROUP BY ALL"
 )
 def failure_audit(spark: SparkSession, d: str) -> DataFrame:
     """U2, A4, PF26: failed combinations of the stored evidence."""
@@ -233,17 +230,46 @@ def failure_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 _AUDIT_EXPECTED = {"protocol": ["P1", "P2", "P3", "P4"], "calibration_policy": ["source_only", "target_real_anchor", "oracle_target"], "quantifier": ["cc", "pcc", "acc", "pacc", "emq", "hdy", "dys", "median_sweep", "kdey"]}
+_AUDIT_KEY = ["seed", "protocol", "detector", "calibration_policy", "quantifier", "test_table", "test_generator", "contamination_mode", "true_prevalence", "created_at"]
+_AUDIT_REST = ["decomposition_id", "quantifier_status", "total_prevalence_error", "max_absolute_residual"]
+
+
+def _complete_sql(rows: str, expected: dict[str, list]) -> str:
+    one = lambda c, v: f"SELECT '{c}_complete', (SELECT count(*) FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS v FROM {rows} WHERE {c} IS NOT NULL) a FULL JOIN (SELECT unnest([{', '.join(repr(str(x)) for x in v)}]) AS v) b ON a.v = b.v WHERE a.v IS NULL OR b.v IS NULL)"
+    return " UNION ALL ".join(one(c, v) for c, v in expected.items())
 
 
 @query(
-    f"WITH o AS (SELECT * FROM {_ONCE}), c AS (SELECT (SELECT count(*) FROM (SELECT decomposition_id FROM o GROUP BY 1 HAVING count(*) > 1)) AS evidence_key_unique, count(*) FILTER (WHERE quantifier_status = 'ok' AND NOT coalesce(isfinite(total_prevalence_error), FALSE)) AS ok_rows_have_values, count(*) FILTER (WHERE quantifier_status <> 'ok' AND coalesce(isfinite(total_prevalence_error), FALSE)) AS failed_rows_have_none, count(*) FILTER (WHERE abs(max_absolute_residual) > 1e-10) AS residual_within_tolerance, "
-    + ", ".join(f"count(*) FILTER (WHERE {c} NOT IN ({', '.join(repr(x) for x in v)})) AS {c}_expected" for c, v in _AUDIT_EXPECTED.items())
-    + " FROM o) SELECT check_name, violations, violations = 0 AS passed FROM (UNPIVOT c ON COLUMNS(*) INTO NAME check_name VALUE violations)"
+    f"WITH o AS (SELECT DISTINCT {', '.join(_AUDIT_KEY + _AUDIT_REST)} FROM finding_8_error_decomposition), "
+    "c AS (SELECT 'ok_rows_have_values' AS check_name, count(*) FILTER (WHERE quantifier_status = 'ok' AND NOT coalesce(isfinite(total_prevalence_error), FALSE)) AS violations FROM o "
+    "UNION ALL SELECT 'failed_rows_have_none', count(*) FILTER (WHERE coalesce(quantifier_status <> 'ok', TRUE) AND coalesce(isfinite(total_prevalence_error), FALSE)) FROM o UNION ALL SELECT 'residual_within_tolerance', count(*) FILTER (WHERE abs(max_absolute_residual) > 1e-10) FROM o "
+    f"UNION ALL SELECT 'evidence_key_unique', (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM o GROUP BY {', '.join(_AUDIT_KEY)})) UNION ALL SELECT 'deliveries_agree', (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM o GROUP BY decomposition_id)) UNION ALL {_complete_sql('o', _AUDIT_EXPECTED)}) "
+    "SELECT check_name, violations, violations = 0 AS passed FROM c"
 )
 def integrity_audit(spark: SparkSession, d: str) -> DataFrame:
-    """The checks over the stored evidence."""
-    rows = _finding_8(spark, d, "quantifier_status")
-    return evidence.integrity_audit(rows, ["decomposition_id"], "quantifier_status", "total_prevalence_error", "max_absolute_residual", _AUDIT_EXPECTED)
+    """The checks that the stored evidence has columns for. Deliveries that agree in everything but their arrival are
+    one; those of one id that don't, and rows of one composite key, are violations."""
+    rows = table(spark, d, "finding_8_error_decomposition", *_AUDIT_KEY, *_AUDIT_REST).distinct()
+    audit = evidence.integrity_audit(rows, _AUDIT_KEY, "quantifier_status", "total_prevalence_error", "max_absolute_residual", _AUDIT_EXPECTED)
+    agree = evidence._repeated(rows, ["decomposition_id"], "deliveries_agree")
+    return audit.unionByName(agree.withColumn("passed", F.col("violations") == 0))
+
+
+_FULL_KEY = [*_KEYS, "generator", "bag", "quantifier"]
+_FULL_EXPECTED = {"seed": [0, 1, 2, 3, 4], "protocol": ["P1", "P2"], "detector": ["d_a", "d_b"], "quantifier": ["cc", "pcc", "acc", "pacc"]}
+
+
+@query(
+    _EVIDENCE + ", c AS (SELECT 'ok_rows_have_values' AS check_name, count(*) FILTER (WHERE status = 'ok' AND NOT coalesce(isfinite(estimate), FALSE)) AS violations FROM evidence UNION ALL SELECT 'failed_rows_have_none', count(*) FILTER (WHERE status <> 'ok' AND coalesce(isfinite(estimate), FALSE)) FROM evidence "
+    "UNION ALL SELECT 'residual_within_tolerance', count(*) FILTER (WHERE abs(error - (detection_part + sampling_part + adjustment_part)) > 1e-10) FROM evidence UNION ALL SELECT 'estimates_in_unit_interval', count(*) FILTER (WHERE status = 'ok' AND (estimate < -1e-12 OR estimate > 1 + 1e-12)) FROM evidence "
+    f"UNION ALL SELECT 'evidence_key_unique', (SELECT coalesce(sum(n - 1), 0)::BIGINT FROM (SELECT count(*) AS n FROM evidence GROUP BY {', '.join(_FULL_KEY)})) UNION ALL SELECT 'rows_per_shard', (SELECT count(*) FROM (SELECT 1 FROM evidence GROUP BY seed, protocol, detector HAVING count(*) <> 64)) "
+    f"UNION ALL SELECT 'shards_planned', 0 UNION ALL SELECT 'shards_complete', (SELECT 20 - count(*) FROM (SELECT DISTINCT seed, protocol, detector FROM evidence)) UNION ALL SELECT 'shards_failed', 0 UNION ALL SELECT 'attempts_failed', 0 UNION ALL {_complete_sql('evidence', _FULL_EXPECTED)}) SELECT check_name, violations, violations = 0 AS passed FROM c"
+)
+def integrity_audit_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Shards, keys, values and completeness of the evidence of scored lines."""
+    e = evidence_table(spark, d)
+    done = e.select(*_KEYS).distinct().count()  # as many as the plan has shards
+    return evidence.integrity_audit(e, _FULL_KEY, "status", "estimate", "residual", _FULL_EXPECTED, unit=True, shard=_KEYS, rows_per_shard=64, shards={"planned": 20, "expected": 20, "complete": done, "failed": 0, "failed_attempts": 0})
 
 
 @query(

@@ -1,7 +1,10 @@
 """Metrics, thresholds and estimators over a scored population made of order lines.
 
-label: returned lines (l_returnflag = 'R'). Scores mix the label with arithmetic noise of the keys, to three decimals, so
-there are many ties. Lines with status F calibrate, those with status O are dealt to bags whose prevalence varies.
+label: returned lines (l_returnflag = 'R'). Scores mix the label with arithmetic noise of the keys, for curves to three
+decimals, so there are many ties, for estimators in full. Lines with status F calibrate, those with status O are dealt to bags whose prevalence varies.
+
+task: what a model is to learn from a bag, whether a noisy quantity is high; returned lines, the synthetic ones, place it
+lower than the others do.
 """
 
 from __future__ import annotations
@@ -19,20 +22,23 @@ _U = "((l_orderkey * 7919 + l_partkey * 31 + l_suppkey * 17 + l_linenumber * 13)
 _V = "((l_orderkey * 104729 + l_partkey * 7 + l_suppkey * 29 + l_linenumber * 3) % 9973) / 9973.0::DOUBLE"
 SCORED = f"""scored AS (SELECT l_orderkey AS ok, l_suppkey AS sk, l_partkey AS pk, l_linestatus AS half, CAST(l_returnflag = 'R' AS INTEGER) AS label,
 round(0.35::DOUBLE * CAST(l_returnflag = 'R' AS INTEGER) + 0.65::DOUBLE * ({_U}), 3) AS score,
-round(0.2::DOUBLE * CAST(l_returnflag = 'R' AS INTEGER) + 0.8::DOUBLE * ({_V}), 3) AS score_b, 't' || (l_suppkey % 3) AS grp FROM lineitem)"""
+round(0.2::DOUBLE * CAST(l_returnflag = 'R' AS INTEGER) + 0.8::DOUBLE * ({_V}), 3) AS score_b, 't' || (l_suppkey % 3) AS grp, CAST(l_quantity AS DOUBLE) AS qty, CAST(l_quantity + 20::DOUBLE * ({_V}) > CASE WHEN l_returnflag = 'R' THEN 20 ELSE 35 END AS INTEGER) AS task FROM lineitem)"""
+FULL = f"""scored AS (SELECT l_orderkey AS ok, l_linestatus AS half, CAST(l_returnflag = 'R' AS INTEGER) AS label, 0.35::DOUBLE * CAST(l_returnflag = 'R' AS INTEGER) + 0.65::DOUBLE * ({_U}) AS score FROM lineitem)"""
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_returnflag")
+def scored(spark: SparkSession, d: str, full: bool = False) -> DataFrame:
+    li = table(spark, d, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_linestatus", "l_returnflag", "l_quantity")
 
     def noise(a: int, b: int, c: int, e: int, m: int) -> Column:
         return ((F.col("l_orderkey") * a + F.col("l_partkey") * b + F.col("l_suppkey") * c + F.col("l_linenumber") * e) % m) / float(m)
 
     label = (F.col("l_returnflag") == "R").cast("int")
+    score, score_b = 0.35 * label + 0.65 * noise(7919, 31, 17, 13, 10007), 0.2 * label + 0.8 * noise(104729, 7, 29, 3, 9973)
     return li.select(
         F.col("l_orderkey").alias("ok"), F.col("l_suppkey").alias("sk"), F.col("l_partkey").alias("pk"), F.col("l_linestatus").alias("half"), label.alias("label"),
-        F.round(0.35 * label + 0.65 * noise(7919, 31, 17, 13, 10007), 3).alias("score"), F.round(0.2 * label + 0.8 * noise(104729, 7, 29, 3, 9973), 3).alias("score_b"),
-        F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string")).alias("grp"),
+        (score if full else F.round(score, 3)).alias("score"), (score_b if full else F.round(score_b, 3)).alias("score_b"),
+        F.concat(F.lit("t"), (F.col("l_suppkey") % 3).cast("string")).alias("grp"), F.col("l_quantity").cast("double").alias("qty"),
+        (F.col("l_quantity").cast("double") + 20.0 * noise(104729, 7, 29, 3, 9973) > F.when(F.col("l_returnflag") == "R", 20).otherwise(35)).cast("int").alias("task"),
     )
 
 
@@ -90,21 +96,24 @@ def spearman(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Bags: the line's order decides; a bag keeps returned lines of only some orders, so prevalences differ.
-_BAGGED = f"{SCORED}, cal AS (SELECT * FROM scored WHERE half = 'F'), bagged AS (SELECT 'b' || (ok % 40) AS bag_id, label, score FROM scored WHERE half = 'O' AND (label = 0 OR (ok // 40) % 8 < ok % 40 % 8 + 1))"
+_BAGGED = f"{FULL}, cal AS (SELECT * FROM scored WHERE half = 'F'), bagged AS (SELECT 'b' || (ok % 40) AS bag_id, label, score FROM scored WHERE half = 'O' AND (label = 0 OR (ok // 40) % 8 < ok % 40 % 8 + 1))"
 _STATE = "st AS (SELECT avg(label) AS prev, avg(CAST(score >= 0.5 AS INTEGER)) FILTER (WHERE label = 1) AS tpr, avg(CAST(score >= 0.5 AS INTEGER)) FILTER (WHERE label = 0) AS fpr, avg(score) FILTER (WHERE label = 1) AS sp, avg(score) FILTER (WHERE label = 0) AS sn FROM cal), bs AS (SELECT bag_id, count(*) AS n, avg(label) AS truth, avg(CAST(score >= 0.5 AS INTEGER)) AS cc, avg(score) AS pcc FROM bagged GROUP BY 1)"
 
 
 def bagged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = scored(spark, d)
+    s = scored(spark, d, full=True)
     keep = (F.col("label") == 0) | (F.floor(F.col("ok") / 40) % 8 < F.col("ok") % 40 % 8 + 1)
     bags = s.where("half = 'O'").where(keep).select(F.concat(F.lit("b"), (F.col("ok") % 40).cast("string")).alias("bag_id"), "label", "score")
     return s.where("half = 'F'"), bags
 
 
-def _estimates(spark: SparkSession, d: str, methods: tuple[str, ...], digits: int = 6) -> DataFrame:
+def _estimates(spark: SparkSession, d: str, methods: tuple[str, ...], digits: int | dict[str, int] = 6) -> DataFrame:
     cal, bags = bagged(spark, d)
     out = quantify.estimate(quantify.bag_statistics(bags, THRESHOLD), quantify.calibrate(cal, THRESHOLD), methods)
-    return out.withColumns({c: F.round(c, digits) for c in ("raw", "clipped")})
+    if len(methods) == 1:
+        return out.withColumns({c: F.round(c, digits) for c in ("raw", "clipped")})
+    fine = F.col("quantifier").isin([m for m in methods if digits[m] == 6])  # rounded as in the single queries, then to 4 decimals
+    return out.withColumns({c: F.round(F.when(fine, F.round(c, 6)).otherwise(F.col(c)), 4) for c in ("raw", "clipped")})
 
 
 def _shape(raw: str, name: str, source: str, digits: int = 6) -> str:
@@ -119,45 +128,61 @@ def _register(name: str, sql: str | None, digits: int = 6) -> None:
     query(sql)(run)
 
 
+#: Decimals that are compared: searches and fixed points end within their last step.
+_DIGITS = {m: 4 if m in ("emq", "hdy", "dys", "kdey") else 6 for m in quantify.METHODS}
 _BASE = f"WITH {_BAGGED}, {_STATE} "
-_register("cc", _BASE + _shape("cc", "cc", "bs, st"))
-_register("pcc", _BASE + _shape("pcc", "pcc", "bs, st"))
-_register("acc", _BASE + _shape("(cc - fpr) / (tpr - fpr)", "acc", "bs, st"))
-_register("pacc", _BASE + _shape("(pcc - sn) / (sp - sn)", "pacc", "bs, st"))
-_register(
-    "median_sweep",
-    f"WITH {_BAGGED}, th AS (SELECT i * 0.05::DOUBLE AS raw_t, round(i * 0.05::DOUBLE, 2) AS t FROM range(1, 20) r(i)), cs AS (SELECT t, avg(CAST(score >= t AS INTEGER)) FILTER (WHERE label = 1) AS tpr, avg(CAST(score >= t AS INTEGER)) FILTER (WHERE label = 0) AS fpr FROM cal, th GROUP BY t), "
+_SQL = {
+    "cc": _BASE + _shape("cc", "cc", "bs, st"),
+    "pcc": _BASE + _shape("pcc", "pcc", "bs, st"),
+    "acc": _BASE + _shape("(cc - fpr) / (tpr - fpr)", "acc", "bs, st"),
+    "pacc": _BASE + _shape("(pcc - sn) / (sp - sn)", "pacc", "bs, st"),
+    "median_sweep": f"WITH {_BAGGED}, th AS (SELECT i * 0.05::DOUBLE AS raw_t, round(i * 0.05::DOUBLE, 2) AS t FROM range(1, 20) r(i)), cs AS (SELECT t, avg(CAST(score >= t AS INTEGER)) FILTER (WHERE label = 1) AS tpr, avg(CAST(score >= t AS INTEGER)) FILTER (WHERE label = 0) AS fpr FROM cal, th GROUP BY t), "
     "bt AS (SELECT bag_id, t, avg(CAST(score >= t AS INTEGER)) AS cc FROM bagged, th GROUP BY ALL), ms AS (SELECT bag_id, median((cc - fpr) / (tpr - fpr)) AS v FROM bt JOIN cs USING (t) WHERE abs(tpr - fpr) >= 0.25 GROUP BY 1) " + _shape("v", "median_sweep", "ms"),
-)
-_CELLS = "bc AS (SELECT bag_id, CAST(round(score * 1000) AS INTEGER) AS cell, count(*) AS n FROM bagged GROUP BY ALL), cc1 AS (SELECT label, CAST(round(score * 1000) AS INTEGER) AS cell, count(*) AS n FROM cal GROUP BY ALL)"
-_register(
-    "emq",
-    f"WITH {_BAGGED}, {_STATE}, {_CELLS}, l AS (SELECT bag_id, list(cell / 1000.0::DOUBLE ORDER BY cell) AS s, list(n ORDER BY cell) AS c, sum(n)::DOUBLE AS tot FROM bc GROUP BY 1), "
-    "em AS (SELECT bag_id, list_reduce([prev] || list_transform(range(400), lambda i: 0.0::DOUBLE), lambda p, z: list_sum(list_transform(list_zip(s, c), lambda q: q[2] * (q[1] * p / prev) / (q[1] * p / prev + (1 - q[1]) * (1 - p) / (1 - prev)))) / tot) AS v FROM l, st) " + _shape("v", "emq", "em", 4),
-    digits=4,
-)
+}
+_SQL["emq"] = (
+    f"WITH {_BAGGED}, {_STATE}, bc AS (SELECT bag_id, score, count(*) AS n FROM bagged GROUP BY ALL), l AS (SELECT bag_id, list(score) AS s, list(n) AS c, sum(n)::DOUBLE AS tot FROM bc GROUP BY 1), "
+    "em AS (SELECT bag_id, list_reduce([prev] || list_transform(range(120), lambda i: 0.0::DOUBLE), lambda p, z: list_sum(list_transform(list_zip(s, c), lambda q: q[2] * (q[1] * p / prev) / (q[1] * p / prev + (1 - q[1]) * (1 - p) / (1 - prev)))) / tot) AS v FROM l, st) " + _shape("v", "emq", "em", 4)
+)
+
+
+def _searched(rows: str, objective: str, by: str) -> str:
+    """CTEs s1 to s3: the best of three grids over `rows`, each around the best of the one before."""
+    steps, out = quantify.STEPS, []
+    for i, step in enumerate(steps, start=1):
+        at = f"g * {step}::DOUBLE" if i == 1 else f"greatest(0, least(1, v + g * {step}::DOUBLE))"
+        grid, source = ("range(0, 101)", rows) if i == 1 else ("range(-50, 51)", f"{rows} JOIN s{i - 1} USING ({by})")
+        out.append(f"o{i} AS (SELECT {by}, p, {objective} AS o FROM (SELECT *, {at} AS p FROM {source} CROSS JOIN {grid} gg(g)) GROUP BY {by}, p), s{i} AS (SELECT {by}, arg_min(p, (round(o, 10), p)) AS v FROM o{i} GROUP BY {by})")
+    return ", ".join(out)
 
 
 def _matching(name: str, distance: str) -> str:
     return (
-        f"WITH {_BAGGED}, {_CELLS}, nb AS (SELECT unnest([8, 16, 32]) AS b), slots AS (SELECT b, unnest(range(0, b)) AS bin FROM nb), "
-        "hc AS (SELECT b, label, least(cell * b // 1000, b - 1) AS bin, sum(n) AS n FROM cc1, nb GROUP BY ALL), hcn AS (SELECT b, label, bin, n / sum(n) OVER (PARTITION BY b, label) AS p FROM hc), "
-        "ht AS (SELECT bag_id, b, least(cell * b // 1000, b - 1) AS bin, sum(n) AS n FROM bc, nb GROUP BY ALL), htn AS (SELECT bag_id, b, bin, n / sum(n) OVER (PARTITION BY bag_id, b) AS t FROM ht), "
-        "bags_ AS (SELECT DISTINCT bag_id FROM bc), al AS (SELECT bag_id, s.b, s.bin, coalesce(t, 0) AS t, coalesce(hp.p, 0) AS hp, coalesce(hn.p, 0) AS hn FROM bags_ CROSS JOIN slots s LEFT JOIN htn USING (bag_id, b, bin) LEFT JOIN hcn hp ON hp.b = s.b AND hp.bin = s.bin AND hp.label = 1 LEFT JOIN hcn hn ON hn.b = s.b AND hn.bin = s.bin AND hn.label = 0), "
-        f"ob AS (SELECT bag_id, b, g, {distance} AS o FROM (SELECT *, g / 1000.0::DOUBLE * hp + (1 - g / 1000.0::DOUBLE) * hn AS m FROM al CROSS JOIN range(0, 1001) gg(g)) GROUP BY ALL), "
-        "be AS (SELECT bag_id, b, arg_min(g, (round(o, 12), g)) / 1000.0::DOUBLE AS v FROM ob GROUP BY ALL), me AS (SELECT bag_id, median(v) AS v FROM be GROUP BY 1) " + _shape("v", name, "me")
-    )
-
-
-_register("hdy", _matching("hdy", "sqrt(sum((sqrt(t) - sqrt(m)) ** 2) / 2)"))
-_register("dys", _matching("dys", "sum(abs(t - m))"))
-_register(
-    "kdey",
-    f"WITH {_BAGGED}, {_CELLS}, sd AS (SELECT label, stddev_samp(round(score * 1000) / 1000) * count(*) ** (-0.2::DOUBLE) AS w, count(*) AS tot FROM cal GROUP BY 1), "
-    "xs AS (SELECT DISTINCT cell FROM bc), de AS (SELECT xs.cell, c.label, sum(c.n * exp(-0.5::DOUBLE * ((xs.cell - c.cell) / 1000.0::DOUBLE / w) ** 2)) / (any_value(tot) * any_value(w) * sqrt(2 * pi())) AS d FROM xs, cc1 c JOIN sd USING (label) GROUP BY ALL), "
-    "ob AS (SELECT bag_id, g, -sum(bc.n * ln(greatest(g / 1000.0::DOUBLE * p.d + (1 - g / 1000.0::DOUBLE) * q.d, 1e-12))) / sum(bc.n) AS o FROM bc JOIN de p ON p.cell = bc.cell AND p.label = 1 JOIN de q ON q.cell = bc.cell AND q.label = 0 CROSS JOIN range(0, 1001) gg(g) GROUP BY ALL), "
-    "be AS (SELECT bag_id, arg_min(g, (round(o, 12), g)) / 1000.0::DOUBLE AS v FROM ob GROUP BY 1) " + _shape("v", "kdey", "be"),
-)
+        f"WITH {_BAGGED}, nb AS (SELECT unnest([8, 16, 32]) AS b), slots AS (SELECT b, unnest(range(0, b)) AS bin FROM nb), "
+        "hc AS (SELECT b, label, least(floor(score * b), b - 1)::BIGINT AS bin, count(*) AS n FROM cal, nb GROUP BY ALL), hcn AS (SELECT b, label, bin, n / sum(n) OVER (PARTITION BY b, label) AS p FROM hc), "
+        "ht AS (SELECT bag_id, b, least(floor(score * b), b - 1)::BIGINT AS bin, count(*) AS n FROM bagged, nb GROUP BY ALL), htn AS (SELECT bag_id, b, bin, n / sum(n) OVER (PARTITION BY bag_id, b) AS t FROM ht), "
+        "bags_ AS (SELECT DISTINCT bag_id FROM bagged), al AS (SELECT bag_id, s.b, s.bin, coalesce(t, 0) AS t, coalesce(hp.p, 0) AS hp, coalesce(hn.p, 0) AS hn FROM bags_ CROSS JOIN slots s LEFT JOIN htn USING (bag_id, b, bin) LEFT JOIN hcn hp ON hp.b = s.b AND hp.bin = s.bin AND hp.label = 1 LEFT JOIN hcn hn ON hn.b = s.b AND hn.bin = s.bin AND hn.label = 0), "
+        + _searched("al", distance.format(m="(p * hp + (1 - p) * hn)"), "bag_id, b")
+        + ", me AS (SELECT bag_id, median(v) AS v FROM s3 GROUP BY 1) " + _shape("v", name, "me", 4)
+    )
+
+
+_SQL["hdy"] = _matching("hdy", "sqrt(sum((sqrt(t) - sqrt({m})) ** 2) / 2)")
+_SQL["dys"] = _matching("dys", "sum(abs(t - {m}))")
+_CELL = f"least(floor(score * {quantify.CELLS}), {quantify.CELLS - 1})"
+_SQL["kdey"] = (
+    f"WITH {_BAGGED}, bc AS (SELECT bag_id, {_CELL} AS cell, count(*) AS n, avg(score) AS x FROM bagged GROUP BY ALL), cc1 AS (SELECT label, {_CELL} AS cell, count(*) AS n, avg(score) AS x FROM cal GROUP BY ALL), sd AS (SELECT label, stddev_samp(score) * count(*) ** (-0.2::DOUBLE) AS w, count(*) AS tot FROM cal GROUP BY 1), "
+    "de AS (SELECT bc.bag_id, bc.cell, any_value(bc.n) AS n, label, sum(c.n * exp(-0.5::DOUBLE * ((bc.x - c.x) / w) ** 2)) / (any_value(tot) * any_value(w) * sqrt(2 * pi())) AS d FROM bc, cc1 c JOIN sd USING (label) GROUP BY bc.bag_id, bc.cell, label), "
+    "al AS (SELECT bag_id, cell, any_value(n) AS n, max(d) FILTER (WHERE label = 1) AS hi, max(d) FILTER (WHERE label = 0) AS lo FROM de GROUP BY ALL), "
+    + _searched("al", "-sum(n * ln(greatest(p * hi + (1 - p) * lo, 1e-12))) / sum(n)", "bag_id") + " " + _shape("v", "kdey", "s3", 4)
+)
+for _name, _text in _SQL.items():
+    _register(_name, _text, _DIGITS[_name])
+
+
+@query(" UNION ALL ".join(f"SELECT bag_id, quantifier, round(raw, 4) AS raw, round(clipped, 4) AS clipped, out_of_range, status FROM ({_SQL[m]})" for m in quantify.METHODS))
+def q_all(spark: SparkSession, d: str) -> DataFrame:
+    """QF: all nine estimators on one row of statistics per bag."""
+    return _estimates(spark, d, quantify.METHODS, _DIGITS)
 
 
 @query(

@@ -116,6 +116,35 @@ def test_density_estimator_recovers_a_mixture(spark):
         assert abs(r["clipped"] - 0.2) < 0.05, r
 
 
+def test_estimators_at_full_precision(spark):
+    """Against the definitions on raw scores: histograms exactly, fixed point and density within the last step."""
+    rng = np.random.default_rng(9)
+    neg, pos, seen = rng.beta(2, 5, 400), rng.beta(5, 2, 300), np.r_[rng.beta(2, 5, 350), rng.beta(5, 2, 90), 0.12496, 0.125, 1.0, 0.0]
+    cal = spark.createDataFrame([(float(x), 0) for x in neg] + [(float(x), 1) for x in pos], "score double, label int")
+    bag = spark.createDataFrame([("b", float(x)) for x in seen], "bag_id string, score double")
+    state = quantify.calibrate(cal, 0.5)
+    row = quantify.bag_statistics(bag, 0.5).first()
+    at, n, x = quantify._cells(row["cells"])
+    for b in quantify.BINS:
+        assert quantify._binned(at, n, b) == pytest.approx(np.histogram(seen, bins=b, range=(0, 1))[0] / len(seen))
+    for c, v in ((0, neg), (1, pos)):
+        assert state[c]["spread"] == pytest.approx(v.std(ddof=1)) and state[c]["soft"] == pytest.approx(v.mean())
+    got = {r["quantifier"]: r["raw"] for r in quantify.estimate(quantify.bag_statistics(bag, 0.5), state).collect()}
+    assert got["emq"] == pytest.approx(quantify.expectation_maximisation(seen, np.ones(len(seen)), 3 / 7), abs=2e-6)
+    low, high = (quantify.density(seen, np.ones(len(v)), v, v.std(ddof=1)) for v in (neg, pos))
+    grid = np.arange(0, 1, 1e-5)
+    exact = grid[np.array([-np.log(g * high + (1 - g) * low).sum() for g in grid]).argmin()]
+    assert got["kdey"] == pytest.approx(exact, abs=5e-5)
+    tries = np.arange(0, 1, 1e-4)
+    for name, distance in (("hdy", lambda t, m: ((np.sqrt(t) - np.sqrt(m)) ** 2).sum()), ("dys", lambda t, m: np.abs(t - m).sum())):
+        best = []
+        for b in quantify.BINS:
+            t, hi, lo = (np.histogram(v, bins=b, range=(0, 1))[0] / len(v) for v in (seen, pos, neg))
+            objective = [distance(t, g * hi + (1 - g) * lo) for g in tries]
+            best.append(tries[int(np.argmin(objective))])
+        assert got[name] == pytest.approx(np.median(best), abs=2e-4), name
+
+
 def test_shapley_against_all_orders(spark):
     rng = np.random.default_rng(5)
     x, y, q, l = rng.normal(size=(6, 2)), np.array([0, 1, 1, 0, 1, 0]), rng.normal(size=(3, 2)), [1, 0, 1]
