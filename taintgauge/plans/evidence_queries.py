@@ -130,11 +130,34 @@ def finding_quality_utility(spark: SparkSession, d: str) -> DataFrame:
     return evidence.finding(_with_quadrant(spark, d), ["detector", "generator"], {"auroc": F.col("auroc"), "mean_delta": F.col("delta")}, worst_delta=F.round(F.min("delta"), 9))
 
 
-@query(_EVIDENCE + ", f AS (SELECT DISTINCT seed, protocol, detector, tpr, fpr, soft_tpr, soft_fpr FROM st) SELECT protocol, detector, round(avg(tpr), 9) AS tpr, round(avg(fpr - 0.05), 9) AS threshold_fpr_shift, round(avg(soft_tpr - soft_fpr), 9) AS separation FROM f GROUP BY ALL")
+def _shift_sql(half: str, n: str) -> str:
+    return (
+        f"r{n}_ AS (SELECT seed, protocol, detector, label, rank() OVER (PARTITION BY seed, protocol, detector ORDER BY s) + (count(*) OVER (PARTITION BY seed, protocol, detector, s) - 1) / 2 AS r FROM x WHERE half = '{half}'), "
+        f"a{n}_ AS (SELECT seed, protocol, detector, round((sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2) / (sum(label) * sum(1 - label)), 9) AS auroc_{n} FROM r{n}_ GROUP BY ALL), "
+        f"h{n}_ AS (SELECT seed, protocol, detector, least(floor(s * 10), 9) AS bin, count(*) AS n, avg(label) AS acc, avg(s) AS conf FROM x WHERE half = '{half}' GROUP BY ALL), e{n}_ AS (SELECT seed, protocol, detector, round(sum(n * abs(acc - conf)) / sum(n), 9) AS ece_{n} FROM h{n}_ GROUP BY ALL)"
+    )
+
+
+@query(
+    _EVIDENCE + f", {_shift_sql('F', 's')}, {_shift_sql('O', 't')}, f AS (SELECT DISTINCT seed, protocol, detector, tpr, fpr, soft_tpr, soft_fpr FROM st), tf AS (SELECT seed, protocol, detector, avg(CAST(s >= 0.5 AS INTEGER)) AS target_fpr FROM x WHERE half = 'O' AND label = 0 GROUP BY ALL) "
+    "SELECT protocol, detector, round(avg(auroc_s), 9) AS source_auroc, round(avg(auroc_t), 9) AS target_auroc, round(avg(auroc_t - auroc_s), 9) AS ranking_shift, round(avg(ece_s), 9) AS source_ece, round(avg(ece_t), 9) AS target_ece, round(avg(ece_t - ece_s), 9) AS calibration_shift, round(avg(tpr), 9) AS tpr, round(avg(target_fpr - fpr), 9) AS threshold_fpr_shift, round(avg(soft_tpr - soft_fpr), 9) AS separation "
+    "FROM f JOIN tf USING (seed, protocol, detector) JOIN as_ USING (seed, protocol, detector) JOIN at_ USING (seed, protocol, detector) JOIN es_ USING (seed, protocol, detector) JOIN et_ USING (seed, protocol, detector) GROUP BY ALL"
+)
 def finding_calibration_transfer(spark: SparkSession, d: str) -> DataFrame:
-    """F7, PF23."""
-    s = evidence_table(spark, d).select(*_KEYS, "tpr", "fpr", "soft_tpr", "soft_fpr").distinct()
-    return evidence.finding(s, ["protocol", "detector"], {"tpr": F.col("tpr"), "threshold_fpr_shift": F.col("fpr") - 0.05, "separation": F.col("soft_tpr") - F.col("soft_fpr")})
+    """F7, PF23: what ranking, calibration and the false positive rate of a threshold lose from source to target."""
+    x = lines(spark, d)
+    rows = evidence_table(spark, d).select(*_KEYS, "tpr", "fpr", "soft_tpr", "soft_fpr").distinct()
+    for half, n in (("F", "s"), ("O", "t")):
+        own = x.where(F.col("half") == half)
+        area = metrics.auroc(own, _KEYS, score="s").withColumnRenamed("auroc", f"auroc_{n}")
+        gap = metrics.calibration(own, _KEYS, score="s").select(*_KEYS, F.col("ece").alias(f"ece_{n}"))
+        rows = rows.join(area, _KEYS).join(gap, _KEYS)
+    rows = rows.join(x.where("half = 'O' and label = 0").groupBy(*_KEYS).agg(F.avg((F.col("s") >= 0.5).cast("int")).alias("target_fpr")), _KEYS)
+    means = {
+        "source_auroc": F.col("auroc_s"), "target_auroc": F.col("auroc_t"), "ranking_shift": F.col("auroc_t") - F.col("auroc_s"), "source_ece": F.col("ece_s"), "target_ece": F.col("ece_t"), "calibration_shift": F.col("ece_t") - F.col("ece_s"),
+        "tpr": F.col("tpr"), "threshold_fpr_shift": F.col("target_fpr") - F.col("fpr"), "separation": F.col("soft_tpr") - F.col("soft_fpr"),
+    }
+    return evidence.finding(rows, ["protocol", "detector"], means)
 
 
 _F8_KEYS = ["protocol", "detector", "calibration_policy", "quantifier", "contamination_mode"]
