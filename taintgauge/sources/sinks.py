@@ -12,38 +12,84 @@ import uuid
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fields every run manifest must have.
-MANIFEST_FIELDS = ("run_id", "run_type", "status", "created_at", "config_sha256", "seed", "inputs", "outputs", "environment", "code_version", "row_counts", "checks", "notes")
-RUN_ID = re.compile(r"[a-z0-9][a-z0-9_\-]{2,80}")
-TERMINAL = frozenset({"formal_passed", "smoke_passed", "failed", "blocked_by_dependency"})
+# The fields of a run manifest, no more and no fewer.
+MANIFEST_FIELDS = ("run_id", "created_at", "code_state", "config_snapshot", "data_checksums", "dataset", "protocol", "algorithm", "generator", "seed", "input_artifacts", "output_artifacts", "environment")
+RUN_ID = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]{2,127}")
+TERMINAL = frozenset({"formal_passed", "pilot_passed", "smoke_passed", "failed", "blocked_by_dependency"})
+
+
+def _files(path: str):
+    """(file system, path) of a path by its scheme, or None for local paths without an active session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or "://" not in path or path.startswith("file://"):
+        return None
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def _local(path: str) -> str:
+    return path.removeprefix("file://")
+
+
+def exists(path: str) -> bool:
+    fs = _files(path)
+    return fs[0].exists(fs[1]) if fs else os.path.exists(_local(path))
+
+
+def children(path: str, prefix: str) -> int:
+    """How many entries of a folder begin with `prefix`."""
+    fs = _files(path)
+    if fs:
+        return sum(s.getPath().getName().startswith(prefix) for s in fs[0].listStatus(fs[1])) if fs[0].exists(fs[1]) else 0
+    return sum(n.startswith(prefix) for n in os.listdir(_local(path))) if os.path.isdir(_local(path)) else 0
+
+
+def _rename(old: str, new: str) -> None:
+    fs = _files(new)
+    if not fs:
+        os.rename(_local(old), _local(new))
+    elif not fs[0].rename(_files(old)[1], fs[1]):
+        raise OSError(f"{old} can't be renamed to {new}")
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by: tuple[str, ...] = (), single: bool = False) -> None:
-    """Write to a staging folder beside `path`, then rename: readers see all or nothing. Local paths; on object stores the committer does this."""
-    local = path.removeprefix("file://")
-    staging = f"{local}.partial-{uuid.uuid4().hex}"
+    """Write to a staging folder beside `path`, then rename, on any file system Spark knows: readers see all or nothing.
+
+    single: one file, for small tables only: one task writes it.
+    """
+    staging = f"{path}.partial-{uuid.uuid4().hex}"
     out = (df.coalesce(1) if single else df).write.mode("error")
     out = out.partitionBy(*partition_by) if partition_by else out
     out = out.option("header", True).option("lineSep", "\n") if form == "csv" else out
     out.format(form).save(staging)
-    if os.path.exists(local):
-        os.rename(local, f"{local}.old-{uuid.uuid4().hex}")
-    os.rename(staging, local)
+    if exists(path):
+        _rename(path, f"{path}.old-{uuid.uuid4().hex}")
+    _rename(staging, path)
 
 
 def write_json(value: object, path: str) -> None:
-    """Sorted, indented, replaced atomically."""
+    """Sorted, indented, replaced as a whole."""
+    text = json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False, default=str) + "\n"
+    fs = _files(path)
+    if fs:
+        out = fs[0].create(fs[1], True)
+        out.write(bytearray(text.encode("utf-8")))
+        out.close()
+        return
+    path = _local(path)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
     Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(part).write_text(json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False, default=str) + "\n", encoding="utf-8")
+    Path(part).write_text(text, encoding="utf-8")
     os.replace(part, path)
 
 
 def read_json(path: str) -> object:
-    return json.loads(Path(path).read_text(encoding="utf-8"))
+    if _files(path):
+        return json.loads("\n".join(r[0] for r in SparkSession.getActiveSession().read.text(path, wholetext=True).collect()))  # one document
+    return json.loads(Path(_local(path)).read_text(encoding="utf-8"))
 
 
 def sha256_file(path: str) -> str:
@@ -69,9 +115,18 @@ def validate_artifacts(root: str, manifest: list[dict]) -> list[str]:
 
 
 def validate_manifest(manifest: dict) -> None:
-    missing = [f for f in MANIFEST_FIELDS if f not in manifest]
-    if missing or not RUN_ID.fullmatch(str(manifest.get("run_id", ""))) or manifest.get("status") not in TERMINAL:
-        raise ValueError(f"run manifest isn't valid: missing {missing}, run_id {manifest.get('run_id')!r}, status {manifest.get('status')!r}")
+    """All fields and no others, an id of plain characters, a seed or distinct seeds, containers where lists belong."""
+    seed = manifest.get("seed")
+    seeds = seed if isinstance(seed, list) else [seed]
+    wrong = {
+        "missing": sorted(set(MANIFEST_FIELDS) - set(manifest)),
+        "unknown": sorted(set(manifest) - set(MANIFEST_FIELDS)),
+        "run_id": not (isinstance(manifest.get("run_id"), str) and RUN_ID.fullmatch(manifest["run_id"])),
+        "seed": not seeds or any(isinstance(x, bool) or not isinstance(x, int) for x in seeds) or len(set(seeds)) < len(seeds),
+        "containers": [k for k in ("data_checksums", "input_artifacts", "output_artifacts", "environment") if k in manifest and not isinstance(manifest[k], dict | list)],
+    }
+    if any(wrong.values()):
+        raise ValueError(f"run manifest isn't valid: { {k: v for k, v in wrong.items() if v} }")
 
 
 def create_manifest(manifest: dict, path: str) -> None:

@@ -6,7 +6,7 @@ import pytest
 from taintgauge import runs
 from taintgauge.operators.detect import BlockedByDependency
 from taintgauge.operators.generate import generator
-from taintgauge.operators.malformed import Column, Layout
+from taintgauge.operators.malformed import Field, Layout
 from taintgauge.sources import readers, sinks
 from taintgauge.streaming.drift import windowed_drift
 
@@ -47,12 +47,14 @@ def test_manifests_and_tables(spark, tmp_path):
     m = sinks.artifact_manifest(str(tmp_path))
     f.write_text("y")
     assert sinks.validate_artifacts(str(tmp_path), m) == ["a.txt"]
-    good = {k: 1 for k in sinks.MANIFEST_FIELDS} | {"run_id": "r-1", "status": "smoke_passed"}
+    good = {k: [] for k in sinks.MANIFEST_FIELDS} | {"run_id": "r-1", "seed": [1, 2]}
     sinks.create_manifest(good, str(tmp_path / "m.json"))
     with pytest.raises(FileExistsError):
         sinks.create_manifest(good, str(tmp_path / "m.json"))
-    with pytest.raises(ValueError):
-        sinks.validate_manifest(good | {"status": "maybe"})
+    without = {k: v for k, v in good.items() if k != "seed"}
+    for bad in (good | {"status": "maybe"}, without, good | {"seed": [1, 1]}, good | {"seed": []}, good | {"seed": "1"}, good | {"run_id": "a b"}, good | {"environment": 3}):
+        with pytest.raises(ValueError):
+            sinks.validate_manifest(bad)
     df = spark.createDataFrame([(1, "a")], "i int, s string")
     for form in ("parquet", "csv"):
         sinks.write_table(df, str(tmp_path / form), form)
@@ -66,7 +68,7 @@ def test_archive(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("one.data", "1, a, <=50K.\n?, b, >50K\n| note\n\n")
         z.writestr("two.test", "3, a, <=50K\n4, a\n")
-    layout = Layout(",", '"', "|", frozenset({"?"}), (Column("x", "numeric", "int", 0.0, 9.0, frozenset()), Column("c", "categorical", "string", None, None, frozenset("ab")), Column("t", "target", "string", None, None, frozenset({"<=50K", ">50K"}))))
+    layout = Layout(",", '"', "|", frozenset({"?"}), (Field("x", "numeric", "int", 0.0, 9.0, frozenset()), Field("c", "categorical", "string", None, None, frozenset("ab")), Field("t", "target", "string", None, None, frozenset({"<=50K", ">50K"}))))
     lines = readers.archive_lines(spark, str(tmp_path / "a.zip"), "d")
     ok, bad = readers.load_lines(lines, layout, "d")
     assert sorted((r["x"] is None, r["t"]) for r in ok.collect()) == [(False, "<=50K"), (False, "<=50K"), (True, ">50K")] and bad.count() == 1
