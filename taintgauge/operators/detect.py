@@ -110,7 +110,9 @@ def two_sample_lr(train: DataFrame, valid: DataFrame, numeric: list[str], catego
     n = train.count()
     t, v = _sized(_prepare(train, numeric, categorical), n), _prepare(valid, numeric, categorical)
     features = Pipeline(stages=_tabular(numeric, categorical)).fit(t)
-    return _best("c2st_lr", features, t, v, [({"strength": c, "rows": n}, _logistic(n, c)) for c in STRENGTHS])
+    best = _best("c2st_lr", features, t, v, [({"strength": c, "rows": n}, _logistic(n, c)) for c in STRENGTHS])
+    t.unpersist()
+    return best
 
 
 def two_sample_boosting(train: DataFrame, valid: DataFrame, numeric: list[str], categorical: list[str], candidates=BOOSTS, seed: int = 7) -> Detector:
@@ -118,7 +120,9 @@ def two_sample_boosting(train: DataFrame, valid: DataFrame, numeric: list[str],
     t, v = _sized(_prepare(train, numeric, categorical), train.count()), _prepare(valid, numeric, categorical)
     features = Pipeline(stages=_tabular(numeric, categorical)).fit(t)
     made = [({"trees": trees, "depth": depth}, GBTClassifier(featuresCol="_features", labelCol="label", maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=0.9, seed=seed)) for trees, depth, step in candidates]
-    return _best("c2st_gbt", features, t, v, made)
+    best = _best("c2st_gbt", features, t, v, made)
+    t.unpersist()
+    return best
 
 
 class GramDetector(Detector):
@@ -173,6 +177,60 @@ def permuted_labels(df: DataFrame, key: str, seed: int) -> DataFrame:
     return df.withColumn("label", (hash60(seed, F.col(key).cast("string")) < F.lit(int(rate * (1 << 60)))).cast("int"))
 
 
+def order_delta(detector: GramDetector, df: DataFrame, columns: list[str], schema: str, key: str, seeds: tuple[int, int]) -> float:
+    """Largest change of a score when the columns of each record are written in another order."""
+    text = lambda s: records.serialise(df, columns, schema, key, s)
+    one, two = (detector.score_text(df, text(s)).select(key, F.col("score").alias(f"s{i}")) for i, s in enumerate(seeds))
+    return float(one.join(two, key).agg(F.max(F.abs(F.col("s0") - F.col("s1")))).first()[0] or 0.0)
+
+
+def reload_delta(detector: Detector, df: DataFrame, key: str, path: str) -> float:
+    """Largest change of a score after saving and loading the detector."""
+    detector.save(path)
+    again = type(detector)(detector.name, PipelineModel.load(path), {})
+    one, two = (d.score(df).select(key, F.col("score").alias(f"s{i}")) for i, d in enumerate((detector, again)))
+    return float(one.join(two, key).agg(F.max(F.abs(F.col("s0") - F.col("s1")))).first()[0] or 0.0)
+
+
+def one_hot(df: DataFrame, key: str, numeric: list[str], categorical: list[str], most: int = 20) -> tuple[DataFrame, list[str]]:
+    """((key, features array<double>), names): scaled numbers and indicators of the `most` commonest values of each category.
+
+    Rarer values share one more indicator, NULL has none; a missing number is its mean, that is 0.
+    """
+    moments = df.agg(*[f(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))).alias(f"{k}{i}") for i, c in enumerate(numeric) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first() if numeric else {}
+    cols, names = [], []
+    for i, c in enumerate(numeric):
+        x = F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        cols.append(F.coalesce((x - F.lit(moments[f"m{i}"])) / F.lit(moments[f"s{i}"] or 1.0), F.lit(0.0)))
+        names.append(c)
+    for c in categorical:
+        levels = [r[0] for r in df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "v").limit(most + 1).collect()]
+        kept = levels[:most]
+        cols += [F.coalesce((F.col(c).cast("string") == v).cast("double"), F.lit(0.0)) for v in kept]
+        names += [f"{c}={v}" for v in kept]
+        if len(levels) > most:
+            cols.append(F.coalesce((~F.col(c).cast("string").isin(kept)).cast("double"), F.lit(0.0)))
+            names.append(f"{c}=other")
+    return df.select(key, F.array(*[F.round(x, 9) for x in cols]).alias("features")), names
+
+
+def deletion_curve(values: DataFrame, test: DataFrame, key: str, value: str, features: list[str], target: str, shares: tuple[float, ...] = (0.0, 0.05, 0.1, 0.2)) -> DataFrame:
+    """(share, rows, utility): AUROC of a task model fitted without the given share of records of least value.
+
+    All models are fitted together; records are ranked once. A NULL value is never deleted.
+    """
+    from taintgauge.operators.draws import ordered_rank
+
+    known = ordered_rank(values.where(F.col(value).isNotNull()), [], value, key)
+    unknown = values.where(F.col(value).isNull()).withColumn("rank", F.lit(None).cast("bigint")).withColumn("group_rows", F.lit(0).cast("bigint"))
+    ranked = known.unionByName(unknown.select(*known.columns)).withColumn("share", F.explode(F.array(*[F.lit(s) for s in shares])))
+    gone = F.when(F.col("share") > 0, F.greatest(F.lit(1), F.floor(F.col("group_rows") * F.col("share")))).otherwise(0)
+    kept = ranked.where(F.col("rank").isNull() | (F.col("rank") > gone)).withColumns({"bag": F.col("share").cast("string"), "score": F.lit(0.0), "source_label": F.lit(0)})
+    worth = bag_utility(kept, test, features, target, bag="bag", worths=("keep_utility",))
+    sizes = kept.groupBy("bag").agg(F.count("*").alias("rows"))
+    return worth.join(sizes, "bag").select(F.col("bag").cast("double").alias("share"), "rows", F.round("keep_utility", 9).alias("utility"))
+
+
 def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> np.ndarray:
     """Weights (constant last) by iteratively reweighted least squares; for the many small fits per bag."""
     x = np.c_[x, np.ones(len(x))]
@@ -277,6 +335,10 @@ def train_on_test_on_real(sets: DataFrame, test: DataFrame, numeric: list[str],
             out.append((r[by], None, "single_class"))
             continue
         features = Pipeline(stages=_tabular(numeric, categorical)).fit(own)
-        model = PipelineModel([*features.stages, _logistic(r["n"], 1.0).fit(_sized(features.transform(own).select("label", "_features"), r["n"]))])
+        held_features = _sized(features.transform(own).select("label", "_features"), r["n"])
+        model = PipelineModel([*features.stages, _logistic(r["n"], 1.0).fit(held_features)])
+        held_features.unpersist()
         out.append((r[by], area(Detector("task", model, {}).score(held)), "ok"))
+    ready.unpersist()
+    held.unpersist()
     return spark.createDataFrame(out, f"{by} string, auroc double, status string")

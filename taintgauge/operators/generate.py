@@ -132,14 +132,6 @@ def pool(df: DataFrame, dataset: str, generator: str, pool_name: str, generator_
     return df.select(*columns, ident.alias("synth_row_id"), *[F.lit(v).alias(k) for k, v in lits.items()])
 
 
-def validate_pools(pools: DataFrame) -> dict:
-    """Four pools, ids unique over all of them."""
-    each = pools.groupBy("synth_row_id").agg(F.count("*").alias("n"))
-    repeated = each.where("n > 1").count()
-    names = sorted(r[0] for r in pools.select("pool_name").distinct().limit(len(POOLS) + 1).collect())
-    return {"all_synth_ids_unique": repeated == 0, "pools_complete": names == sorted(POOLS)}
-
-
 GENERATORS = {"marginal": marginal, "noisy": noisy, "rounded": rounded, "gaussian_copula": GaussianCopula}
 
 

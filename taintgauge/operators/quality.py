@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ def overlap(rows: DataFrame, by: list[str], pool: str, real: str = "real", conte
     known = each.where(F.col(pool) == real).select(*[F.col(c).alias(f"_{c}") for c in by], F.col(content).alias("_content"))
     on = F.col(content) == F.col("_content")
     for c in by:
-        on = on & (F.col(c) == F.col(f"_{c}"))
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     seen = each.where(F.col(pool) != real).join(known, on, "left")
     out = seen.groupBy(*by, pool).agg(F.sum("n").alias("rows"), (F.sum("n") - F.count("*")).alias("duplicate_rows"), F.coalesce(F.sum(F.when(F.col("_content").isNotNull(), F.col("n"))), F.lit(0)).alias("real_overlap_rows"))
     return out.withColumn("duplicate_rate", F.round(F.col("duplicate_rows") / F.col("rows"), 9)).withColumn("real_overlap_rate", F.round(F.col("real_overlap_rows") / F.col("rows"), 9))
@@ -70,7 +72,39 @@ def format_report(df: DataFrame, by: list[str], text: list[str], numbers_as_text
     return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(spaces).alias("outer_space_count"), F.sum(bad).alias("numeric_parse_failures"))
 
 
-def quality_gate(checks: dict[str, bool]) -> dict:
-    """Hard failures by name, in the order given."""
-    failures = [k for k, ok in checks.items() if not ok]
-    return {"passed": not failures, "hard_failures": failures}
+def format_diagnostics(df: DataFrame, numeric: list[str], categorical: list[str], target: str) -> dict:
+    """Format of one pool, one scan: missing columns, values of the target, outer blanks, texts that aren't numbers, shares of missing values.
+
+    A number is missing where it is NULL or NaN. The target's domain is short; more than 1,000 values are not gathered.
+    """
+    wanted = [*numeric, *categorical, target]
+    lost = sorted(set(wanted) - set(df.columns))
+    here = [c for c in wanted if c not in lost]
+    kinds = dict(df.dtypes)
+    gone = {c: F.col(c).isNull() | F.isnan(c) if kinds[c] in ("double", "float") else F.col(c).isNull() for c in here}
+    sums = {f"m{i}": F.avg(gone[c].cast("int")) for i, c in enumerate(here)}
+    sums |= {f"s{i}": F.count_if(F.col(c) != F.trim(F.col(c))) for i, c in enumerate(here) if c in categorical and kinds[c] == "string"}
+    sums |= {f"p{i}": F.count_if(F.col(c).isNotNull() & F.expr(f"try_cast(`{c}` as double)").isNull()) for i, c in enumerate(here) if c in numeric}
+    r = df.agg(*[v.alias(k) for k, v in sums.items()]).first() if sums else {}
+    domain = sorted(str(x[0]) for x in df.where(F.col(target).isNotNull()).select(target).distinct().limit(1001).collect()) if target in here else []
+    failures = sum(r[k] for k in sums if k[0] == "p")
+    return {
+        "schema_valid": not lost, "missing_columns": lost, "target_values": domain, "string_outer_space_count": sum(r[k] for k in sums if k[0] == "s"), "numeric_parse_failures": failures,
+        "valid_rate": float(not failures and not lost), "missing_rates": {c: r[f"m{i}"] for i, c in enumerate(here)},
+    }
+
+
+def report(df: DataFrame, by: list[str], numeric: list[str], categorical: list[str], synthetic: str) -> DataFrame:
+    """(by, column_shapes, pair_trends, score): means of the similarities of single columns, of pairs, and of both.
+
+    Numbers by the distance of their distributions and their correlations, categories by shares and contingency; pairs of
+    a number with a category don't count.
+    """
+    one = [ks_complement(df, by, c, synthetic) for c in numeric] + [tv_complement(df, by, [c], synthetic) for c in categorical]
+    two = [correlation_similarity(df, by, a, b, synthetic) for i, a in enumerate(numeric) for b in numeric[i + 1 :]]
+    two += [tv_complement(df, by, [a, b], synthetic) for i, a in enumerate(categorical) for b in categorical[i + 1 :]]
+    mean = lambda parts, name: reduce(DataFrame.unionByName, parts).groupBy(*by).agg(F.avg("score").alias(name))
+    shapes, trends = mean(one, "column_shapes"), mean(two, "pair_trends") if two else mean(one, "pair_trends").withColumn("pair_trends", F.lit(None).cast("double"))
+    both = shapes.alias("a").join(trends.alias("b"), by, "left") if by else shapes.crossJoin(trends)
+    score = F.coalesce((F.col("column_shapes") + F.col("pair_trends")) / 2, "column_shapes")
+    return both.select(*by, F.round("column_shapes", 6).alias("column_shapes"), F.round("pair_trends", 6).alias("pair_trends"), F.round(score, 6).alias("score"))

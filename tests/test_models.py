@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from taintgauge.operators import pools as pool_rules
 from taintgauge.operators import cleaning, detect, generate, mixing, quality, records, value
 from taintgauge.runs import included_runs
 
@@ -48,7 +49,9 @@ def test_generators(spark, people):
     for i, name in enumerate(generate.POOLS):
         p = generate.pool(s.where(f"id % 4 = {i}"), "d", "gaussian_copula", name, 1, i, ["x", "c"], "id")
         pools = p if pools is None else pools.unionByName(p)
-    assert generate.validate_pools(pools) == {"all_synth_ids_unique": True, "pools_complete": True}
+    assert pool_rules.validate_pools(pools, ["x", "c"])["passed"]
+    twice = pool_rules.validate_pools(pools.unionByName(pools.where("pool_name = 'final_test'").withColumn("pool_name", F.lit("downstream"))), ["c", "x"])
+    assert not twice["all_synth_ids_unique"] and set(twice["wrong"]) == {"repeated_ids", "shared_ids", "columns"}
 
 
 def test_records_and_quality(spark):
@@ -64,10 +67,59 @@ def test_records_and_quality(spark):
     got = {r["pool"]: r for r in quality.overlap(rows, [], "pool").collect()}
     assert got["g"]["duplicate_rows"] == 1 and got["g"]["real_overlap_rows"] == 2 and got["h"]["real_overlap_rate"] == 0.5
     assert {(r["left_pool"], r["right_pool"], r["shared"]) for r in quality.pairwise_overlap(rows, [], "pool").collect()} == {("g", "real", 1), ("h", "real", 1), ("g", "h", 1)}
-    assert quality.quality_gate({"a": True, "b": False}) == {"passed": False, "hard_failures": ["b"]}
     assert cleaning.duplicate_report(df.limit(0), ["a"]).first()["rows"] == 0
 
 
+def test_quality_gate_names_every_failure(spark):
+    rows = spark.createDataFrame([("1", " a ", "0", 1.0), ("2", "b", "1", None), ("x", "b", "1", 2.0)], "n string, c string, t string, y double")
+    fmt = quality.format_diagnostics(rows, ["n", "y"], ["c", "lost"], "t")
+    assert not fmt["schema_valid"] and fmt["missing_columns"] == ["lost"] and fmt["numeric_parse_failures"] == 1 and fmt["string_outer_space_count"] == 1 and fmt["target_values"] == ["0", "1"] and fmt["missing_rates"]["y"] == pytest.approx(1 / 3)
+    good = {
+        "access": {"passed": True, "partitions": "R_source_train"}, "pools": {"all_synth_ids_unique": True}, "real_targets": {"0", "1"}, "reload": {"model_reload_ok": True, "schema_order_ok": True}, "artifacts": True,
+        "quality": {"format": {"schema_valid": True, "numeric_parse_failures": 0, "target_values": ["0", "1"]}, "TSTR": {"status": "ok", "auroc": 0.8}, "TRTR": {"auroc": 0.9}},
+    }
+    said = pool_rules.quality_gate(**good)
+    assert said["passed"] and said["diagnostic_warnings"]["tstr_trtr_auroc_gap"] == pytest.approx(0.1)
+    fmt_of = lambda **f: {"quality": good["quality"] | {"format": good["quality"]["format"] | f}}
+    for change, failures in (
+        ({"access": {"passed": False}}, ["generator_access"]), (fmt_of(schema_valid=False), ["schema_or_numeric_format"]), (fmt_of(target_values=["0", "1", "2"]), ["illegal_target_value", "target_class_collapse"]), (fmt_of(target_values=["0"]), ["target_class_collapse"]),
+        ({"pools": {}}, ["pool_id_isolation"]), ({"reload": {"model_reload_ok": True}}, ["model_reload"]), ({"quality": good["quality"] | {"TSTR": {}}}, ["tstr_unavailable"]), ({"artifacts": False}, ["required_artifacts"]), ({"distinct_runs": False}, ["cross_run_sampling_seed_ineffective"]),
+    ):
+        assert pool_rules.quality_gate(**(good | change))["hard_failures"] == failures
+
+
+def test_generators_read_only_their_source(spark):
+    rows = spark.createDataFrame([("a", "R_source_train"), ("b", "R_source_train")], "row_id string, split string")
+    audit = pool_rules.guard(rows, rows)
+    assert audit["passed"] and audit["rows"] == 2 and audit["digest"] == pool_rules.guard(rows.orderBy(F.desc("row_id")), rows)["digest"]
+    for bad in (rows.unionByName(spark.createDataFrame([("c", "R_source_train")], rows.schema)), rows.withColumn("split", F.lit("R_final_test")), rows.unionByName(spark.createDataFrame([(None, "R_source_train")], rows.schema))):
+        with pytest.raises(pool_rules.AccessError):
+            pool_rules.guard(bad, rows)
+    with pytest.raises(ValueError):
+        pool_rules.partitioned(rows.drop("split"), rows.where("row_id = 'a'"), "row_id")
+    assert pool_rules.pool_sizes({"R_detector_train": 101, "R_detector_val": 10, "R_source_train": 11}) == {"S_detector_train": 112, "S_detector_val": 1000, "S_final_test": 1000, "S_downstream_mix": 13}
+    assert pool_rules.derived_seeds(7, {"a": 1, "b": 2}) == {"a": 8, "b": 9} and pool_rules.bag_seed(1, 2, 3, 0.25, 4) == 1 + 200006 + 3027 + 4250 + 4
+    with pytest.raises(ValueError):
+        pool_rules.derived_seeds(7, {"a": 1, "b": 1})
+    split = pool_rules.source_split(spark.range(200).withColumn("c", (F.col("id") % 5 == 0).cast("int")), "id", "c", 3)
+    assert {(r["c"], r["split"]): r["n"] for r in split.groupBy("c", "split").agg(F.count("*").alias("n")).collect()} == {(0, "source"): 56, (1, "source"): 14, (0, "evaluation"): 104, (1, "evaluation"): 26}
+    even = pool_rules.balanced(spark.range(60).withColumn("y", (F.col("id") < 10).cast("int")), "y", "id", 100, 1)
+    assert {r["y"]: r["n"] for r in even.groupBy("y").agg(F.count("*").alias("n")).collect()} == {0: 10, 1: 10}
+
+
+def test_encoding_and_deletion_curve(spark):
+    rows = [(i, float(i % 7), "abc"[i % 3] if i % 10 else None, int(i % 7 > 3) if i % 4 else int(i % 7 <= 3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, x double, c string, y int")
+    got, names = detect.one_hot(df, "id", ["x"], ["c"], most=2)
+    assert names == ["x", "c=a", "c=b", "c=other"] or len(names) == 4
+    m = np.array([r["features"] for r in got.orderBy("id").collect()])
+    assert abs(m[:, 0].mean()) < 1e-8 and abs(m[:, 0].std() - 1) < 1e-6 and set(m[:, 1:].sum(axis=1)) == {0.0, 1.0}
+    # Records with the wrong label are worth least: without them the model gets no worse.
+    valued = df.withColumn("v", F.when(F.col("id") % 4 == 0, -1.0).otherwise(1.0))
+    curve = {r["share"]: r for r in detect.deletion_curve(valued, df.where("id % 4 > 0"), "id", "v", ["x"], "y").collect()}
+    assert {s: r["rows"] for s, r in curve.items()} == {0.0: 400, 0.05: 380, 0.1: 360, 0.2: 320} and curve[0.2]["utility"] >= curve[0.0]["utility"] > 0.9
+
+
 def test_conditions_equal_the_grid(spark):
     real, syn = spark.range(40), spark.range(100, 130)
     grid = mixing.condition_grid(real, syn, "id", [0.25], 9)
