@@ -34,11 +34,6 @@ def finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) < float("inf")), c)
 
 
-def share_of(part: Column, whole: Column) -> Column:
-    """part / whole, NULL where the whole is 0."""
-    return F.try_divide(part.cast("double"), whole.cast("double"))
-
-
 def plain_number(c: Column, digits: int = 8) -> Column:
     """A number without trailing zeros and without exponent, rounded to `digits` decimals."""
     text = F.format_string(f"%.{digits}f", c.cast("double"))

@@ -147,18 +147,18 @@ class GramDetector(Detector):
 
 def artifact_detector(train: DataFrame, columns: list[str], schema: str | None = None) -> Detector:
     """Logistic regression on how records are written only. Its AUROC counts as max(a, 1 - a) against the gate."""
-    made = records.artifact_features(train, columns, schema)
-    names = [f"f_{k}" for k in made]
-    rows = _sized(train.select("label", *[c.cast("double").alias(f"f_{k}") for k, c in made.items()]), train.count())
+    wide = records.with_artifacts(train, columns, schema)
+    names = [c for c in wide.columns if c not in train.columns]
+    rows = _sized(wide.select("label", *[F.col(c).cast("double").alias(c) for c in names]), train.count())
     model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="_raw"), StandardScaler(inputCol="_raw", outputCol="_features", withMean=True), _logistic(rows.count(), 1.0)]).fit(rows)
     rows.unpersist()
-    return Detector("artifact_lr", model, {"features": list(made)})
+    return Detector("artifact_lr", model, {"features": [c.removeprefix("f_") for c in names]})
 
 
 def artifact_scores(detector: Detector, df: DataFrame, columns: list[str], schema: str | None = None) -> DataFrame:
-    made = records.artifact_features(df, columns, schema)
-    wide = df.select(*df.columns, *[c.cast("double").alias(f"f_{k}") for k, c in made.items()])
-    return detector.score(wide).drop(*[f"f_{k}" for k in made])
+    wide = records.with_artifacts(df, columns, schema)
+    names = [c for c in wide.columns if c not in df.columns]
+    return detector.score(wide.withColumns({c: F.col(c).cast("double") for c in names})).drop(*names)
 
 
 def degenerate(scored: DataFrame, least_spread: float = 1e-8, least_auroc: float = 0.52) -> str | None:

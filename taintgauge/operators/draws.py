@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taintgauge.functions.expr import hash60
+from taintgauge.session import materialise
 
 #: Slices are the leading bits of the 60-bit hash.
 SLICE_BITS = 6
@@ -132,24 +133,38 @@ def five_way_split(df: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def exact_quantile(df: DataFrame, value: str, q: float, most: int = 200_000, cells: int = 1024) -> float | None:
-    """The interpolated quantile of a column of any size, exact: count per cell, keep the cell, until few values are left."""
+    """The interpolated quantile of a column of any size, exact: count per cell, keep the cell, until few values are left.
+
+    Infinite values count at either end and are never gathered. Where the quantile lies between a finite and an infinite
+    value, or between both infinities, it is infinite (NaN between both).
+    """
     col = F.col(value).cast("double")
     rows = df.select(col.alias("v")).where("v is not null and not isnan(v)")
-    head = rows.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n, lo, hi = head["n"], head["lo"], head["hi"]
+    v, inf = F.col("v"), float("inf")
+    inside = F.when(F.abs(v) < inf, v)
+    head = rows.agg(F.count("*").alias("n"), F.count_if(v == -inf).alias("minus"), F.count_if(v == inf).alias("plus"), F.min(inside).alias("lo"), F.max(inside).alias("hi")).first()
+    n = head["n"]
     if not n:
         return None
+    if n > most:
+        rows = materialise(rows, "quantile")  # read again per narrowing
+    rows = rows.where(F.abs(v) < inf)
     place = q * (n - 1)
     want = (int(place), min(int(place) + 1, n - 1))
-    below, inside = 0, n
 
     def pick(k: int) -> float:
-        nonlocal below, inside
-        a, b, under, count = lo, hi, 0, n
+        if k < head["minus"]:
+            return -inf
+        if k >= n - head["plus"]:
+            return inf
+        k -= head["minus"]
+        a, b, under, count = head["lo"], head["hi"], 0, n - head["minus"] - head["plus"]
         while count > most and a < b:
-            width = (b - a) / cells
-            cell = F.least(F.floor((F.col("v") - a) / width), F.lit(cells - 1))
-            part = rows.where((F.col("v") >= a) & (F.col("v") <= b)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("c").collect()
+            width = b / cells - a / cells
+            if width == 0:
+                break
+            cell = F.least(F.floor(v / width - a / width), F.lit(cells - 1))
+            part = rows.where((v >= a) & (v <= b)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("lo").collect()
             for p in part:
                 if under + p["n"] > k:
                     break
@@ -159,12 +174,17 @@ def exact_quantile(df: DataFrame, value: str, q: float, most: int = 200_000, cel
             a, b, count = p["lo"], p["hi"], p["n"]
         if a == b:
             return a
-        left = [r["v"] for r in rows.where((F.col("v") >= a) & (F.col("v") <= b)).orderBy("v").limit(k - under + 1).collect()]
-        return left[k - under]
+        # Distinct values with their counts: what is left can't be told apart by cells, or is few.
+        left = rows.where((v >= a) & (v <= b)).groupBy("v").agg(F.count("*").alias("n")).orderBy("v").toLocalIterator()
+        for r in left:
+            if under + r["n"] > k:
+                return r["v"]
+            under += r["n"]
+        raise AssertionError("ranks and counts disagree")
 
     first = pick(want[0])
     second = first if want[1] == want[0] else pick(want[1])
-    return first + (second - first) * (place - want[0])
+    return first if second == first or place == want[0] else first + (second - first) * (place - want[0])
 
 
 def binarize(df: DataFrame, value: str, threshold: float | None = None) -> DataFrame:

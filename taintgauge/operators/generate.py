@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from taintgauge.functions.expr import hash60
 from taintgauge.operators.detect import blocked
 from taintgauge.operators.draws import sliced_rank, slot_sample
+from taintgauge.session import materialise
 
 POOLS = ("detector_train", "detector_val", "final_test", "downstream")
 GRID = 1001
+#: Values of a category that the driver keeps; rarer ones stay in a table.
+LEVELS = 10_000
 
 
 def marginal(df: DataFrame, key: str, columns: list[str], seed: int) -> DataFrame:
@@ -49,7 +52,8 @@ def rounded(df: DataFrame, key: str, numeric: list[str], text: list[str], size:
 class GaussianCopula:
     """Marginal distributions on a grid of quantiles and the correlation of normal scores: a state of fixed size.
 
-    Categories are intervals of the unit line, as wide as they are frequent.
+    Categories are intervals of the unit line, as wide as they are frequent. The LEVELS commonest values have their own;
+    all rarer ones share the last interval, within which a value is drawn as often as it occurs.
     """
 
     def __init__(self, numeric: list[str], categorical: list[str]):
@@ -61,11 +65,18 @@ class GaussianCopula:
         for c in self.numeric:
             got = df.select(F.percentile_approx(F.col(c).cast("double"), qs, 10_000)).first()[0]
             self.grid[c] = np.asarray(got, dtype=float)
-        self.levels = {}
+        self.levels, self.rest = {}, {}
         for c in self.categorical:
-            rows = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "v").limit(1000).collect()
-            total = sum(r["n"] for r in rows) or 1
-            self.levels[c] = ([r["v"] for r in rows], np.cumsum([r["n"] / total for r in rows]))
+            counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).agg(F.count("*").alias("n"))
+            rows = counts.orderBy(F.col("n").desc(), "v").limit(LEVELS + 1).collect()
+            kept = rows[:LEVELS]
+            if len(rows) > LEVELS:
+                own = df.select(F.col(c).cast("string").alias("v")).where("v is not null")
+                few = df.sparkSession.createDataFrame([(r["v"],) for r in kept], "v string")
+                rare = own.join(F.broadcast(few), "v", "left_anti")  # LEVELS rows
+                self.rest[c] = (materialise(sliced_rank(rare, [], "v", 0, c, name="_at"), "rare"), rare.count())
+            total = (sum(r["n"] for r in kept) + (self.rest[c][1] if c in self.rest else 0)) or 1
+            self.levels[c] = ([r["v"] for r in kept], np.cumsum([r["n"] / total for r in kept]))
         names = [*self.numeric, *self.categorical]
         scored = self._scores(df)
         pairs = [(i, j) for i in range(len(names)) for j in range(i)]
@@ -93,7 +104,8 @@ class GaussianCopula:
                         vals, ends = levels[c]
                         code = pd.Categorical(pdf[c].astype(str), categories=vals).codes
                         starts = np.r_[0, ends[:-1]]
-                        u = np.where(code >= 0, (starts[code] + ends[code]) / 2, np.nan)
+                        last = ends[-1] if len(ends) else 0.0
+                        u = np.where(code >= 0, (starts[code] + ends[code]) / 2 if len(ends) else 0.5, (last + 1) / 2)  # a value that is there but rare
                     out[f"z{i}"] = np.interp(u, np.linspace(0, 1, 4097), table)
                 yield pd.DataFrame(out)
 
@@ -103,6 +115,7 @@ class GaussianCopula:
     def sample(self, spark, size: int, seed: int) -> DataFrame:
         """`size` records; record i only depends on the seed and i."""
         names, grid, levels, root = [*self.numeric, *self.categorical], self.grid, self.levels, self.root
+        sizes = {c: n for c, (_, n) in self.rest.items()}
         base = spark.range(size)
         draws = base.select("id", *[(hash60(seed, F.lit(f"z{i}"), F.col("id").cast("string")) / float(1 << 60)).alias(f"u{i}") for i in range(len(names))])
 
@@ -118,10 +131,20 @@ class GaussianCopula:
                         out[c] = np.interp(u[:, i], np.linspace(0, 1, GRID), grid[c])
                     else:
                         vals, ends = levels[c]
-                        out[c] = [vals[min(k, len(vals) - 1)] if vals else None for k in np.searchsorted(ends, u[:, i])]
+                        at = np.searchsorted(ends, u[:, i])
+                        if c in sizes:  # place among the rare rows
+                            low = ends[-1]
+                            inside = np.floor((u[:, i] - low) / (1 - low) * sizes[c])
+                            out[f"_r{i}"] = np.where(at < len(vals), -1, np.clip(inside, 0, sizes[c] - 1) + 1).astype(np.int64)
+                        out[c] = [vals[k] if k < len(vals) else (None if c in sizes or not vals else vals[-1]) for k in at]
                 yield pd.DataFrame(out)
 
-        return draws.mapInPandas(run, "id bigint, " + ", ".join(f"`{c}` {'double' if c in grid else 'string'}" for c in names))
+        rare = "".join(f", _r{i} bigint" for i, c in enumerate(names) if c in sizes)
+        out = draws.mapInPandas(run, "id bigint, " + ", ".join(f"`{c}` {'double' if c in grid else 'string'}" for c in names) + rare)
+        for i, c in enumerate(names):
+            if c in sizes:
+                out = out.join(self.rest[c][0].select(F.col("_at").alias(f"_r{i}"), F.col("v").alias("_v")), f"_r{i}", "left").withColumn(c, F.coalesce(c, "_v")).drop("_v", f"_r{i}")
+        return out.select("id", *names)
 
 
 def pool(df: DataFrame, dataset: str, generator: str, pool_name: str, generator_seed: int, sample_seed: int, columns: list[str], ordinal: str) -> DataFrame:

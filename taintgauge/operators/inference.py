@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from taintgauge.operators.draws import same, value_slices
+
 
 def t_tail(t: float, df: int) -> float:
     """Two-sided p-value of Student's t, by the continued fraction of the incomplete beta function."""
@@ -103,12 +105,21 @@ def with_p_values(tests: DataFrame) -> DataFrame:
 def holm(tests: DataFrame, family: list[str], p: str = "p_value", order: list[str] | None = None) -> DataFrame:
     """`tests` with `holm_p`: step-down correction within each family (one family for an empty list). NULL stays NULL.
 
-    Families are sets of tests, not of records, hence small.
+    Ranks and running maxima go over slices of the p-values, so a family of any size is corrected by many tasks. NULL
+    keys of a family are a family of their own.
     """
-    keys = [F.col(c) for c in family] or [F.lit(1)]
-    known = F.col(p).isNotNull()
-    turn = F.row_number().over(W.partitionBy(*keys, known).orderBy(p, *(order or [])))
-    many = F.count(p).over(W.partitionBy(*keys))
-    raw = F.when(known, F.least(F.lit(1.0), (many - turn + 1) * F.col(p)))
-    run = W.partitionBy(*keys, known).orderBy(p, *(order or [])).rowsBetween(W.unboundedPreceding, 0)
-    return tests.withColumn("_raw", raw).withColumn("holm_p", F.round(F.max("_raw").over(run), 9)).drop("_raw")
+    known, unknown = tests.where(F.col(p).isNotNull()), tests.where(F.col(p).isNull())
+    cut = value_slices(known, family, p)
+    within = W.partitionBy(*family, "_slice").orderBy(p, *(order or []))
+    before = W.partitionBy(*family).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    counts = cut.groupBy(*family, "_slice").agg(F.count("*").alias("_c"))
+    offset = counts.select(*family, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(W.partitionBy(*family)).alias("_many"))
+    on = same([*family, "_slice"], "l", "r")
+    ranked = cut.withColumn("_own", F.row_number().over(within)).alias("l").join(offset.alias("r"), on).select("l.*", "_before", "_many")
+    raw = ranked.withColumn("_raw", F.least(F.lit(1.0), (F.col("_many") - F.col("_before") - F.col("_own") + 1) * F.col(p)))
+    tops = raw.groupBy(*family, "_slice").agg(F.max("_raw").alias("_top"))
+    above = tops.select(*family, "_slice", F.coalesce(F.max("_top").over(before), F.lit(0.0)).alias("_above"))
+    running = F.max("_raw").over(within.rowsBetween(W.unboundedPreceding, 0))
+    both = raw.withColumn("_run", running).alias("l").join(above.alias("r"), on)
+    done = both.select(*[f"l.{c}" for c in tests.columns], F.round(F.greatest("_run", "_above"), 9).alias("holm_p"))
+    return done.unionByName(unknown.withColumn("holm_p", F.lit(None).cast("double")))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from taintgauge.functions.expr import decimals, hash60, rendered
 
+#: Vocabularies up to which the weights are broadcast; beyond that they are joined by shuffle.
+BROADCAST_GRAMS = 100_000
 NUMERIC = ("int", "bigint", "smallint", "tinyint", "double", "float")
 
 
@@ -37,9 +39,14 @@ def serialise(df: DataFrame, columns: list[str], schema: str | None = None, key:
     return F.array_join(F.transform(own, lambda i: F.concat(i["name"], F.lit(":"), i["text"])), " | ")
 
 
-def artifact_features(df: DataFrame, columns: list[str], schema: str | None = None) -> dict[str, Column]:
-    """Seven features of how a record is written, none of what it says."""
-    own = items(df, columns, schema)
+def with_artifacts(df: DataFrame, columns: list[str], schema: str | None = None, prefix: str = "f_") -> DataFrame:
+    """`df` with the seven artifact features; the items of a record are rendered once for all of them."""
+    held = df.withColumn("_items", items(df, columns, schema))
+    return held.withColumns({f"{prefix}{k}": c for k, c in artifact_features(F.col("_items")).items()}).drop("_items")
+
+
+def artifact_features(own: Column) -> dict[str, Column]:
+    """Seven features of how a record is written, none of what it says; `own`: its items."""
     numbers = F.filter(own, lambda i: i["number"].isNotNull())
     total = lambda a, f: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, i: s + f(i).cast("bigint"))
     many = F.greatest(F.size(numbers), F.lit(1))
@@ -60,16 +67,17 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
     return F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>"))
 
 
-def tfidf(df: DataFrame, key: str, text: Column, n: int = 3, min_df: int = 2, most: int = 20_000) -> DataFrame:
+def tfidf(df: DataFrame, key: str, text: Column, n: int = 3, min_df: int = 2, most: int | None = 20_000) -> DataFrame:
     """(key, gram, tf, idf, weight): n-grams of at least `min_df` records, the `most` commonest of them, rows of unit length.
 
-    idf is ln((1 + N)/(1 + df)) + 1. The vocabulary is at most `most` rows, hence it is broadcast.
+    idf is ln((1 + N)/(1 + df)) + 1. The vocabulary has at most `most` rows (None: all): a bound up to BROADCAST_GRAMS is broadcast.
     """
     rows = df.select(key, text.alias("_t")).where("_t is not null")
     terms = rows.select(key, F.explode(char_ngrams(F.col("_t"), n)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
     total = rows.agg(F.count("*").alias("_total"))
-    known = terms.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("_all")).where(F.col("df") >= min_df).orderBy(F.col("_all").desc(), "gram").limit(most)
+    known = terms.groupBy("gram").agg(F.count("*").alias("df"), F.sum("tf").alias("_all")).where(F.col("df") >= min_df)
+    known = known if most is None else known.orderBy(F.col("_all").desc(), "gram").limit(most)
     idf = known.crossJoin(F.broadcast(total)).select("gram", (F.log((1 + F.col("_total")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = terms.join(F.broadcast(idf), "gram").withColumn("_w", F.col("tf") * F.col("idf"))
+    raw = terms.join(F.broadcast(idf) if most is not None and most <= BROADCAST_GRAMS else idf, "gram").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
     return raw.join(norm, key).select(key, "gram", "tf", F.round("idf", 9).alias("idf"), F.round(F.col("_w") / F.col("_norm"), 9).alias("weight"))

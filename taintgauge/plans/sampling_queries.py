@@ -363,7 +363,7 @@ def serialize_records(spark: SparkSession, d: str) -> DataFrame:
 def artifact_features(spark: SparkSession, d: str) -> DataFrame:
     """PF14, PF15, PF16: how records are written."""
     r = _records(spark, d)
-    return r.select("record_id", "created_at", *[c.alias(k) for k, c in records.artifact_features(r, NATIVE, "schema_columns").items()])
+    return records.with_artifacts(r, NATIVE, "schema_columns", "").drop("source_label", "table_id", "schema_columns", *NATIVE)
 
 
 @query(
@@ -374,7 +374,7 @@ def artifact_features(spark: SparkSession, d: str) -> DataFrame:
 def char3gram_tfidf(spark: SparkSession, d: str) -> DataFrame:
     """DT3: weights of character 3-grams."""
     p = table(spark, d, "part", "p_partkey", "p_name")
-    out = records.tfidf(p, "p_partkey", F.col("p_name"), most=1_000_000)
+    out = records.tfidf(p, "p_partkey", F.col("p_name"), most=None)
     return out.select("p_partkey", "gram", "tf", F.round("idf", 6).alias("idf"), F.round("weight", 6).alias("weight"))
 
 

@@ -54,13 +54,25 @@ def test_generators(spark, people):
     assert not twice["all_synth_ids_unique"] and set(twice["wrong"]) == {"repeated_ids", "shared_ids", "columns"}
 
 
+def test_copula_keeps_rare_levels(spark, monkeypatch):
+    """Beyond the levels that the driver keeps, rarer ones are still drawn as often as they occur, and correlations stay."""
+    monkeypatch.setattr(generate, "LEVELS", 3)
+    rows = [(f"c{i % 3}" if i % 2 else f"rare{i % 40}", float(i % 2) * 5 + (i % 7) * 0.1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "c string, x double")
+    made = generate.GaussianCopula(["x"], ["c"]).fit(df).sample(spark, 4000, 3)
+    got = {r["c"]: r["n"] for r in made.groupBy("c").agg(F.count("*").alias("n")).collect()}
+    assert None not in got and sum(n for c, n in got.items() if c.startswith("rare")) == pytest.approx(2000, rel=0.15) and sum(c.startswith("rare") for c in got) == 20
+    means = {r["k"]: r["m"] for r in made.groupBy(F.col("c").startswith("rare").alias("k")).agg(F.avg("x").alias("m")).collect()}
+    assert means[False] - means[True] > 2
+
+
 def test_records_and_quality(spark):
     df = spark.createDataFrame([("k1", 1.0, " x ", None, "a\x1fb"), ("k2", 2.5, None, 7, None), ("k3", float("nan"), "", 3, "a\x1fc")], "id string, a double, b string, c int, cols string")
     text = [r[0] for r in df.select(records.serialise(df, ["a", "b", "c"], "cols")).collect()]
     assert text == ["a:1 | b:x", "a:2.5 | b:<NA> | c:7", "a:<NA> | c:3"]
     shuffled = [sorted(r[0].split(" | ")) for r in df.select(records.serialise(df, ["a", "b", "c"], "cols", "id", 4)).collect()]
     assert shuffled == [sorted(t.split(" | ")) for t in text]
-    f = [r.asDict() for r in df.select(*[c.alias(k) for k, c in records.artifact_features(df, ["a", "b", "c"], "cols").items()]).collect()]
+    f = [r.asDict() for r in records.with_artifacts(df, ["a", "b", "c"], "cols", "").collect()]
     assert f[0]["missing_count"] == 0 and f[1]["missing_count"] == 1 and f[1]["mean_decimal_places"] == 0.5 and f[2]["numeric_fraction"] == 0.5
     assert df.select(F.size(records.char_ngrams(F.col("b")))).first()[0] == 1
     rows = spark.createDataFrame([("real", "x"), ("g", "x"), ("g", "x"), ("h", "x"), ("h", "y")], "pool string, content string")

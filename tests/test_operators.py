@@ -155,6 +155,39 @@ def test_shapley_against_all_orders(spark):
     assert [got[i] for i in range(6)] == pytest.approx(want.tolist(), abs=1e-8)
 
 
+def test_quantile_with_infinities(spark):
+    from taintgauge.operators import draws
+
+    inf = float("inf")
+    rng = np.random.default_rng(8)
+    cases = [rng.normal(size=3000).tolist() + [inf], [-inf] * 40 + rng.normal(size=50).tolist() + [inf] * 10, [1e308, -1e308] * 300 + [0.0] * 100, [2.0] * 500, (10.0 ** rng.uniform(-300, 300, 900)).tolist()]
+    for values in cases:
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        for q in (0.25, 0.95):
+            at = q * (len(values) - 1)
+            data = sorted(values)
+            a, b = data[int(at)], data[min(int(at) + 1, len(data) - 1)]
+            want = a if a == b or at == int(at) else a + (b - a) * (at - int(at))
+            assert draws.exact_quantile(df, "v", q, most=60, cells=64) == pytest.approx(want), (q, a, b)
+    assert draws.exact_quantile(df.limit(0), "v", 0.5) is None
+
+
+def test_holm_over_slices(spark):
+    rng = np.random.default_rng(4)
+    p = [float(x) for x in np.round(rng.random(700) ** 3, 3)]
+    rows = [(i % 2, i, x if i % 13 else None) for i, x in enumerate(p)]
+    df = spark.createDataFrame(rows, "f int, t int, p_value double")
+    for by in ([], ["f"]):
+        got = {r["t"]: r["holm_p"] for r in inference.holm(df, by, order=["t"]).collect()}
+        for f in {r[0] for r in rows} if by else {None}:
+            own = sorted((x, t) for g, t, x in rows if x is not None and (f is None or g == f))
+            top = 0.0
+            for i, (x, t) in enumerate(own):
+                top = max(top, min(1.0, (len(own) - i) * x))
+                assert got[t] == pytest.approx(top, abs=1e-8)
+        assert len(got) == 700 and all(got[t] is None for _, t, x in rows if x is None)
+
+
 def test_holm_and_t(spark):
     df = spark.createDataFrame([(1, 0.03), (2, 0.001), (3, 0.02), (4, None)], "t int, p_value double")
     got = {r["t"]: r["holm_p"] for r in inference.holm(df, [], order=["t"]).collect()}
