@@ -132,7 +132,7 @@ def five_way_split(df: DataFrame, key: str, seed: int) -> DataFrame:
     return sliced_rank(df.select(key), [], key, seed, "five").select(key, split.alias("split"))
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, most: int = 200_000, cells: int = 1024) -> float | None:
+def exact_quantile(df: DataFrame, value: str, q: float, most: int = 200_000, cells: int = 64) -> float | None:
     """The interpolated quantile of a column of any size, exact: count per cell, keep the cell, until few values are left.
 
     Infinite values count at either end and are never gathered. Where the quantile lies between a finite and an infinite
@@ -160,11 +160,11 @@ def exact_quantile(df: DataFrame, value: str, q: float, most: int = 200_000, cel
         k -= head["minus"]
         a, b, under, count = head["lo"], head["hi"], 0, n - head["minus"] - head["plus"]
         while count > most and a < b:
-            width = b / cells - a / cells
-            if width == 0:
-                break
-            cell = F.least(F.floor(v / width - a / width), F.lit(cells - 1))
-            part = rows.where((v >= a) & (v <= b)).groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("lo").collect()
+            inner = rows.where((v >= a) & (v <= b))
+            # Cuts at approximate quantiles: each pass leaves about a cells-th of the values, whatever their distribution.
+            cuts = sorted(set(inner.agg(F.percentile_approx("v", [i / cells for i in range(1, cells)], 100 * cells)).first()[0]))
+            cell = F.aggregate(F.array(*[F.lit(c) for c in cuts]), F.lit(0), lambda t, c: t + (c < v).cast("int"))
+            part = inner.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("lo").collect()
             for p in part:
                 if under + p["n"] > k:
                     break

@@ -20,7 +20,6 @@ from taintgauge.functions.expr import feature_columns, hash60
 from taintgauge.operators import calibration, cleaning, detect, evidence, generate, inference, metrics, mixing, quantify, records, value
 from taintgauge.session import materialise
 from taintgauge.sources import readers, sinks
-from taintgauge.sources.tables import table
 
 #: Splits and their shares; a record's split only depends on the seed and its id.
 SPLITS = {"source": 0.35, "detector_train": 0.2, "detector_val": 0.15, "downstream": 0.2, "final_test": 0.1}
@@ -56,22 +55,19 @@ def load(spark: SparkSession, config: runs.Config, seed: int) -> tuple[DataFrame
     fixture: three made tables with marginal, noisy and rounded pools of their source part. records: the table
     labelled_records of a folder, first deliveries. registry: the files of a pool registry.
     """
-    mode = config.data.get("mode", "fixture")
+    mode, data = config.data.get("mode", "fixture"), readers.load_data(spark, config.data, seed)
     if mode == "records":
         cols = [c for t in TABLES.values() for c in t.columns]
-        rows = table(spark, config.data["folder"], "labelled_records", "record_id", "created_at", "table_id", "generator", "source_type", "source_label", "schema_columns", *cols)
+        rows = data.select("record_id", "created_at", "table_id", "generator", "source_type", "source_label", "schema_columns", *cols)
         rows = rows.dropDuplicates(["record_id", "created_at"]).where("source_label is not null").withColumn("record_id", F.concat_ws("@", "record_id", "created_at"))
         return rows.withColumns({c: F.trim(c) for t in TABLES.values() for c in t.categorical}), TABLES
     if mode == "registry":
         known = {r["table_id"]: r["target_column"] for r in readers.registry(spark, config.data["path"]).select("table_id", "target_column").distinct().collect()}
-        rows = readers.registry_records(spark, config.data["path"])
-        kinds = dict(rows.dtypes)
+        rows, kinds = data, dict(data.dtypes)
         own = {r["table_id"]: r["c"].split("\x1f") for r in rows.groupBy("table_id").agg(F.first("schema_columns").alias("c")).collect()}
         return rows, {t: Table(tuple(c for c in feature_columns(own[t]) if c != y and kinds[c] in records.NUMERIC), tuple(c for c in feature_columns(own[t]) if c != y and kinds[c] not in records.NUMERIC), y) for t, y in known.items()}
-    if mode != "fixture":
-        raise runs.ConfigError(f"unknown data mode {mode}")
     parts = []
-    for name, df in readers.fixture(spark, int(config.data.get("rows_per_table", 1000)), seed).items():
+    for name, df in data.items():
         t = TABLES[name]
         df = cleaning.canonical(df, list(t.numeric), list(t.categorical))
         size = df.count()

@@ -36,21 +36,24 @@ def ensure_file(source: str, target: str) -> str:
 def archive_lines(spark: SparkSession, path: str, dataset_id: str, members: list[str] | None = None) -> DataFrame:
     """Lines of ZIP members as raw records (line_id, dataset_id, raw_filename, member_file, line_no, raw_line).
 
-    Archives are read by as many tasks as there are files; a member is streamed line by line and never held whole.
-    line_id is the hash of file, member and number.
+    Archives are read by as many tasks as there are files; a member is streamed line by line and never held whole. On
+    file systems other than local ones Spark brings the bytes of an archive (up to 2 GB) to its task. line_id is the hash
+    of file, member and number.
     """
-    files = spark.read.format("binaryFile").load(path).select("path")
+    remote = "://" in path and not path.startswith("file://")
+    files = spark.read.format("binaryFile").load(path).select("path", *(["content"] if remote else []))
 
     def run(batches: Iterator) -> Iterator:
+        import io
         import zipfile
         from urllib.parse import unquote, urlparse
 
         import pyarrow as pa
 
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for at, uri in enumerate(batch.column(0).to_pylist()):
                 local = unquote(urlparse(uri).path)
-                with zipfile.ZipFile(local) as z:
+                with zipfile.ZipFile(io.BytesIO(batch.column(1)[at].as_py()) if remote else local) as z:
                     for name in members or sorted(n for n in z.namelist() if not n.endswith("/")):
                         rows: list[tuple[str, str, int, str]] = []
                         with z.open(name) as f:
@@ -86,6 +89,52 @@ def typed_csv(spark: SparkSession, path: str, numeric: list[str], text: list[str
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").csv(path)
 
 
+# The fields that the entry of a data set must have.
+SPEC_FIELDS = ("dataset_id", "canonical_name", "uci_id", "doi", "source_page", "download_url", "raw_filename", "license", "task_type", "target_column", "numeric_columns", "categorical_columns", "missing_markers")
+
+
+def dataset_spec(raw: dict) -> dict:
+    """The checked entry of a data set: all fields, no column both numeric and categorical, a target that is no feature."""
+    missing = sorted(set(SPEC_FIELDS) - set(raw))
+    if missing:
+        raise SchemaError(f"the entry lacks {missing}")
+    numeric, categorical = tuple(raw["numeric_columns"]), tuple(raw["categorical_columns"])
+    twice = sorted(set(numeric) & set(categorical))
+    if twice or raw["target_column"] in (*numeric, *categorical):
+        raise SchemaError(f"columns of two kinds {twice}, target {raw['target_column']!r}")
+    return {**raw, "uci_id": int(raw["uci_id"]), "numeric_columns": numeric, "categorical_columns": categorical, "missing_markers": tuple(map(str, raw["missing_markers"]))}
+
+
+def whole_table(df: DataFrame, rows: int, ident: str) -> DataFrame:
+    """`df` with `row_id` ident:hash:number, checked: exactly `rows` records and no missing value.
+
+    Records of equal content are numbered in no particular order.
+    """
+    from pyspark.sql import Window as W
+
+    gone = F.lit(False)
+    for c, kind in df.dtypes:
+        gone = gone | (F.col(c).isNull() | F.isnan(c) if kind in ("double", "float") else F.col(c).isNull())
+    r = df.agg(F.count("*").alias("n"), F.count_if(gone).alias("m")).first()
+    if r["n"] != rows or r["m"]:
+        raise SchemaError(f"{r['n']} records instead of {rows}, {r['m']} of them with missing values")
+    text = F.sha2(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]), 256)
+    turn = F.row_number().over(W.partitionBy("_h").orderBy(F.lit(0))) - 1  # copies of one record in a table of fixed size
+    return df.withColumn("_h", F.substring(text, 1, 24)).withColumn("row_id", F.concat_ws(":", F.lit(ident), "_h", turn.cast("string"))).drop("_h")
+
+
+def load_data(spark: SparkSession, data: dict, seed: int) -> DataFrame | dict[str, DataFrame]:
+    """Records by `mode`: the fixture's tables, a registry's records, or a folder's labelled records."""
+    mode = data.get("mode", "fixture")
+    if mode == "fixture":
+        return fixture(spark, int(data.get("rows_per_table", 1000)), seed)
+    if mode == "registry":
+        return registry_records(spark, data["path"])
+    if mode == "records":
+        return spark.read.parquet(f"{data['folder'].rstrip('/')}/labelled_records.parquet")
+    raise SchemaError(f"unknown data mode {mode}")
+
+
 def spreadsheet(spark: SparkSession, path: str, header: int = 1, rename: dict[str, str] | None = None, drop: tuple[str, ...] = ("ID",)) -> DataFrame:
     """One sheet (a single small file by its format) with renamed and dropped columns; needs a spreadsheet library."""
     import pandas as pd

@@ -168,7 +168,7 @@ def test_quantile_with_infinities(spark):
             data = sorted(values)
             a, b = data[int(at)], data[min(int(at) + 1, len(data) - 1)]
             want = a if a == b or at == int(at) else a + (b - a) * (at - int(at))
-            assert draws.exact_quantile(df, "v", q, most=60, cells=64) == pytest.approx(want), (q, a, b)
+            assert draws.exact_quantile(df, "v", q, most=60) == pytest.approx(want), (q, a, b)
     assert draws.exact_quantile(df.limit(0), "v", 0.5) is None
 
 

@@ -77,3 +77,29 @@ def test_shards_must_agree(spark, finished):
     sinks.write_table(odd, os.path.join(path, "artifacts"))
     with pytest.raises(ValueError, match="artifact audits differ"):
         pipeline.consolidate(spark, root, config)
+
+
+@pytest.mark.parametrize("mode", ["records", "registry"])
+def test_other_sources(spark, tmp_path, mode):
+    """One shard on stored records and on the files of a registry."""
+    from taintgauge.sources import readers
+
+    if mode == "records":
+        data = {"mode": "records", "folder": "/root/testdata/sf0.01"}
+        if not os.path.isdir(data["folder"]):
+            pytest.skip("test data absent")
+        sides = {"train_tables": ["table_b"], "test_tables": ["table_b"]}
+    else:
+        t = readers.fixture(spark, 500, 3)["table_b"].drop("id")
+        t.write.parquet(str(tmp_path / "real.parquet"))
+        t.withColumn("balance_ratio", F.round("balance_ratio", 1)).write.parquet(str(tmp_path / "made.parquet"))
+        (tmp_path / "reg.csv").write_text("table_id,domain,target_column,generator,real_path,synthetic_path\ntb,x,defaulted,coarse,real.parquet,made.parquet\n")
+        data = {"mode": "registry", "path": str(tmp_path / "reg.csv")}
+        sides = {"train_tables": ["tb"], "test_tables": ["tb"]}
+    rows, _ = pipeline.load(spark, runs.parse_config(RAW | {"data": data}), 1)
+    made = sorted(r[0] for r in rows.where("source_label = 1 and generator is not null").where(F.col("table_id").isin(sides["test_tables"])).select("generator").distinct().collect())
+    config = runs.parse_config(RAW | {"data": data, "valuation": {}, "detectors": ["c2st_lr"], "bag_size": 40, "rates": [0.0, 0.25], "constellations": {"P1": sides | {"train_generators": made[:1], "test_generators": made[:1]}}})
+    out = pipeline.run_shard(spark, config, runs.plan(config)[0])
+    e = out["frames"]["evidence"]
+    assert e.count() == config.rows_per_shard() and e.where("status = 'ok' and estimate is null").count() == 0
+    assert e.agg(F.max(F.abs("residual"))).first()[0] < 1e-10

@@ -75,6 +75,22 @@ def test_archive(spark, tmp_path):
     assert readers.ensure_file(str(tmp_path / "a.zip"), str(tmp_path / "b.zip")) == readers.ensure_file("nowhere", str(tmp_path / "b.zip"))
 
 
+def test_entries_and_whole_tables(spark):
+    raw = {k: "1" for k in readers.SPEC_FIELDS} | {"numeric_columns": ["a"], "categorical_columns": ["b"], "target_column": "t", "missing_markers": ["?"]}
+    assert readers.dataset_spec(raw)["uci_id"] == 1
+    for bad in ({"categorical_columns": ["a"]}, {"target_column": "b"}):
+        with pytest.raises(ValueError):
+            readers.dataset_spec(raw | bad)
+    with pytest.raises(ValueError):
+        readers.dataset_spec({k: v for k, v in raw.items() if k != "doi"})
+    df = spark.createDataFrame([("M", 1.0), ("M", 1.0), ("F", 2.0)], "s string, x double")
+    ids = [r["row_id"] for r in readers.whole_table(df, 3, "shells").collect()]
+    assert len(set(ids)) == 3 and len({i.rsplit(":", 1)[0] for i in ids}) == 2
+    for wrong in (df.limit(2), df.limit(2).unionByName(spark.createDataFrame([(None, 1.0)], df.schema))):
+        with pytest.raises(ValueError):
+            readers.whole_table(wrong, 3, "shells")
+
+
 def test_fixture_and_registry(spark, tmp_path):
     tables = readers.fixture(spark, 50, 3)
     assert set(tables) == {"table_a", "table_b", "table_c"} and tables["table_a"].exceptAll(readers.fixture(spark, 50, 3)["table_a"]).count() == 0
