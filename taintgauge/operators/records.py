@@ -62,9 +62,10 @@ def artifact_features(own: Column) -> dict[str, Column]:
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    """Character n-grams of the lower-cased text; none for shorter texts."""
-    low = F.lower(text)
-    return F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>"))
+    """Character n-grams of the lower-cased text; none for shorter texts. A lambda holds the text, so that it is made once."""
+    none = F.array().cast("array<string>")
+    grams = lambda low: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - (n - 1)), lambda i: F.substring(low, i, n))).otherwise(none)
+    return F.element_at(F.transform(F.array(F.lower(text)), grams), 1)
 
 
 def tfidf(df: DataFrame, key: str, text: Column, n: int = 3, min_df: int = 2, most: int | None = 20_000) -> DataFrame:
