@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from taintgauge.operators.draws import same, value_slices
+from taintgauge.session import materialise
 
 #: Slices of the score range for running sums.
 SLICES = 128
@@ -92,21 +93,24 @@ def confusion(df: DataFrame, by: list[str], threshold: float, score: str = "scor
 
 
 def spearman(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Spearman correlation with mid-ranks; incomplete pairs don't count.
+    """Spearman correlation with mid-ranks; incomplete pairs don't count, NULL where one side is constant.
 
-    Ranks come from counts per distinct value, not from a sort of all rows by one task.
+    Everything works on distinct pairs with their counts. Ranks come from counts per distinct value, over slices, and are
+    taken from their middle, so that the sums stay exact for long columns.
     """
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).where("not isnan(a) and not isnan(b)")
+    pairs = materialise(rows.groupBy(*by, "a", "b").agg(F.count("*").alias("_n")), "pairs")
 
     def ranks(c: str) -> DataFrame:
-        each = value_slices(rows.groupBy(*by, c).agg(F.count("*").alias("_n")), by, c)
-        run = W.partitionBy(*by, "_slice").orderBy(c)
-        own = each.withColumn("_up", F.sum("_n").over(run))
-        before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-        offset = each.groupBy(*by, "_slice").agg(F.sum("_n").alias("_c")).select(*by, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+        each = value_slices(pairs.groupBy(*by, c).agg(F.sum("_n").alias("_n")), by, c)
+        own = each.withColumn("_up", F.sum("_n").over(W.partitionBy(*by, "_slice").orderBy(c)))
+        before, every = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by)
+        offset = each.groupBy(*by, "_slice").agg(F.sum("_n").alias("_c")).select(*by, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"), F.sum("_c").over(every).alias("_all"))
         joined = own.alias("l").join(offset.alias("r"), same([*by, "_slice"], "l", "r"))
-        return joined.select(*[f"l.{x}" for x in by], f"l.{c}", (F.col("_before") + F.col("_up") - (F.col("_n") - 1) / 2).alias(f"r{c}"))
+        return joined.select(*[f"l.{x}" for x in by], f"l.{c}", (F.col("_before") + F.col("_up") - (F.col("_n") - 1) / 2 - (F.col("_all") + 1) / 2).alias(f"r{c}"))
 
-    x = rows.alias("l").join(ranks("a").alias("r"), same([*by, "a"], "l", "r")).select("l.*", "ra")
+    x = pairs.alias("l").join(ranks("a").alias("r"), same([*by, "a"], "l", "r")).select("l.*", "ra")
     y = x.alias("l").join(ranks("b").alias("r"), same([*by, "b"], "l", "r")).select("l.*", "rb")
-    return y.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.corr("ra", "rb"), 9).alias("spearman"))
+    n, p, q = F.col("_n"), F.col("ra"), F.col("rb")
+    g = y.groupBy(*by).agg(F.sum(n).alias("n"), F.sum(n * p * q).alias("pq"), F.sum(n * p * p).alias("pp"), F.sum(n * q * q).alias("qq"))
+    return g.select(*by, "n", F.round(F.try_divide(F.col("pq"), F.sqrt("pp") * F.sqrt("qq")), 9).alias("spearman"))

@@ -31,9 +31,27 @@ SELECT 'method_failure_audit', 'seed', audit_id, audited_at FROM method_failure_
 WHERE seed IS NOT NULL AND NOT EXISTS (SELECT 1 FROM run_seeds r WHERE r.seed = m.seed AND r.registered_at <= m.audited_at AND (r.retired_at IS NULL OR r.retired_at > m.audited_at))
 """
 
-QUERIES["p1_found"] = malformed.p1_found
+# The grammar as one pattern per data set: a field is quoted, with doubled quotes inside, or free of quotes and delimiters.
+_Q = "coalesce('\\' || nullif(s.quote_char, ''), '\\x00')"
+_FIELD = f"'(?:' || {_Q} || '(?:[^' || {_Q} || ']|' || {_Q} || {_Q} || ')*' || {_Q} || ' *|[^\\' || s.delimiter || {_Q} || ']*)'"
+_TRIM = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+_P1 = f"""
+WITH rec AS (SELECT line_id, r.dataset_id, raw_line, s.delimiter AS d, nullif(s.quote_char, '') AS q, s.target_column, list_transform(s.missing_markers, lambda m: lower({_TRIM.format(x='m')})) AS missing, {_FIELD} AS f
+FROM raw_records r JOIN dataset_spec s USING (dataset_id) WHERE {_TRIM.format(x='raw_line')} <> '' AND NOT coalesce(starts_with(raw_line, nullif(s.comment_prefix, '')), FALSE)),
+cut AS (SELECT *, regexp_full_match(raw_line, ' *' || f || '(?:\\' || d || ' *' || f || ')*') AS parses, regexp_extract_all(d || raw_line, '\\' || d || ' *(' || f || ')', 1) AS parts FROM rec),
+many AS (SELECT dataset_id, count(*) AS n FROM dataset_columns GROUP BY 1),
+one AS (SELECT line_id, dataset_id, missing, column_position, {_TRIM.format(x="CASE WHEN starts_with(p, q) THEN replace(substr(p, 2, length(p) - 2), q || q, q) ELSE p END")} AS x FROM (SELECT line_id, dataset_id, missing, q, generate_subscripts(parts, 1) - 1 AS column_position, trim(unnest(parts), ' ') AS p FROM cut JOIN many USING (dataset_id) WHERE parses AND len(parts) = n)),
+val AS (SELECT line_id, missing, c.*, CASE WHEN column_role = 'target' THEN rtrim(x, '.') ELSE x END AS v FROM one JOIN dataset_columns c USING (dataset_id, column_position)),
+bad AS (SELECT line_id FROM val WHERE NOT ({_TRIM.format(x='v')} = '' OR list_contains(missing, lower(v)) OR CASE WHEN column_role = 'numeric' THEN regexp_full_match(v, '[+-]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?') AND coalesce(try_cast(v AS DOUBLE) >= coalesce(min_value, '-inf'::DOUBLE) AND try_cast(v AS DOUBLE) <= coalesce(max_value, 'inf'::DOUBLE) AND (value_type <> 'int' OR try_cast(v AS DOUBLE) = floor(try_cast(v AS DOUBLE))), FALSE) ELSE list_contains(levels, v) END))
+"""
+query(_P1 + "SELECT DISTINCT line_id FROM cut JOIN many USING (dataset_id) WHERE NOT parses OR len(parts) <> n UNION SELECT line_id FROM bad")(malformed.p1_found)
 QUERIES["p1_records"] = malformed.p1_records
-QUERIES["p1_balance"] = malformed.p1_balance
+query(
+    _P1 + ", c AS (SELECT line_id FROM cut JOIN many USING (dataset_id) WHERE NOT parses OR len(parts) <> n UNION SELECT line_id FROM bad), "
+    "f AS (SELECT r.dataset_id, r.member_file, count(*) FILTER (WHERE c.line_id IS NULL) AS loaded, count(*) FILTER (WHERE c.line_id IS NOT NULL) AS rejected FROM raw_records r JOIN rec USING (line_id, dataset_id, raw_line) LEFT JOIN c USING (line_id) GROUP BY ALL), "
+    "t AS (SELECT dataset_id, member_file, max(raw_rows) AS raw_rows FROM cleaning_report GROUP BY ALL) "
+    "SELECT dataset_id, member_file, coalesce(loaded, 0) AS loaded, coalesce(rejected, 0) AS rejected, raw_rows, coalesce(loaded, 0) + coalesce(rejected, 0) = raw_rows AS matches FROM f FULL JOIN t USING (dataset_id, member_file)"
+)(malformed.p1_balance)
 query(_P2)(impute.p2_found)
 QUERIES["p2_filled"] = impute.p2_filled
 query(f"SELECT DISTINCT child_table, child_column, child_id FROM ({_P4})")(orphans.p4_found)
