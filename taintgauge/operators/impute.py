@@ -314,3 +314,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every filled cell with its value; being in this table is the mark."""
     return _filled(spark, sf_dir)
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per data set and column: cells filled, and filled values outside the bounds, levels or whole numbers of the column."""
+    known, _ = schemes(table(spark, sf_dir, "dataset_spec"), table(spark, sf_dir, "dataset_columns"))
+    rules = [(d, f.name, f.low if f.numeric else None, f.high if f.numeric else None, f.whole, list(f.levels)) for d, s in known.items() for f in s.fields if f.fill]
+    right = spark.createDataFrame(rules, "table_id string, column_name string, low double, high double, whole boolean, levels array<string>")
+    both = _filled(spark, sf_dir).join(F.broadcast(right), ["table_id", "column_name"])  # one row per column
+    number = (F.col("number") >= F.col("low")) & (F.col("number") <= F.col("high")) & (~F.col("whole") | (F.col("number") == F.floor("number")))
+    valid = F.when(F.col("low").isNotNull(), number & F.col("category").isNull()).otherwise(F.array_contains("levels", F.col("category")) & F.col("number").isNull())
+    return both.groupBy("table_id", "column_name").agg(F.count("*").alias("filled"), F.count_if(~F.coalesce(valid, F.lit(False))).alias("invalid"))
