@@ -59,8 +59,10 @@ class Vocabulary:
             self.id_of_pair.setdefault(pair, whole)
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = pair, rank
+        self.unreachable = self._never_made()
+        self.made = {raw: token for raw, token in self.id_of.items() if token not in self.unreachable}
         self.automaton = ahocorasick.Automaton()
-        for token, raw in self.token_bytes.items():
+        for raw, token in self.made.items():
             self.automaton.add_word(raw.decode("latin-1"), (len(raw), token))
         self.automaton.make_automaton()
         self._shorter: dict[int, int | None] = {}
@@ -70,7 +72,7 @@ class Vocabulary:
         """The longest token that is a proper prefix of `token`."""
         if token not in self._shorter:
             raw = self.token_bytes[token]
-            self._shorter[token] = next((t for n in range(len(raw) - 1, 0, -1) if (t := self.id_of.get(raw[:n])) is not None), None)
+            self._shorter[token] = next((t for n in range(len(raw) - 1, 0, -1) if (t := self.made.get(raw[:n])) is not None), None)
         return self._shorter[token]
 
     def compatible(self, left: int, right: int) -> bool:
@@ -88,9 +90,8 @@ class Vocabulary:
             known = self._compatible[key] = self._seam_holds(left, right)
         return known
 
-    def _seam_holds(self, a: int, b: int) -> bool:
+    def _seam_holds(self, a: int, b: int, until: float = float("inf")) -> bool:
         rank, parts, pair_rank = self.rank, self.parts, self.rank_of_pair
-        until = float("inf")
         # Of equal ranks the left occurrence is merged first, so at the seam the left part opens later when undone.
         while True:
             merge = pair_rank.get((a, b))
@@ -106,8 +107,8 @@ class Vocabulary:
 
     def encode_piece(self, raw: bytes) -> list[int]:
         """Exact ids of one pre-tokenised piece."""
-        whole = self.id_of.get(raw)
-        if whole is not None and whole not in self.unreachable:
+        whole = self.made.get(raw)
+        if whole is not None:
             return [whole]
         size = len(raw)
         longest: list[int | None] = [None] * size
@@ -136,12 +137,15 @@ class Vocabulary:
                 at -= len(lengths[token])
         return out
 
-    @property
-    def unreachable(self) -> frozenset[int]:
-        """Tokens that merging their own bytes never yields (their two parts aren't compatible once rejoined)."""
-        if not hasattr(self, "_unreachable"):
-            self._unreachable = frozenset(t for t, (a, b) in self.parts.items() if self.rank_of_pair.get((a, b)) != self.rank[t])
-        return self._unreachable
+    def _never_made(self) -> frozenset[int]:
+        """Tokens that merging their own bytes never yields: a part is made too late or never, or the seam between the two
+        parts has vanished by the time of the merge."""
+        lost = {t for t, raw in self.token_bytes.items() if len(raw) > 1 and t not in self.parts}
+        for token, (a, b) in sorted(self.parts.items(), key=lambda x: self.rank[x[0]]):
+            r = self.rank[token]
+            if a in lost or b in lost or max(self.rank.get(a, -1), self.rank.get(b, -1)) >= r or not self._seam_holds(a, b, r):
+                lost.add(token)
+        return frozenset(lost)
 
     def offsets(self) -> tuple[bytes, np.ndarray]:
         """All token bytes end to end and the start of each id: the decoder's table."""

@@ -47,6 +47,40 @@ def test_every_token_encodes_to_itself():
     assert all(v.encode_piece(raw) == [t] for t, raw in random.Random(1).sample(sorted(v.token_bytes.items()), 4000))
 
 
+def by_the_merges(model, text):
+    """The definition: of all pairs the one of least rank is merged, the leftmost first, until none is left."""
+    ranks = {tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+    parts = list(text)
+    while pairs := [(ranks[p], i) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]:
+        _, i = min(pairs)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [model["vocab"][p] for p in parts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=14), st.lists(st.text("abc", min_size=1, max_size=14), min_size=1, max_size=6))
+def test_any_vocabulary_with_tokens_never_made(choices, texts):
+    """Random merges, among them tokens that their own bytes never yield, and a token without any merge."""
+    import json
+
+    from taintgauge.llm.bpe import Vocabulary
+
+    tokens_ = ["a", "b", "c"]
+    merges = []
+    for i, j in choices:
+        left, right = tokens_[i % len(tokens_)], tokens_[j % len(tokens_)]
+        if len(left + right) <= 6 and f"{left} {right}" not in merges:
+            merges.append(f"{left} {right}")
+            if left + right not in tokens_:
+                tokens_.append(left + right)
+    model = {"vocab": {t: i for i, t in enumerate(tokens_)}, "merges": merges}
+    if "cab" not in tokens_:
+        model["vocab"]["cab"] = len(tokens_)
+    v = Vocabulary(json.dumps({"model": model}).encode())
+    for text in texts:
+        assert v.encode_piece(text.encode()) == by_the_merges(model, text), (model, text)
+
+
 @has_vocabulary
 def test_encode_edges(spark, public):
     long = "word " * 200_000
