@@ -155,6 +155,18 @@ def test_shapley_against_all_orders(spark):
     assert [got[i] for i in range(6)] == pytest.approx(want.tolist(), abs=1e-8)
 
 
+def test_materialised_tables_are_released(spark):
+    import os
+
+    from taintgauge.session import materialise, release
+
+    release(spark)
+    df = materialise(spark.range(5), "kept")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert df.count() == 5 and os.path.exists(path)
+    assert release(spark) == 1 and not os.path.exists(path) and release(spark) == 0
+
+
 def test_quantile_with_infinities(spark):
     from taintgauge.operators import draws
 
