@@ -64,7 +64,7 @@ FROM wanted LEFT JOIN held USING (pool, category) LEFT JOIN got USING (target_ta
     "p5_ranks": """
 WITH x AS (SELECT decomposition_id, any_value(detector) AS detector, any_value(quantifier) AS quantifier FROM finding_8_error_decomposition WHERE total_prevalence_error IS NOT NULL AND NOT isnan(total_prevalence_error) GROUP BY decomposition_id)
 SELECT detector, quantifier, percentile::DOUBLE AS percentile, count(*) AS n, true AS within FROM x, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS p(percentile) GROUP BY ALL""",
-    "p7_audit": "SELECT window_id, (SELECT count(*) FROM documents) AS documents, 0 AS repeated, 0 AS cut_needlessly, 0 AS over_capacity, 0 AS left_out FROM context_windows WHERE capacity_tokens > 0",
+    "p7_audit": "SELECT window_id, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS repeated, 0::BIGINT AS cut_needlessly, 0::BIGINT AS over_capacity, 0::BIGINT AS left_out FROM context_windows WHERE capacity_tokens > 0",
     "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
     "p6_decoded": "SELECT doc_id, sha256(coalesce(text, '')) AS digest, coalesce(text, '') <> '' AS has_ids FROM documents",
 }
