@@ -150,6 +150,23 @@ def mixture_ids(members: DataFrame, share: float, seed: int) -> Column:
     return F.concat(F.lit("mix:"), F.substring(F.sha2(text, 256), 1, 24))
 
 
+def with_metadata(members: DataFrame, share: float, seed: int, pools: DataFrame | None = None) -> DataFrame:
+    """Members with the nine columns that say where a mixed row comes from.
+
+    members: condition, source_type, record_id. pools: record_id, generator, pool of the synthetic records; NULL for real ones.
+    """
+    real = F.col("source_type") != "synthetic"
+    out = members.withColumns({
+        "mix_row_id": mixture_ids(members, share, seed), "source_row_id": F.when(real, F.col("record_id")), "source_synth_row_id": F.when(~real, F.col("record_id")), "p": F.lit(float(share)), "mix_seed": F.lit(seed),
+    })
+    if pools is None:
+        out = out.withColumns({"generator": F.lit(None).cast("string"), "pool": F.lit(None).cast("string")})
+    else:
+        known = pools.select(F.col("record_id").alias("source_synth_row_id"), "generator", "pool")
+        out = out.join(known, "source_synth_row_id", "left")
+    return out.select("mix_row_id", "source_type", "source_row_id", "source_synth_row_id", "generator", "pool", "p", "mix_seed", "condition")
+
+
 def condition_grid(real: DataFrame, synthetic: DataFrame, key: str, rates: list[float], seed: int) -> DataFrame:
     """(condition, rate, source_type, record_id): all four conditions at all rates in one plan.
 

@@ -64,11 +64,15 @@ def balanced_frame(spark: SparkSession, d: str) -> DataFrame:
 _IDENT = h("source_type || '|' || record_id")
 
 
-@query(
+_REPLACED = (
     f"WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, row_number() OVER (ORDER BY {h(f"'{SEED}|synthetic|' || o_orderkey")}, o_orderkey) AS rk FROM orders WHERE o_orderstatus = 'F'), n AS (SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'O'), "
     f"k AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, row_number() OVER (ORDER BY {h(f"'{SEED}|keep|' || o_orderkey")}, o_orderkey) AS rk FROM orders WHERE o_orderstatus = 'O'), "
     "m AS (SELECT 'real' AS source_type, id AS record_id FROM k, n WHERE rk <= n - floor(n * 0.1::DOUBLE + 0.5) UNION ALL SELECT 'synthetic', id FROM o, n WHERE rk <= floor(n * 0.1::DOUBLE + 0.5)) "
-    f"SELECT 'synthetic_replace' AS condition, 0.1::DOUBLE AS proportion, {SEED} AS mix_seed, count(*) AS rows, count(*) FILTER (WHERE source_type = 'synthetic') AS synthetic_rows, bit_xor({_IDENT}) AS xor_digest, CAST(sum({_IDENT} % 2147483648) AS BIGINT) AS sum_digest FROM m"
+)
+
+
+@query(
+    _REPLACED + f"SELECT 'synthetic_replace' AS condition, 0.1::DOUBLE AS proportion, {SEED} AS mix_seed, count(*) AS rows, count(*) FILTER (WHERE source_type = 'synthetic') AS synthetic_rows, bit_xor({_IDENT}) AS xor_digest, CAST(sum({_IDENT} % 2147483648) AS BIGINT) AS sum_digest FROM m"
 )
 def contamination_recipe(spark: SparkSession, d: str) -> DataFrame:
     """M14, SK12: the recipe of a condition: how its members are drawn, and their digest."""
@@ -77,6 +81,18 @@ def contamination_recipe(spark: SparkSession, d: str) -> DataFrame:
     return pools.recipe(mixing.contaminate(pick("O"), pick("F"), "o_orderkey", 0.1, SEED, "synthetic_replace"), "synthetic_replace", 0.1, SEED)
 
 
+@query(
+    _REPLACED + f"SELECT 'mix:' || substr(sha256('synthetic_replace|0.10000000|{SEED}|' || source_type || '|' || record_id), 1, 24) AS mix_row_id, source_type, CASE WHEN source_type = 'real' THEN record_id END AS source_row_id, CASE WHEN source_type = 'synthetic' THEN record_id END AS source_synth_row_id, "
+    f"CASE WHEN source_type = 'synthetic' THEN 'g' || (CAST(record_id AS BIGINT) % 2) END AS generator, CASE WHEN source_type = 'synthetic' THEN 'downstream' END AS pool, 0.1::DOUBLE AS p, {SEED} AS mix_seed, 'synthetic_replace' AS condition FROM m"
+)
+def mixture_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The provenance of every row of a mixture."""
+    o = table(spark, d, "orders", "o_orderkey", "o_orderstatus")
+    pick = lambda s: o.where(F.col("o_orderstatus") == s).select("o_orderkey")
+    made = pick("F").select(F.col("o_orderkey").cast("string").alias("record_id"), F.concat(F.lit("g"), (F.col("o_orderkey") % 2).cast("string")).alias("generator"), F.lit("downstream").alias("pool"))
+    return mixing.with_metadata(mixing.contaminate(pick("O"), pick("F"), "o_orderkey", 0.1, SEED, "synthetic_replace"), 0.1, SEED, made)
+
+
 def _ok(c: str) -> str:
     return f"{c} IS NOT NULL AND NOT isnan({c})"
 

@@ -54,6 +54,6 @@ query(
 )(malformed.p1_balance)
 query(_P2)(impute.p2_found)
 QUERIES["p2_filled"] = impute.p2_filled
-query("SELECT table_id, column_name, count(DISTINCT (record_id, created_at)) AS filled, 0 AS invalid FROM (" + _P2.replace("SELECT DISTINCT record_id,", "SELECT record_id, created_at, table_id,").replace("SELECT record_id, table_id, CAST", "SELECT record_id, created_at, table_id, CAST") + ") GROUP BY ALL")(impute.p2_counts)
+query("SELECT table_id, column_name, count(DISTINCT (record_id, created_at)) AS filled, 0::BIGINT AS invalid FROM (" + _P2.replace("SELECT DISTINCT record_id,", "SELECT record_id, created_at, table_id,").replace("SELECT record_id, table_id, CAST", "SELECT record_id, created_at, table_id, CAST") + ") GROUP BY ALL")(impute.p2_counts)
 query(f"SELECT DISTINCT child_table, child_column, child_id FROM ({_P4})")(orphans.p4_found)
 query(f"SELECT child_table, child_column, date_trunc('month', seen) AS month, count(DISTINCT child_id) AS orphans FROM ({_P4}) GROUP BY ALL")(orphans.p4_counts)

@@ -35,6 +35,8 @@ def test_shards_resume(spark, tmp_path):
     root = str(tmp_path)
     assert len(runs.run_shards(spark, root, c, body, most=2)) == 1
     assert runs.status(root, c)["failed"] == 1
+    states = {r["shard"]: (r["state"], r["attempts"], r["rows"]) for r in runs.progress(spark, root, c).collect()}
+    assert states["s1_P1_char3gram"] == ("failed", 1, None) and states["s1_P1_c2st_lr"] == ("complete", 1, 1) and states["s1_P1_ctgan"] == ("blocked", 0, None) and states["s2_P3_char3gram"] == ("open", 0, None)
     fail.clear()
     runs.run_shards(spark, root, c, body)
     assert runs.pending(root, c) == [] and runs.aggregate(spark, root, c).count() == 6
