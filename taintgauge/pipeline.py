@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from taintgauge import runs
 from taintgauge.functions.expr import feature_columns, hash60
-from taintgauge.operators import calibration, cleaning, detect, evidence, generate, inference, metrics, mixing, quantify, records, value
+from taintgauge.operators import calibration, cleaning, detect, evidence, generate, inference, metrics, mixing, quality, quantify, records, value
 from taintgauge.session import materialise
 from taintgauge.sources import readers, sinks
 
@@ -207,6 +207,7 @@ def run_shard(spark: SparkSession, config: runs.Config, shard: runs.Shard) -> di
         guesses.append(got.withColumn("calibration_policy", F.lit(q["policy"])))
     worth = utilities(bags, plan, scored, tables, c["test_tables"])
     out = reduce(DataFrame.unionByName, guesses).join(truth, "bag_id").join(measured, p).join(worth, ["bag_id", *p], "left")
+    out = out.join(F.broadcast(generator_quality(everything, tables, c["test_tables"], c["test_generators"])), ["test_table", "test_generator"], "left")  # a row per table and generator
     out = evidence.decompose(out.withColumns({"estimate": F.col("clipped"), "tpr": F.coalesce("detection_tpr", F.lit(0.0)), "fpr": F.coalesce("detection_fpr", F.lit(0.0))}))
     out = evidence.decide(out, config.governance_threshold, config.harm_tolerance)
     delta = F.col("keep_utility") - F.col("clean_utility")
@@ -228,6 +229,17 @@ def run_shard(spark: SparkSession, config: runs.Config, shard: runs.Shard) -> di
     return {"frames": frames, "documents": {"protocol": {f"{seed}:{shard.protocol}": {**checked, **c, "train_rows": train.count(), "shared_records": shared}}, "diagnostics": diagnostics}}
 
 
+def generator_quality(rows: DataFrame, tables: dict[str, Table], names: list[str], generators: list[str]) -> DataFrame:
+    """(test_table, test_generator, generator_quality): how alike the source parts of real and generated records are."""
+    parts = []
+    for t in names:
+        for g in generators:
+            own = rows.where((F.col("table_id") == t) & (F.col("split") == "source") & ((F.col("source_label") == 0) | (F.col("generator") == g)))
+            score = quality.report(own, ["table_id"], list(tables[t].numeric), list(tables[t].categorical), "source_label")
+            parts.append(score.select(F.lit(t).alias("test_table"), F.lit(g).alias("test_generator"), F.col("score").alias("generator_quality")))
+    return materialise(reduce(DataFrame.unionByName, parts), "quality")
+
+
 def utilities(bags: DataFrame, plan: DataFrame, scored: DataFrame, tables: dict[str, Table], names: list[str]) -> DataFrame:
     """(bag_id, calibration_policy, clean, keep, cleanup, oracle utility): AUROC on real final tests of models of each bag."""
     parts = []
@@ -289,7 +301,7 @@ def findings(e: DataFrame, artifacts: DataFrame, valued: DataFrame | None, confi
         "finding_4_quantifier_shift": evidence.finding(e, ["protocol", "calibration_policy", "quantifier", "contamination_mode"], col("absolute_error", "error", "regret")),
         "finding_5_utility_curve": evidence.finding(first, [*cell, "nominal_prevalence"], col("delta", "cleanup_delta", "oracle_delta")),
         "finding_6_detectability_vs_harm": evidence.finding(first, ["protocol", "calibration_policy", "quadrant"], col("detection_auroc", "delta", "regret"), cases=F.count("*")),
-        "finding_6_quality_detectability_utility": evidence.finding(first, cell, col("detection_auroc", "delta"), worst_delta=F.min("delta")),
+        "finding_6_quality_detectability_utility": evidence.finding(first, cell, col("generator_quality", "detection_auroc", "delta"), worst_delta=F.min("delta")),
         "finding_7_calibration_threshold_transfer": evidence.finding(e, policy, col("source_auroc", "detection_auroc", "ranking_shift", "source_ece", "detection_ece", "calibration_shift", "reference_fpr", "fpr", "threshold_fpr_shift", "absolute_error", "regret")),
         "finding_8_error_decomposition": evidence.finding(e, [*policy, "quantifier", "contamination_mode", "nominal_prevalence"], col("detection_part", "sampling_part", "adjustment_part", "error"), max_absolute_residual=F.max(F.abs("residual"))),
         "statistics_ci95": inference.seed_summary(e.withColumn("seed", F.col("seed")), [*policy, "quantifier"], "seed", ["absolute_error", "delta", "regret"]),

@@ -46,6 +46,8 @@ def test_findings_audit_and_summary(spark, finished):
     assert {k: v for k, v in summary["audit"].items() if v and k not in ("artifact_gate",)} == {} and len(summary["audit"]) == 17
     for name in ("finding_1_transfer", "finding_3_low_prevalence", "finding_5_utility_curve", "finding_6_source_task_value", "finding_7_calibration_threshold_transfer", "finding_8_error_decomposition", "paired_detectors", "statistics_ci95"):
         assert spark.read.parquet(os.path.join(root, name)).count() > 0, name
+    fit = spark.read.parquet(os.path.join(root, "finding_6_quality_detectability_utility"))
+    assert all(0.5 < r["generator_quality"] <= 1 for r in fit.collect()) and fit.count() == 3
     # One shard owns the valuation of a seed and protocol.
     owners = [s.name for s in runs.plan(config) if "valuation" in runs.marker(root, s)["frames"]]
     assert owners == [s.name for s in runs.plan(config) if s.owns_valuation] and summary["valuation_rows"] == 2 * 3 * 40
