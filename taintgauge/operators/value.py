@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import permutations
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taintgauge.functions.expr import hash60
-from taintgauge.operators.draws import ordered_rank, sliced_rank
+from taintgauge.operators import bagged
+from taintgauge.operators.draws import ordered_rank
+from taintgauge.session import materialise
 
 #: Query records per block, sent to every training block.
 MOST_QUERIES = 2048
@@ -99,33 +98,12 @@ def data_oob(df: DataFrame, key: str, features: list[str], label: str, rounds: i
     """(key, value, coverage): mean correctness of each record under shallow trees of bootstraps that left it out.
 
     Each of the `rounds` bootstraps draws as many slots as there are rows, a slot takes the row of rank hash mod n; its
-    tree is fitted to all rows drawn, weighted by how often. `block` is the number of rows per task and doesn't change
-    the draws. `label` is 0/1.
+    tree is fitted to all rows drawn, weighted by how often, with exact splits: at most six deep, at least five draws in a
+    leaf. `block` is the number of rows that are handled at once and doesn't change the values. `label` is 0/1.
     """
-    spark = df.sparkSession
     x = df.select(F.col(key).cast("string").alias("k"), F.col(label).cast("int").alias("y"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(features)]).where("y is not null")
-    ranked = sliced_rank(x, [], "k", seed, "row").cache()
-    n = ranked.count()
-    turns = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    slots = spark.range(n).select("id", turns.alias("turn")).select("turn", (F.pmod(hash60(seed, F.col("turn").cast("string"), F.col("id").cast("string")), F.lit(max(n, 1))) + 1).alias("rank"))
-    drawn = slots.groupBy("rank", "turn").count().groupBy("rank").agg(F.map_from_entries(F.collect_list(F.struct("turn", F.col("count").cast("double")))).alias("times"))
-    vector = VectorAssembler(inputCols=[f"x{i}" for i in range(len(features))], outputCol="f")
-    ready = vector.transform(ranked.join(drawn, "rank", "left")).select("k", "y", "f", F.coalesce("times", F.create_map().cast("map<int,double>")).alias("times"))
-    ready = ready.coalesce(max(1, n // block)).cache()
-    ready.count()
-
-    def fit(turn: int):
-        rows = ready.select("f", "y", F.col("times")[turn].alias("w")).where("w is not null")
-        # At least five draws in a leaf, repeated ones counted.
-        tree = DecisionTreeClassifier(featuresCol="f", labelCol="y", weightCol="w", predictionCol=f"p{turn}", probabilityCol="", rawPredictionCol="", maxDepth=6, minInstancesPerNode=1, minWeightFractionPerNode=min(5 / n, 0.49), maxBins=256, seed=seed + turn)
-        return tree.fit(rows)
-
-    with ThreadPool(8) as pool:
-        trees = pool.map(fit, range(rounds))
-    out = ready
-    for tree in trees:
-        out = tree.transform(out)
-    left = [F.col("times")[t].isNull() for t in range(rounds)]
-    right = reduce(Column.__add__, [F.when(o & (F.col(f"p{t}") == F.col("y")), 1).otherwise(0) for t, o in enumerate(left)])
-    seen = reduce(Column.__add__, [o.cast("int") for o in left])
-    return out.select(F.col("k").alias(key), right.alias("right"), seen.alias("seen")).select(key, F.when(F.col("seen") > 0, F.round(F.col("right") / F.col("seen"), 9)).alias("value"), F.round(F.col("seen") / rounds, 9).alias("coverage"))
+    x = materialise(x, "oob_rows")
+    drawn = materialise(bagged.bootstraps(x, "k", rounds, seed, block), "oob_draws")
+    table = bagged.packs(drawn, x.count(), "k", len(features), "y", rounds, block)
+    out = bagged.out_of_bag(table, len(features), bagged.grown(table, len(features), rounds, 6, 5), 6)
+    return out.select(F.col("k").alias(key), F.when(F.col("seen") > 0, F.round(F.col("right") / F.col("seen"), 9)).alias("value"), F.round(F.col("seen") / rounds, 9).alias("coverage"))

@@ -1,12 +1,13 @@
 """Registered queries do the whole job: all data sets, candidates, records and rounds."""
 
+import hashlib
 import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taintgauge.operators import detect, mixing, value
+from taintgauge.operators import bagged, detect, mixing, value
 from taintgauge.plans import model_queries, registry
 
 FOLDER = "/root/testdata/sf0.001"
@@ -129,6 +130,81 @@ def test_out_of_bag_values_come_from_all_rows(spark):
     assert value.data_oob.__defaults__[0] == 80
 
 
+def _grown(x, y, depth):
+    """The exact tree of some rows, each as often as it was drawn: (feature, cut, left, right) or a class."""
+    vote, best = int(2 * y.sum() > len(y)), (-1.0,)
+    if depth and len(y) >= 10 and 0 < y.sum() < len(y):
+        for f in range(x.shape[1]):
+            order = np.argsort(x[:, f], kind="stable")
+            v, p = x[order, f], np.cumsum(y[order])
+            for i in range(5, len(y) - 4):
+                if v[i] > v[i - 1]:
+                    (a, n), (b, m) = (p[i - 1], i), (p[-1] - p[i - 1], len(y) - i)
+                    gain = (a * a + (n - a) ** 2) / n + (b * b + (m - b) ** 2) / m
+                    if gain > best[0]:
+                        best = gain, f, v[i - 1] / 2 + v[i] / 2
+    if best[0] < 0:
+        return vote
+    left = x[:, best[1]] <= best[2]
+    return best[1], best[2], _grown(x[left], y[left], depth - 1), _grown(x[~left], y[~left], depth - 1)
+
+
+def _voted(tree, x):
+    while isinstance(tree, tuple):
+        tree = tree[2] if x[tree[0]] <= tree[1] else tree[3]
+    return tree
+
+
+def test_out_of_bag_values_are_those_of_exact_trees(spark, monkeypatch):
+    rng, rounds, seed, n = np.random.default_rng(8), 3, 7, 700
+    x = np.stack([rng.normal(size=n), rng.integers(0, 6, n).astype(float)], axis=1)
+    y = (x[:, 0] + 0.4 * x[:, 1] + rng.normal(size=n) > 1).astype(int)
+    ids = [f"r{i}" for i in range(n)]
+    number = lambda *parts: int(hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
+    ranked = sorted(range(n), key=lambda i: (number(seed, "row", ids[i]), ids[i]))
+    right, seen = np.zeros(n, int), np.zeros(n, int)
+    for turn in range(rounds):
+        drawn = np.array([ranked[number(seed, turn, slot) % n] for slot in range(n)])
+        tree = _grown(x[drawn], y[drawn], 6)
+        for i in set(range(n)) - set(drawn.tolist()):
+            seen[i] += 1
+            right[i] += _voted(tree, x[i]) == y[i]
+    df = spark.createDataFrame([(ids[i], int(y[i]), *map(float, x[i])) for i in range(n)], "id string, y int, a double, b double")
+    run = lambda: {r["id"]: (r["value"], r["coverage"]) for r in value.data_oob(df, "id", ["a", "b"], "y", rounds=rounds, seed=seed, block=64).collect()}
+    want = {ids[i]: (round(right[i] / seen[i], 9) if seen[i] else None, round(seen[i] / rounds, 9)) for i in range(n)}
+    assert run() == want
+    monkeypatch.setattr(bagged, "CELLS", 1)  # a tree at a time
+    monkeypatch.setattr(bagged, "HELD", 100)
+    assert run() == want
+
+
+def test_out_of_bag_values_of_odd_tables(spark):
+    run = lambda rows: {r["id"]: (r["value"], r["coverage"]) for r in value.data_oob(spark.createDataFrame(rows, "id string, y int, x double"), "id", ["x"], "y", rounds=8, block=10).collect()}
+    assert run([]) == {} and run([("a", None, 1.0)]) == {}
+    assert run([("a", 1, 1.0)]) == {"a": (None, 0.0)}  # always drawn
+    assert {v for v, _ in run([(f"r{i}", 1, float(i)) for i in range(40)]).values()} <= {1.0, None}  # one class
+    ends = [float("nan"), float("inf"), -float("inf"), 0.0]
+    got = run([(f"r{i}", int(i % 4 < 2), ends[i % 4]) for i in range(80)])
+    assert len(got) == 80 and {v for v, _ in got.values()} <= {1.0, None}  # NaN is above infinity
+
+
+def test_out_of_bag_trees_share_their_jobs(spark):
+    df = spark.range(400).select(F.col("id").cast("string").alias("id"), (F.col("id") % 7 < 3).cast("int").alias("y"), F.sin("id").alias("x")).cache()
+    sc = spark.sparkContext
+
+    def jobs(rounds):
+        value.data_oob(df, "id", ["x"], "y", rounds=rounds).write.format("noop").mode("overwrite").save()
+        sc.setJobGroup(f"mark {rounds}", "")
+        sc.parallelize([0], 1).count()
+        return max(sc.statusTracker().getJobIdsForGroup(f"mark {rounds}"))
+
+    try:
+        at = [jobs(rounds) for rounds in (2, 12, 2)]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert at[1] - at[0] < at[2] - at[1] + 8  # the driver keeps figures of every job: they may not follow the rounds
+
+
 def test_bags_as_large_as_their_pool_are_whole(spark):
     pools = spark.range(300).select(F.lit("real").alias("source_type"), F.col("id").cast("string").alias("record_id"))
     wants = spark.createDataFrame([("all", "real", 300), ("most", "real", 299), ("few", "real", 20), ("over", "real", 400)], "bag_id string, source_type string, wanted bigint")
